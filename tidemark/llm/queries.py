@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, imatch, line_dedup, mixing, packing, sharding, threshold_topk
+from . import chat_format, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk
 from .common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "block", "slot", "mix_release", "mix_deadline", "mix_order")
@@ -26,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", sharding.shard_names(sharding.SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
