@@ -29,7 +29,7 @@ from . import words
 from .common import materialize
 from .graph import components
 
-N, PERCENT, LONG_SHARE, MOST_MATCHES, TOKENS_PER_BUCKET = 3, 90, 0.15, 4, 8_000_000
+N, PERCENT, LONG_SHARE, MOST_MATCHES, TOKENS_PER_BUCKET, LEAST_BUCKETS = 3, 90, 0.15, 4, 8_000_000, 16
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -139,17 +139,18 @@ def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(lists: DataFrame, percent: int) -> DataFrame:
-    """token, doc_id, n, u, m for each document's prefix; u: n-grams that it has alone."""
+    """token, doc_id, n, u, m, own for each n-gram of each document's prefix; u: n-grams that it has alone, own: the prefix."""
     n, u, tokens = F.col("n"), F.col("u"), F.col("by_df")
     length = lambda m: F.greatest(n - F.ceil(n * percent / 100) + m - u, F.lit(0)).cast("int")
     read = lambda m: F.aggregate(F.slice(tokens, F.lit(1), length(m)), F.lit(0).cast("double"), lambda s, x: s + x["df"])
     cost = lambda m: read(m) + 20 * read(m) / m
     best = F.array_min(F.array(*[F.struct(cost(m).alias("cost"), F.lit(m).alias("m")) for m in range(1, MOST_MATCHES + 1)]))
     chosen = lists.withColumn("m", best["m"]).where(length(F.lit(1)) > 0)
-    return chosen.select("doc_id", "n", "u", "m", F.explode(F.slice(tokens, F.lit(1), length(F.col("m")))).alias("x")).select(F.col("x.token").alias("token"), "doc_id", "n", "u", "m")
+    cut = chosen.withColumn("own", F.transform(F.slice(tokens, F.lit(1), length(F.col("m"))), lambda x: x["token"]))
+    return cut.select(F.explode("own").alias("token"), "doc_id", "n", "u", "m", "own")
 
 
-def _candidates(a: Column, b: Column, percent: int) -> Column:
+def _possible(a: Column, b: Column, percent: int) -> Column:
     """What sizes and lone n-grams leave possible for two rows of prefixes."""
     small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
     overlap = F.least(a["n"] - a["u"], b["n"] - b["u"])
@@ -158,12 +159,11 @@ def _candidates(a: Column, b: Column, percent: int) -> Column:
 
 def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures (doc_id, n, k1, k2) of all documents, and the components (id, component) of one document per set."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = materialize(_signatures(docs, n))
     classes = signatures.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     total = signatures.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TOKENS_PER_BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-int(total) // TOKENS_PER_BUCKET))
     known = _known(docs, n, percent, buckets)
     needed = F.greatest(F.lit(1), F.floor(F.col("n") * LONG_SHARE))
     survivors = classes.join(known, "doc_id").where(F.col("known") >= needed).select("doc_id", "n")
@@ -176,20 +176,21 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     prefixes = materialize(_prefixes(lists, percent))
 
     row = F.struct("u", "doc_id", "n", "m")
-    heads = prefixes.groupBy("token").agg(F.min(row).alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    met = prefixes.join(heads, "token").where((F.col("doc_id") != F.col("head.doc_id")) & _candidates(F.struct("n", "u"), F.col("head"), percent))
-    stars = met.groupBy(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).agg(F.count("*").alias("got"))
-    found = materialize(_linked(stars.select("a", "b"), lists, percent))
-    first = materialize(components(found))
+    heads = materialize(prefixes.groupBy("token").agg(F.min(row).alias("head"), F.count("*").alias("rows")).where("rows > 1"))
+    met = prefixes.drop("own").join(heads, "token").where((F.col("doc_id") != F.col("head.doc_id")) & _possible(F.struct("n", "u"), F.col("head"), percent))
+    stars = met.select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).distinct()
+    first = materialize(components(_linked(stars, lists, percent)))
 
     placed = prefixes.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    several = materialize(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     open_ = materialize(placed.join(several, "token"))
     x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.component") < F.col("y.component")) & _candidates(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent)
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart)
-    counted = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("got"), F.min(F.least("x.m", "y.m")).alias("m"))
-    more = _linked(counted.where("got >= m").select("a", "b"), lists, percent)
+    common = F.array_intersect("x.own", "y.own")
+    apart = (F.col("x.component") < F.col("y.component")) & _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent)
+    # a pair comes up at the first n-gram that both prefixes hold, and only if they hold enough
+    once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.m", "y.m"))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & once).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    more = _linked(across, lists, percent)
     edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     return signatures, components(edges)
 

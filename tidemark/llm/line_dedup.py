@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portable_hash
+from .common import materialize, portable_hash
 
 WINDOW, DIVISOR, MIN_LINES = 3, 5, 2
 
@@ -54,11 +54,12 @@ def repeated_chunks(docs: DataFrame, row: str = "doc_id") -> DataFrame:
     keyed = _with_chunks(texts).select(row, F.posexplode(F.transform("_chunk", lambda c: F.struct(c["n"].alias("n"), F.xxhash64(c["s"]).alias("h")))).alias("_k", "c"))
     keyed = keyed.where(F.col("c.n") >= MIN_LINES).select(row, "_k", F.col("c.h").alias("_h"))
     groups = keyed.groupBy("_h").agg(F.count("*").alias("n"), F.min(F.struct(row, "_k")).alias("_first")).where("n > 1").drop("n")
-    candidates = keyed.join(groups, "_h")
+    candidates = materialize(keyed.join(materialize(groups), "_h"))
     wanted = candidates.groupBy(row).agg(F.collect_list(F.struct("_k", "_h", "_first")).alias("_w"))
     found = _with_chunks(texts.join(wanted, row)).select(row, "_chunk", F.explode("_w").alias("w"))
     found = found.select(row, "w._k", "w._h", "w._first", F.get("_chunk", F.col("w._k"))["s"].alias("s"))
     same = found.groupBy("_h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") == F.col("b")).select("_h")
+    same = materialize(same)
     later = candidates.where((F.col(row) != F.col("_first")[row]) | (F.col("_k") != F.col("_first._k")))
     return later.join(same, "_h", "left_semi").select(row, "_k")
 

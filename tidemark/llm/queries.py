@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk
+from . import chat_format, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk, toxicity
 from .common import read_table
 
 
@@ -31,6 +31,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", sharding.shard_names(sharding.SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read_table(spark, sf_dir, "documents"))
 

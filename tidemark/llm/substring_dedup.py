@@ -20,7 +20,6 @@ than once. Equality is that of 128 bits of independent hashes of the words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,17 +136,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"windows of {AFTER + REACH + 8} to {AFTER + REACH + 60} words are possible")
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     found = _scan(docs, window)
-    several = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written down, so that the join has exchanges of its own whose large partitions Spark can split
+    several = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     hits = materialize(found.join(several, "g", "left_semi"))
     kinds = materialize(hits.groupBy("g", "b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first")))
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    mixed = materialize(kinds.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     apart = kinds.join(mixed, "g", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("g", "b", "first.at", "times")).alias("_w"))
     spelt = materialize(_windows(docs, apart, window))
-    again = spelt.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
+    again = materialize(spelt.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2"))
     bit = F.expr("shiftleft(1L, cast(j as int))")
     some = spelt.where("times = 1").join(again, ["w1", "w2"], "left_semi").groupBy("g", "b").agg(F.bit_or(bit).alias("mask"))
     whole = kinds.where("times > 1").select("g", "b", F.expr("shiftleft(1L, cast(first.at % 64 as int)) - 1").alias("mask"))
-    return hits.join(some.unionByName(whole), ["g", "b"]).select("doc_id", "at", "mask")
+    return hits.join(materialize(some.unionByName(whole)), ["g", "b"]).select("doc_id", "at", "mask")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -181,17 +181,3 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "kept", "n_words", "n_removed"])
 
     return docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", "_m").mapInArrow(run, "doc_id long, kept string, n_words long, n_removed long")
-
-
-def brute_force(texts: dict[int, str], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """For tests: doc_id -> n_words, n_removed, sha256 of what is kept."""
-    own = {d: (t or "").encode().split() for d, t in texts.items()}
-    seen: dict[tuple, int] = {}
-    for w in own.values():
-        for i in range(len(w) - window + 1):
-            seen[tuple(w[i : i + window])] = seen.get(tuple(w[i : i + window]), 0) + 1
-    out = {}
-    for d, w in own.items():
-        gone = {k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
-        out[d] = (len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
-    return out
