@@ -56,7 +56,7 @@ def repeated_chunks(docs: DataFrame, row: str = "doc_id") -> DataFrame:
     groups = keyed.groupBy("_h").agg(F.count("*").alias("n"), F.min(F.struct(row, "_k")).alias("_first")).where("n > 1").drop("n")
     candidates = materialize(keyed.join(materialize(groups), "_h"))
     wanted = candidates.groupBy(row).agg(F.collect_list(F.struct("_k", "_h", "_first")).alias("_w"))
-    found = _with_chunks(texts.join(wanted, row)).select(row, "_chunk", F.explode("_w").alias("w"))
+    found = _with_chunks(texts.join(wanted.hint("merge"), row)).select(row, "_chunk", F.explode("_w").alias("w"))
     found = found.select(row, "w._k", "w._h", "w._first", F.get("_chunk", F.col("w._k"))["s"].alias("s"))
     same = found.groupBy("_h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") == F.col("b")).select("_h")
     same = materialize(same)
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_chunks", "n_removed")
     remove = repeated_chunks(docs.where(F.col("doc_id").isNotNull())).groupBy("doc_id").agg(F.collect_set("_k").alias("_remove"))
-    joined = _with_chunks(docs.join(remove, "doc_id", "left"))
+    joined = _with_chunks(docs.join(remove.hint("merge"), "doc_id", "left"))
     kept = F.filter("_chunk", lambda c, k: ~F.array_contains(F.col("_remove"), k))
     text = F.when(F.col("_remove").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["s"]), "\n"))
     n_removed = F.coalesce(F.size("_remove"), F.lit(0)).cast("long")
