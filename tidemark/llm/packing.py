@@ -23,7 +23,7 @@ from .common import materialize, ranked
 
 SIZE = 4096
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: These strings are single tokens of the vocabulary, and these characters are white space to Python alone.
 WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f]")
 
@@ -49,7 +49,9 @@ class WordEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         words = text.split()
         cache = self.cache
-        if missing := [w for w in set(words) if w not in cache]:
+        known = list(map(cache.get, words))
+        if None in known:
+            missing = list({w for w, k in zip(words, known, strict=True) if k is None})
             if len(cache) + len(missing) > self.cache_words:
                 cache.clear()
                 missing = list(set(words))
@@ -60,7 +62,8 @@ class WordEncoder:
             for w, end in zip(missing, ends.tolist(), strict=True):
                 cache[w] = data[at * 4 : end * 4]
                 at = end + 1
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4")
+            known = map(cache.__getitem__, words)
+        return np.frombuffer(b"".join(known), dtype="<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -74,9 +77,9 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE)
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.ids(text.as_py() or ""), np.array([END_ID], "<u4"))
-                out += [(doc, k, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for k, at in enumerate(range(0, len(ids), size)) for x in [ids[at : at + size]]]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.append(encoder.ids(text or ""), np.array([END_ID], "<u4"))
+                out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
