@@ -27,7 +27,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, size: int = LEXICON, max_share: float = MAX_SHARE) -> DataFrame:
-    """term, mask: the terms in the band; a bit of mask for each randomised part that the term is in."""
+    """term, h, mask: the terms in the band, their hashes, and a bit of mask for each randomised part that the term is in."""
     n = docs.count()
     df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = materialize(df.where((F.col("df") >= 2) & (F.col("df") <= max(2, max_share * n))))
@@ -44,32 +44,36 @@ def lexicon(docs: DataFrame, size: int = LEXICON, max_share: float = MAX_SHARE)
         h = F.xxhash64("term", F.lit(r))
         for j in range(1, LEVELS + 1):
             mask = mask.bitwiseOR(F.when(F.pmod(h, F.lit(2**j)) == 0, F.lit(1 << (r * LEVELS + j - 1)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.where(step >= edge).select("term", mask.alias("mask"))
+    return df.where(step >= edge).select("term", F.xxhash64("term").alias("h"), mask.alias("mask"))
 
 
 def _hashes(entries: Column, which: int) -> Column:
-    """Array of SUBSETS hashes, null where the part has no term; entries: set of (which, term, mask)."""
-    own = F.array_sort(F.filter(entries, lambda e: (e["which"] == which) & e["term"].isNotNull()))
-    part = lambda s: F.filter(own, lambda e: e["mask"].bitwiseAND(F.lit(1 << s).cast("long")) != 0)
-    members = lambda s: F.array_join(F.transform(part(s), lambda e: e["term"]), " ")
-    return F.transform(F.array(*[members(s) for s in range(SUBSETS)]), lambda m: F.when(m != "", F.hash(m)))
+    """Array of SUBSETS hashes, null where the part has no term; entries: set of (which, h, mask)."""
+    own = F.array_sort(F.filter(entries, lambda e: e["which"] == which))
+    part = lambda s: F.transform(F.filter(own, lambda e: e["mask"].bitwiseAND(F.lit(1 << s).cast("long")) != 0), lambda e: e["h"])
+    return F.transform(F.array(*[part(s) for s in range(SUBSETS)]), lambda m: F.when(F.size(m) > 0, F.hash(m)))
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
-    """id_col and, for each name in columns, an array of part hashes `name` and the hash of all terms `name_all`.
+    """The columns of docs that do not start with _text and, for each name in columns, an array of part hashes `name` and
+    the hash of all terms `name_all`.
 
-    columns maps names to texts; other columns of docs are kept. Rows alike in every kept column count as one.
+    columns maps names to texts. Rows alike in id and texts count as one. Terms are listed one a row, looked up in the
+    broadcast lexicon and gathered again; a document's other columns travel in one row of their own.
     """
     names = list(columns)
-    listed = docs.withColumns({f"_t{i}": terms(columns[n]) for i, n in enumerate(names)})
-    every = {f"{n}_all": F.hash(F.array_join(F.array_sort(f"_t{i}"), " "), F.when(F.size(f"_t{i}") == 0, columns[n])) for i, n in enumerate(names)}
-    kept = [c for c in docs.columns if not c.startswith("_text")]
-    nothing = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("term")))
-    pairs = F.concat(nothing, *[F.transform(f"_t{i}", lambda t, i=i: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i in range(len(names))])
-    rows = listed.withColumns(every).select(*kept, *every, F.explode(pairs).alias("p")).select(*kept, *every, "p.which", "p.term")
+    listed = docs.withColumns({f"_t{i}": terms(columns[n]) for i, n in enumerate(names)}).withColumn("_key", F.xxhash64(*columns.values()))
+    every = [F.hash(F.array_join(F.array_sort(f"_t{i}"), " "), F.when(F.size(f"_t{i}") == 0, columns[n])).alias(f"{n}_all") for i, n in enumerate(names)]
+    kept = [c for c in docs.columns if not c.startswith("_text") and c != id_col]
+    meta = F.struct(*[F.col(c) for c in kept], *every)
+    first = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("term"), meta.alias("meta")))
+    rest = [F.transform(f"_t{i}", lambda t, i=i: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i in range(len(names))]
+    typed = F.transform(F.concat(*rest), lambda e: F.struct(e["which"].alias("which"), e["term"].alias("term"), F.when(F.lit(False), meta).alias("meta")))
+    rows = listed.select(id_col, "_key", F.explode(F.concat(first, typed)).alias("p")).select(id_col, "_key", "p.which", "p.term", "p.meta")
     met = rows.join(F.broadcast(words), "term", "left").where(F.col("mask").isNotNull() | F.col("term").isNull())
-    sets = met.groupBy(*kept, *every).agg(F.collect_set(F.struct("which", "term", "mask")).alias("_set"))
-    return sets.withColumns({n: _hashes(F.col("_set"), i) for i, n in enumerate(names)}).drop("_set")
+    entry = F.when(F.col("which") >= 0, F.struct("which", "h", "mask"))
+    sets = met.groupBy(id_col, "_key").agg(F.collect_set(entry).alias("_set"), F.max("meta").alias("meta"))
+    return sets.select(id_col, "meta.*", *[_hashes(F.col("_set"), i).alias(n) for i, n in enumerate(names)])
 
 
 def as_text(parts: str, every: str) -> Column:
