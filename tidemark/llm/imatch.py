@@ -67,7 +67,11 @@ def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, Column],
     kept = [c for c in docs.columns if not c.startswith("_text") and c != id_col]
     meta = F.struct(*[F.col(c) for c in kept], *every)
     first = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("term"), meta.alias("meta")))
-    rest = [F.transform(f"_t{i}", lambda t, i=i: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i in range(len(names))]
+
+    def tagged(i: int) -> Column:  # a second parameter of the lambda would be the place in the array
+        return F.transform(f"_t{i}", lambda t: F.struct(F.lit(i).alias("which"), t.alias("term")))
+
+    rest = [tagged(i) for i in range(len(names))]
     typed = F.transform(F.concat(*rest), lambda e: F.struct(e["which"].alias("which"), e["term"].alias("term"), F.when(F.lit(False), meta).alias("meta")))
     rows = listed.select(id_col, "_key", F.explode(F.concat(first, typed)).alias("p")).select(id_col, "_key", "p.which", "p.term", "p.meta")
     met = rows.join(F.broadcast(words), "term", "left").where(F.col("mask").isNotNull() | F.col("term").isNull())

@@ -19,33 +19,26 @@ from .common import materialize, portable_hash
 WINDOW, DIVISOR, MIN_LINES = 3, 5, 2
 
 
-def _chunks(text: Column) -> Column:
-    """Array of chunks; a chunk is an array of lines."""
-    lines = F.split(text, "\n")
-    hashes = F.transform(lines, portable_hash)
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: the optimiser does not copy them into the lambdas that use them."""
+    return df.withColumn("_x", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", "_x.*").drop("_x")
+
+
+def _with_chunks(docs: DataFrame) -> DataFrame:
+    """docs with _chunk: array of structs (n, s), the number of lines and the text of each chunk in order."""
+    out = _once(docs, _lines=F.split("text", "\n"))
+    out = _once(out, _hash=F.transform("_lines", portable_hash))
 
     def rolling(i: Column) -> Column:
         before = lambda k: F.when(i >= k, F.get("_hash", i - k)).otherwise(F.lit(0))
         return sum((before(k) * (31**k) for k in range(1, WINDOW)), F.get("_hash", i))
 
-    return lines, hashes, rolling
-
-
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _lines and _cuts: the number of lines before each chunk's end, ascending."""
-    lines, hashes, rolling = _chunks(F.col("text"))
-    out = docs.withColumn("_lines", lines).withColumn("_hash", hashes)
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     ends = F.filter(every, lambda i: (rolling(i) % DIVISOR == 0) | (i == F.size("_lines") - 1))
-    return out.withColumn("_cuts", F.transform(ends, lambda i: i + 1)).drop("_hash")
-
-
-def _with_chunks(docs: DataFrame) -> DataFrame:
-    """_chunk: array of structs (lines, text) in order."""
-    cut = chunk_rows(docs)
+    out = _once(out, _cuts=F.transform(ends, lambda i: i + 1))
     start = lambda k: F.when(k > 0, F.get("_cuts", k - 1)).otherwise(F.lit(0))
     chunk = lambda end, k: F.struct((end - start(k)).alias("n"), F.array_join(F.slice("_lines", start(k) + 1, end - start(k)), "\n").alias("s"))
-    return cut.withColumn("_chunk", F.transform("_cuts", chunk)).drop("_lines", "_cuts")
+    return _once(out, _chunk=F.transform("_cuts", chunk)).drop("_lines", "_hash", "_cuts")
 
 
 def repeated_chunks(docs: DataFrame, row: str = "doc_id") -> DataFrame:
@@ -75,11 +68,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     remove = repeated_chunks(docs.where(F.col("doc_id").isNotNull())).groupBy("doc_id").agg(F.collect_set("_k").alias("_remove"))
     joined = _with_chunks(docs.join(remove.hint("merge"), "doc_id", "left"))
     kept = F.filter("_chunk", lambda c, k: ~F.array_contains(F.col("_remove"), k))
-    text = F.when(F.col("_remove").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["s"]), "\n"))
+    text = F.when(F.col("_remove").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda c: c["s"]), "\n"))
     n_removed = F.coalesce(F.size("_remove"), F.lit(0)).cast("long")
-    n_chunks = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_chunk")).cast("long")
+    n_chunks = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_chunk")).cast("long")
     new = {"text": text, "n_chunks": n_chunks, "n_removed": F.when(F.col("_remove").isNull(), F.lit(0)).otherwise(n_removed).cast("long")}
-    return joined.withColumns(new).select(*docs.columns, "n_chunks", "n_removed")
+    return _once(joined.withColumnRenamed("text", "_text"), **new).select(*docs.columns, "n_chunks", "n_removed")
 
 
 ORACLE = r"""
