@@ -189,6 +189,10 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     apart = (F.col("x.component") < F.col("y.component")) & _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent)
     # a pair comes up at the first n-gram that both prefixes hold, and only if they hold enough
     once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.m", "y.m"))
+    # nothing before that n-gram is shared, which bounds the overlap
+    before = lambda side: F.col(f"{side}.u") + F.array_position(f"{side}.own", F.col("x.token")) - 1
+    left = F.least(F.col("x.n") - before("x"), F.col("y.n") - before("y"))
+    once = once & (left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & once).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = _linked(across, lists, percent)
     edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
