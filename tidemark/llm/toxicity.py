@@ -59,11 +59,10 @@ def words_of(text: str) -> set[str]:
 
 def codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each string and triple of places a code of the three characters, and whether the string has all three."""
-    chars = np.zeros((len(strings), SPAN), np.int64)
-    for i, s in enumerate(strings):
-        chars[i, : len(s)] = [ord(c) % 61 + 1 for c in s]
-    a = chars[:, TRIPLES]
-    return (a[:, :, 0] * 64 + a[:, :, 1]) * 64 + a[:, :, 2], a[:, :, 2] > 0
+    points = np.frombuffer("".join([s.ljust(SPAN, "\0") for s in strings]).encode("utf-32-le"), "<u4").reshape(len(strings), SPAN)
+    chars = np.where(points > 0, points % 61 + 1, 0).astype(np.int32)
+    a, b, c = (chars[:, TRIPLES[:, k]] for k in range(LENGTH))
+    return (a * 64 + b) * 64 + c, c > 0
 
 
 def self_kernel(strings: list[str]) -> np.ndarray:
