@@ -66,7 +66,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     """query_id, rank, vec_id, score: for each row of queries its k best rows of vectors, other than rows of its own id.
 
     Ties go to the smaller id. Vectors that are null or hold a null or non-finite component take no part, nor do null
-    ids; shorter vectors count as filled up with zeros, and an empty one scores 0. Repeated ids are rows of their own.
+    ids; shorter vectors count as filled up with zeros, and an empty one scores 0. Repeated ids are candidates of
+    their own; ids of queries should be unique, as rows of one query id share one list.
     Fewer than k candidates give fewer rows. Other columns are left out.
     """
     good = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("v is not null")
