@@ -1,11 +1,15 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 The lexicon holds the terms within a band of inverse document frequency: terms of at most MAX_SHARE of the documents,
-and of those the most frequent ones, LEXICON at most (the lower edge of the band rises until they fit), so it is
-broadcast. A document's distinct terms in the lexicon are sorted and hashed once for each of SUBSETS randomised parts of
-the lexicon. Parts come at LEVELS rates, 1/2, 1/4, ...: short documents are told apart by large parts, long ones by
-small parts, which an edit seldom touches. Likeness is the share of equal hashes among the parts in which either
-document has a term. A document without any term of the lexicon is fingerprinted by all of its terms.
+and of those the most frequent ones, LEXICON at most (the lower edge of the band rises until they fit). A document's
+distinct terms in the lexicon are sorted by hash and hashed once for each of SUBSETS randomised parts of the lexicon.
+Parts come at rates of 1/8 to 1/128 (RATES): short documents are told apart by large parts, long ones by small parts,
+which an edit seldom touches. Likeness is the share of equal hashes among the parts in which either document has a term.
+A document without any term of the lexicon is fingerprinted by all of its terms.
+
+Terms are 64-bit hashes. The lexicon becomes a table of SLOTS numbers, addressed by some bits of a term's hash and
+holding 32 others, which goes along in the plan: its size is fixed, a term is looked up where its text is, and no term
+is shuffled but to count document frequencies. Of lexicon terms with one slot the most frequent stays.
 
 All of it is DataFrame and SQL functions.
 """
@@ -17,19 +21,31 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEXICON, MAX_SHARE, LEVELS, REPLICATES, STEPS = 65_536, 0.1, 6, 8, 8
-SUBSETS = LEVELS * REPLICATES
+LEXICON, MAX_SHARE, REPLICATES, STEPS = 65_536, 0.1, 8, 8
+RATES = range(3, 8)
+SUBSETS = len(RATES) * REPLICATES
+SLOTS = 1 << 18
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    """Sorted hashes of the distinct lower-case runs of letters and digits."""
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))))
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+
+
+def _check(h: Column) -> Column:
+    """32 bits of a hash, never 0, which marks a free slot."""
+    return F.shiftright(h, 32).bitwiseOR(F.lit(1).cast("long")).cast("int")
 
 
 def lexicon(docs: DataFrame, size: int = LEXICON, max_share: float = MAX_SHARE) -> DataFrame:
-    """term, h, mask: the terms in the band, their hashes, and a bit of mask for each randomised part that the term is in."""
+    """slot, check: the terms in the band, as hashes, one a slot at most."""
     n = docs.count()
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode_outer(terms(F.col("text"))).alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("df"))
     df = materialize(df.where((F.col("df") >= 2) & (F.col("df") <= max(2, max_share * n))))
     step = F.floor(F.log2("df") * STEPS).cast("int")
     edge, total = 0, 0
@@ -39,45 +55,36 @@ def lexicon(docs: DataFrame, size: int = LEXICON, max_share: float = MAX_SHARE)
         if total > size:
             edge = r["step"] + 1
             break
-    mask = F.lit(0).cast("long")
-    for r in range(REPLICATES):
-        h = F.xxhash64("term", F.lit(r))
-        for j in range(1, LEVELS + 1):
-            mask = mask.bitwiseOR(F.when(F.pmod(h, F.lit(2**j)) == 0, F.lit(1 << (r * LEVELS + j - 1)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.where(step >= edge).select("term", F.xxhash64("term").alias("h"), mask.alias("mask"))
+    return df.where(step >= edge).groupBy(_slot(F.col("h")).alias("slot")).agg(_check(F.max(F.struct("df", "h"))["h"]).alias("check"))
 
 
-def _hashes(entries: Column, which: int) -> Column:
-    """Array of SUBSETS hashes, null where the part has no term; entries: set of (which, h, mask)."""
-    own = F.array_sort(F.filter(entries, lambda e: e["which"] == which))
-    part = lambda s: F.transform(F.filter(own, lambda e: e["mask"].bitwiseAND(F.lit(1 << s).cast("long")) != 0), lambda e: e["h"])
-    return F.transform(F.array(*[part(s) for s in range(SUBSETS)]), lambda m: F.when(F.size(m) > 0, F.hash(m)))
+def lookup_table(words: DataFrame) -> Column:
+    """The lexicon as a constant array of SLOTS numbers; at most LEXICON rows reach the driver."""
+    table = ["0"] * SLOTS
+    for slot, check in words.select("slot", "check").collect():
+        table[slot] = str(check)
+    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
 
-def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
-    """The columns of docs that do not start with _text and, for each name in columns, an array of part hashes `name` and
-    the hash of all terms `name_all`.
+def _hashes(own: Column) -> Column:
+    """Array of SUBSETS hashes, null where the part has no term; a part's terms have j certain bits of their hash 0."""
+    bits = [((1 << j) - 1) << (r * RATES[-1]) for r in range(REPLICATES) for j in RATES]
+    part = lambda b: F.filter(own, lambda h: h.bitwiseAND(F.lit(b).cast("long")) == 0)
+    return F.transform(F.array(*[part(b) for b in bits]), lambda m: F.when(F.size(m) > 0, F.hash(m)))
 
-    columns maps names to texts. Rows alike in id and texts count as one. Terms are listed one a row, looked up in the
-    broadcast lexicon and gathered again; a document's other columns travel in one row of their own.
-    """
-    names = list(columns)
-    listed = docs.withColumns({f"_t{i}": terms(columns[n]) for i, n in enumerate(names)}).withColumn("_key", F.xxhash64(*columns.values()))
-    every = [F.hash(F.array_join(F.array_sort(f"_t{i}"), " "), F.when(F.size(f"_t{i}") == 0, columns[n])).alias(f"{n}_all") for i, n in enumerate(names)]
-    kept = [c for c in docs.columns if not c.startswith("_text") and c != id_col]
-    meta = F.struct(*[F.col(c) for c in kept], *every)
-    first = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("term"), meta.alias("meta")))
 
-    def tagged(i: int) -> Column:  # a second parameter of the lambda would be the place in the array
-        return F.transform(f"_t{i}", lambda t: F.struct(F.lit(i).alias("which"), t.alias("term")))
+def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """docs with, for each name in columns, an array of part hashes `name` and the hash of all terms `name_all`.
 
-    rest = [tagged(i) for i in range(len(names))]
-    typed = F.transform(F.concat(*rest), lambda e: F.struct(e["which"].alias("which"), e["term"].alias("term"), F.when(F.lit(False), meta).alias("meta")))
-    rows = listed.select(id_col, "_key", F.explode(F.concat(first, typed)).alias("p")).select(id_col, "_key", "p.which", "p.term", "p.meta")
-    met = rows.join(F.broadcast(words), "term", "left").where(F.col("mask").isNotNull() | F.col("term").isNull())
-    entry = F.when(F.col("which") >= 0, F.struct("which", "h", "mask"))
-    sets = met.groupBy(id_col, "_key").agg(F.collect_set(entry).alias("_set"), F.max("meta").alias("meta"))
-    return sets.select(id_col, "meta.*", *[_hashes(F.col("_set"), i).alias(n) for i, n in enumerate(names)])
+    columns maps names to the columns of texts, which go. Every row is worked out where it is.
+    """
+    table = lookup_table(words)
+    for name, text in columns.items():
+        docs = docs.withColumn("_terms", terms(F.col(text)))
+        docs = docs.withColumn("_in", F.filter("_terms", lambda h: F.get(table, _slot(h)) == _check(h)))
+        every = F.hash("_terms", F.when(F.size("_terms") == 0, F.col(text)))
+        docs = docs.withColumn(f"{name}_all", every).withColumn(name, _hashes(F.col("_in"))).drop("_terms", "_in", text)
+    return docs
 
 
 def as_text(parts: str, every: str) -> Column:
@@ -114,22 +121,25 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprint every document and an edited copy, whose last quarter gives way to the start of the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as empty.
-    Ids should be unique: equal rows give one row, rows of one id are each followed by the next larger id (of several
-    such rows by the smallest start), and near_next is the largest. A row with a null id has no next document. An empty
+    Ids should be unique: each row gives a row, rows of one id are each followed by the next larger id (of several such
+    rows by the smallest start), and near_next is the largest. A row with a null id has no next document. An empty
     table gives no rows. Other columns are left out.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = materialize(lexicon(docs))
+    words = lexicon(docs)
     links = materialize(with_next(docs))
     wanted = links.select(F.col("doc_id").alias("_id"), F.col("_next").alias("doc_id"), F.floor(F.col("n") / 4).cast("int").alias("_need"))
-    heads = docs.join(wanted, "doc_id").select(F.col("_id").alias("doc_id"), F.col("doc_id").alias("_next"), F.substring("text", F.lit(1), F.col("_need")).alias("_text_head"))
-    heads = heads.groupBy("doc_id", "_next").agg(F.min("_text_head").alias("_text_head"))
+    # both joins deal the same rows of texts by the same key, so Spark shuffles the texts once
+    keyed = docs.where(F.col("doc_id").isNotNull())
+    heads = keyed.join(wanted.hint("shuffle_hash"), "doc_id").select(F.col("_id").alias("doc_id"), F.col("doc_id").alias("_next"), F.substring("text", F.lit(1), F.col("_need")).alias("_head"))
+    heads = heads.groupBy("doc_id").agg(F.max("_next").alias("_next"), F.min("_head").alias("_head"))
+    rootless = docs.where(F.col("doc_id").isNull()).select("*", F.lit(None).cast("long").alias("_next"), F.lit("").alias("_head"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("_text_head", F.lit("")), F.lit(1), cut))
-    both = docs.join(heads, "doc_id", "left").withColumn("_text_edited", edited).withColumn("n_chars", n.cast("long"))
-    both = both.withColumn("edited_sha256", F.sha2("_text_edited", 256)).withColumnRenamed("text", "_text_own").drop("_text_head")
-    prints = materialize(fingerprints(both, words, {"own": F.col("_text_own"), "edited": F.col("_text_edited")}))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_head", F.lit(1), cut))
+    both = keyed.join(heads, "doc_id").unionByName(rootless).withColumn("_text_edited", edited).withColumn("n_chars", n.cast("long"))
+    both = both.withColumn("edited_sha256", F.sha2("_text_edited", 256)).drop("_head")
+    prints = materialize(fingerprints(both, words, {"own": "text", "edited": "_text_edited"}))
     nexts = prints.select(F.col("doc_id").alias("_next"), F.col("own").alias("next"), F.col("own_all").alias("next_all"))
     best = F.max(likeness("own", "own_all", "next", "next_all")).alias("near_next")
     near = prints.select("doc_id", "_next", "own", "own_all").distinct().join(nexts, "_next").groupBy("doc_id", "own_all").agg(best)
