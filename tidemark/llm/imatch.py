@@ -66,11 +66,16 @@ def lookup_table(words: DataFrame) -> Column:
     return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
 
-def _hashes(own: Column) -> Column:
-    """Array of SUBSETS hashes, null where the part has no term; a part's terms have j certain bits of their hash 0."""
-    bits = [((1 << j) - 1) << (r * RATES[-1]) for r in range(REPLICATES) for j in RATES]
-    part = lambda b: F.filter(own, lambda h: h.bitwiseAND(F.lit(b).cast("long")) == 0)
-    return F.transform(F.array(*[part(b) for b in bits]), lambda m: F.when(F.size(m) > 0, F.hash(m)))
+def _part(own: str, r: int, j: int) -> Column:
+    """The terms of which certain j bits are 0; a replicate's rarer parts lie in its commoner ones."""
+    bits = F.lit(((1 << j) - 1) << (r * RATES[-1])).cast("long")
+    return F.filter(own, lambda h: h.bitwiseAND(bits) == 0)
+
+
+def _hashes() -> Column:
+    """Array of SUBSETS hashes from the columns _part0, _part1, ..., null where the part has no term."""
+    parts = [F.col(f"_part{r}") if j == RATES[0] else _part(f"_part{r}", r, j) for r in range(REPLICATES) for j in RATES]
+    return F.transform(F.array(*parts), lambda m: F.when(F.size(m) > 0, F.hash(m)))
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -83,7 +88,8 @@ def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str]) ->
         docs = docs.withColumn("_terms", terms(F.col(text)))
         docs = docs.withColumn("_in", F.filter("_terms", lambda h: F.get(table, _slot(h)) == _check(h)))
         every = F.hash("_terms", F.when(F.size("_terms") == 0, F.col(text)))
-        docs = docs.withColumn(f"{name}_all", every).withColumn(name, _hashes(F.col("_in"))).drop("_terms", "_in", text)
+        parts = {f"_part{r}": _part("_in", r, RATES[0]) for r in range(REPLICATES)}
+        docs = docs.withColumn(f"{name}_all", every).withColumns(parts).withColumn(name, _hashes()).drop("_terms", "_in", text, *parts)
     return docs
 
 
