@@ -41,3 +41,10 @@ def tokens(text: Column, stop: list[str]) -> Column:
 def gauge(value: Column, low: float, high: float) -> Column:
     """Place between low and high, 0 to 100."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * (value - low) / (high - low)))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson's correlation of two columns where both are known; null, not an error, where either is flat."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), spread)

@@ -62,3 +62,40 @@ def nearest_to(df: DataFrame, keys: list[str], column: str, target: float, withi
     gap = F.abs(F.col(column) - target)
     rest = [c for c in df.columns if c not in keys]
     return df.where(gap <= within).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(gap.alias("gap"), *ties)).alias("r")).select(*keys, "r.*")
+
+
+def split_adjust(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """Values divided by the product of the ratios of later splits (series_id, date, ratio), by one running sum from the end."""
+    both = df.withColumn("_r", F.lit(None).cast("double")).unionByName(splits.select("series_id", "date", F.lit(None).cast("double").alias("value"), F.col("ratio").cast("double").alias("_r")), allowMissingColumns=True)
+    w = Window.partitionBy("series_id").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = F.sum(F.coalesce(F.log("_r"), F.lit(0.0))).over(w) - F.sum(F.coalesce(F.log("_r"), F.lit(0.0))).over(Window.partitionBy("series_id", "date"))
+    return both.withColumn("adjusted", F.col("value") / F.exp(later)).where("_r is null").drop("_r")
+
+
+def total_return(df: DataFrame) -> DataFrame:
+    """Index from 100 of price changes and payments: (value + paid) over the value before, multiplied up."""
+    before = F.lag("value").over(by_date())
+    step = F.coalesce(F.log((F.col("value") + F.col("paid")) / before), F.lit(0.0))
+    return df.withColumn("_s", step).withColumn("index", 100 * F.exp(F.sum("_s").over(by_date().rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
+
+
+def trailing_year(df: DataFrame) -> DataFrame:
+    """Sum of a series' values in the 365 days up to each row."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    return df.withColumn("ttm", F.sum("value").over(Window.partitionBy("series_id").orderBy(day).rangeBetween(-364, 0)))
+
+
+def extend_by_growth(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df, and after its last date the other's values scaled to meet it there; a series without a common last date ends."""
+    last = df.groupBy("series_id").agg(F.max("date").alias("_last"), F.max_by("value", "date").alias("_v"))
+    o = other.select("series_id", "date", F.col("value").alias("_o")).join(last, "series_id")
+    at = F.max(F.when(F.col("date") == F.col("_last"), F.col("_o"))).over(Window.partitionBy("series_id"))
+    more = o.withColumn("value", F.col("_v") * F.col("_o") / at).where((F.col("date") > F.col("_last")) & F.col("value").isNotNull())
+    return df.select("series_id", "date", "value").unionByName(more.select("series_id", "date", "value"))
+
+
+def same_months_before(df: DataFrame, start: str, end: str, base: int) -> DataFrame:
+    """Sum over months [start, end) and over the same calendar months of the base year, as often as each comes."""
+    inside = df.where((F.col("date") >= start) & (F.col("date") < end)).select("series_id", F.month("date").alias("m"), "value")
+    ref = df.where(F.year("date") == base).select("series_id", F.month("date").alias("m"), F.col("value").alias("_b"))
+    return inside.join(ref, ["series_id", "m"], "left").groupBy("series_id").agg(F.sum("value").alias("total"), F.sum("_b").alias("base_total"), F.count("*").alias("months"))

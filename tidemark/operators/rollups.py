@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import correlation
+
 
 def series_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("series_id").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("value").alias("n_obs"), F.max_by("value", "date").alias("last_value"))
@@ -29,22 +31,22 @@ def annual_yoy(yearly: DataFrame) -> DataFrame:
 
 def concentration(df: DataFrame, group: list[str], value: str = "value") -> DataFrame:
     """Herfindahl index, effective number, fragmentation and number of parts above 5 %."""
-    share = F.col(value) / F.sum(value).over(Window.partitionBy(*group))
+    share = F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*group)))
     hhi = F.sum(F.pow("_s", F.lit(2)))
-    return df.withColumn("_s", share).groupBy(*group).agg(hhi.alias("hhi"), (1 / hhi).alias("effective"), (1 - hhi).alias("fragmentation"), F.count_if(F.col("_s") > 0.05).alias("above_5"))
+    return df.withColumn("_s", share).groupBy(*group).agg(hhi.alias("hhi"), F.try_divide(F.lit(1.0), hhi).alias("effective"), (1 - hhi).alias("fragmentation"), F.count_if(F.col("_s") > 0.05).alias("above_5"))
 
 
 def top_k_within(df: DataFrame, group: list[str], label: str, value: str, k: int) -> DataFrame:
     """The k largest labels of each group with their share; ties by label."""
     w = Window.partitionBy(*group)
-    out = df.withColumns({"share": F.col(value) / F.sum(value).over(w), "pos": F.row_number().over(w.orderBy(F.desc(value), label))})
+    out = df.withColumns({"share": F.try_divide(F.col(value), F.sum(value).over(w)), "pos": F.row_number().over(w.orderBy(F.desc(value), label))})
     return out.where(F.col("pos") <= k).select(*group, label, "share", "pos")
 
 
 def pair_stats(df: DataFrame, least: int = 4) -> DataFrame:
     """For each series: points, Pearson correlation, mean absolute and median relative difference of x and y."""
     rel = F.when(F.col("x") != 0, 100 * F.abs(F.col("y") - F.col("x")) / F.abs("x"))
-    out = df.groupBy("series_id").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), F.avg(F.abs(F.col("y") - F.col("x"))).alias("mad"), F.median(rel).alias("med_rel_pct"))
+    out = df.groupBy("series_id").agg(F.count("*").alias("n"), correlation("x", "y").alias("corr"), F.avg(F.abs(F.col("y") - F.col("x"))).alias("mad"), F.median(rel).alias("med_rel_pct"))
     return out.where(F.col("n") >= least)
 
 
@@ -56,14 +58,14 @@ def average_rank(df: DataFrame, column: str, name: str, group: list[str]) -> Dat
 
 def rank_corr(df: DataFrame) -> DataFrame:
     out = average_rank(average_rank(df, "x", "_rx", ["series_id"]), "y", "_ry", ["series_id"])
-    return out.groupBy("series_id").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"))
+    return out.groupBy("series_id").agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("spearman"))
 
 
 def regress(df: DataFrame) -> DataFrame:
     """Least squares of y on x for each series: slope, intercept, R squared, standard error and t of the slope."""
     out = df.groupBy("series_id").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"), F.count("*").alias("n")).where("n > 2")
-    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("_syy")) / (F.col("n") - 2) / F.col("_sxx"))
-    return out.withColumn("se", se).withColumn("t", F.col("slope") / F.col("se")).drop("_sxx", "_syy")
+    se = F.sqrt(F.try_divide(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("_syy")) / (F.col("n") - 2), F.col("_sxx")))
+    return out.withColumn("se", se).withColumn("t", F.try_divide(F.col("slope"), F.col("se"))).drop("_sxx", "_syy")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, group: list[str]) -> DataFrame:

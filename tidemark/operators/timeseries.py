@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import correlation
+
 def by():
     """A series in the order of its dates."""
     return Window.partitionBy("series_id").orderBy("date")
@@ -52,10 +54,10 @@ def rolling(df: DataFrame, rows: int, least: int | None = None) -> DataFrame:
 
 
 def rolling_pair(df: DataFrame, rows: int) -> DataFrame:
-    """Correlation of x and y and slope of y on x over the last `rows` rows."""
+    """Correlation of x and y and slope of y on x over the last `rows` rows; null where flat."""
     w = by().rowsBetween(1 - rows, 0)
     full = F.count("*").over(w) == rows
-    return df.withColumns({"roll_corr": F.when(full, F.corr("x", "y").over(w)), "roll_beta": F.when(full, F.covar_samp("x", "y").over(w) / F.var_samp("x").over(w))})
+    return df.withColumns({"roll_corr": F.when(full, F.try_divide(F.covar_samp("x", "y").over(w), F.stddev_samp("x").over(w) * F.stddev_samp("y").over(w))), "roll_beta": F.when(full, F.try_divide(F.covar_samp("x", "y").over(w), F.var_samp("x").over(w)))})
 
 
 def fill_forward_back(df: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def lead_lag(df: DataFrame, other: DataFrame, lags: range) -> DataFrame:
     x = df.select("series_id", "date", F.col("value").alias("x")).withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
     y = other.select("series_id", F.col("date").alias("_d"), F.col("value").alias("y"))
     both = x.withColumn("_d", F.add_months("date", F.col("lag"))).join(y, ["series_id", "_d"])
-    return both.groupBy("series_id", "lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return both.groupBy("series_id", "lag").agg(F.count("*").alias("n"), correlation("x", "y").alias("corr"))
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
