@@ -23,7 +23,7 @@ from .common import materialize, ranked
 
 SIZE = 4096
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS, BLOCK_CHARS = 800_000, 2_000_000
 #: These strings are single tokens of the vocabulary, and these characters are white space to Python alone.
 WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f]")
 
@@ -44,26 +44,38 @@ class WordEncoder:
         self.cache_words, self.cache = cache_words, {}
         self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
 
-    def ids(self, text: str) -> np.ndarray:
-        if len(self.mark) != 1 or "\x00" in text or WHOLE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = text.split()
-        cache = self.cache
-        known = list(map(cache.get, words))
-        if None in known:
-            missing = list({w for w, k in zip(words, known, strict=True) if k is None})
-            if len(cache) + len(missing) > self.cache_words:
-                cache.clear()
-                missing = list(set(words))
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text in turn; new words are encoded together for texts of BLOCK_CHARS characters or one longer text."""
+        block, chars = [], 0
+        for text in texts:
+            block.append(text)
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, chars = [], 0
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [len(self.mark) != 1 or "\x00" in t or WHOLE.search(t) is not None for t in texts]
+        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        words = set().union(*split)
+        missing = list(words - self.cache.keys())
+        if len(self.cache) + len(missing) > self.cache_words:
+            self.cache.clear()
+            missing = list(words)
+        if missing:
             # one call for all new words; the marks between them show where each word's ids end
             flat = np.array(self.tokenizer.encode_batch_fast([" \x00 ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(flat == self.mark[0]), len(flat))
             data, at = flat.tobytes(), 0
             for w, end in zip(missing, ends.tolist(), strict=True):
-                cache[w] = data[at * 4 : end * 4]
+                self.cache[w] = data[at * 4 : end * 4]
                 at = end + 1
-            known = map(cache.__getitem__, words)
-        return np.frombuffer(b"".join(known), dtype="<u4")
+        for text, own, o in zip(texts, split, odd, strict=True):
+            if o:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), dtype="<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -77,8 +89,9 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE)
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.ids(text or ""), np.array([END_ID], "<u4"))
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc, own in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                ids = np.append(own, np.array([END_ID], "<u4"))
                 out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
