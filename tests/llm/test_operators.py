@@ -158,6 +158,41 @@ def test_line_dedup_bytes_and_empties(spark):
     assert out[4].n_removed > 0 and out[5].n_removed > 0 and "tail" in out[5].text and out[3].slot == "clash"
 
 
+def chunks_by_hand(lines, apart=2):
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    out, begin = [], 0
+    for i in range(len(h)):
+        border = (h[i] + 31 * (h[i - 1] if i else 0) + 961 * (h[i - 2] if i > 1 else 0)) % 5 == 0
+        if i == len(h) - 1 or (border and i + 1 - begin >= apart and len(h) - 1 - i >= apart):
+            out.append(lines[begin : i + 1])
+            begin = i + 1
+    return out
+
+
+def lines_deduped_by_hand(texts):
+    seen, out = set(), {}
+    for d, t in sorted(texts.items()):
+        chunks = chunks_by_hand(t.split("\n"))
+        kept = []
+        for c in chunks:
+            if len(c) < 2 or tuple(c) not in seen:
+                kept.append("\n".join(c))
+            seen.add(tuple(c))
+        out[d] = (len(chunks), len(chunks) - len(kept), "\n".join(kept))
+    return out
+
+
+def test_line_dedup_leaves_nothing_of_a_copy(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        texts.append("\n".join(rng.choice(["a", "b", f"line {rng.randrange(400)}"]) for _ in range(rng.randrange(1, 25))))
+    texts = texts + texts[:40] + ["lead\n" + t for t in texts[:20]]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert {d: (r.n_chunks, r.n_removed, r.text) for d, r in out.items()} == lines_deduped_by_hand(dict(enumerate(texts)))
+    assert all(out[60 + i].n_removed == out[60 + i].n_chunks for i in range(40) if "\n" in texts[i])
+
+
 def test_fingerprints(spark):
     rng = random.Random(3)
     vocabulary = ["w" + str(i) for i in range(400)]

@@ -2,8 +2,9 @@
 
 A text is a list of lines. A rolling hash over the hashes of the last WINDOW lines ends a chunk where it is divisible by
 DIVISOR, so that chunk borders depend on the lines around them and not on their number: a passage keeps its chunks when
-lines are put before it. Chunks of at least MIN_LINES lines that come more than once in the corpus are compared byte by
-byte; every occurrence but the first (smallest doc_id, then place) is removed.
+lines are put before it. No border falls within MIN_LINES lines of the one before or of the end, so every chunk of a text
+of several lines can be compared. Chunks of at least MIN_LINES lines that come more than once in the corpus are compared
+byte by byte; every occurrence but the first (smallest doc_id, then place) is removed.
 
 All of it is DataFrame and SQL functions. Texts are shuffled once, by document; the search for repeats moves hashes and
 places alone, and only repeated chunks are compared.
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize, portable_hash
 
 WINDOW, DIVISOR, MIN_LINES = 3, 5, 2
+#: QUERY_SQL lets a border follow on each line, which leaves chunks of one line that are not compared.
+SQL_APART = 1
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -24,8 +27,11 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn("_x", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", "_x.*").drop("_x")
 
 
-def _with_chunks(docs: DataFrame) -> DataFrame:
-    """docs with _chunk: array of structs (n, s), the number of lines and the text of each chunk in order."""
+def _with_chunks(docs: DataFrame, apart: int) -> DataFrame:
+    """docs with _chunk: array of structs (n, s), the number of lines and the text of each chunk in order.
+
+    Borders are at least `apart` lines from each other and from both ends of the text; apart is 1 or 2.
+    """
     out = _once(docs, _lines=F.split("text", "\n"))
     out = _once(out, _hash=F.transform("_lines", portable_hash))
 
@@ -34,22 +40,27 @@ def _with_chunks(docs: DataFrame) -> DataFrame:
         return sum((before(k) * (31**k) for k in range(1, WINDOW)), F.get("_hash", i))
 
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    ends = F.filter(every, lambda i: (rolling(i) % DIVISOR == 0) | (i == F.size("_lines") - 1))
-    out = _once(out, _cuts=F.transform(ends, lambda i: i + 1))
+    fit = lambda i: (i >= apart - 1) & (i < F.size("_lines") - apart)
+    out = _once(out, _ends=F.filter(every, lambda i: fit(i) & (rolling(i) % DIVISOR == 0)))
+    # of ends on neighbouring lines, every apart-th from the first is a border
+    first = F.filter("_ends", lambda i, k: i - F.coalesce(F.get("_ends", k - 1), F.lit(-2)) > 1)
+    last = F.filter("_ends", lambda i, k: F.coalesce(F.get("_ends", k + 1), i + 2) - i > 1)
+    ends = F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(apart))))
+    out = _once(out, _cuts=F.concat(F.transform(ends, lambda i: i + 1), F.array(F.size("_lines")))).drop("_ends")
     start = lambda k: F.when(k > 0, F.get("_cuts", k - 1)).otherwise(F.lit(0))
     chunk = lambda end, k: F.struct((end - start(k)).alias("n"), F.array_join(F.slice("_lines", start(k) + 1, end - start(k)), "\n").alias("s"))
     return _once(out, _chunk=F.transform("_cuts", chunk)).drop("_lines", "_hash", "_cuts")
 
 
-def repeated_chunks(docs: DataFrame, row: str = "doc_id") -> DataFrame:
+def repeated_chunks(docs: DataFrame, row: str = "doc_id", apart: int = MIN_LINES) -> DataFrame:
     """doc_id, _k: the chunks to remove. Rows with equal doc_id count as one document with the chunks of each."""
     texts = docs.where(F.col("text").contains("\n")).select(row, "text")
-    keyed = _with_chunks(texts).select(row, F.posexplode(F.transform("_chunk", lambda c: F.struct(c["n"].alias("n"), F.xxhash64(c["s"]).alias("h")))).alias("_k", "c"))
+    keyed = _with_chunks(texts, apart).select(row, F.posexplode(F.transform("_chunk", lambda c: F.struct(c["n"].alias("n"), F.xxhash64(c["s"]).alias("h")))).alias("_k", "c"))
     keyed = keyed.where(F.col("c.n") >= MIN_LINES).select(row, "_k", F.col("c.h").alias("_h"))
     groups = keyed.groupBy("_h").agg(F.count("*").alias("n"), F.min(F.struct(row, "_k")).alias("_first")).where("n > 1").drop("n")
     candidates = materialize(keyed.join(materialize(groups), "_h"))
     wanted = candidates.groupBy(row).agg(F.collect_list(F.struct("_k", "_h", "_first")).alias("_w"))
-    found = _with_chunks(texts.join(wanted.hint("merge"), row)).select(row, "_chunk", F.explode("_w").alias("w"))
+    found = _with_chunks(texts.join(wanted.hint("merge"), row), apart).select(row, "_chunk", F.explode("_w").alias("w"))
     found = found.select(row, "w._k", "w._h", "w._first", F.get("_chunk", F.col("w._k"))["s"].alias("s"))
     same = found.groupBy("_h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") == F.col("b")).select("_h")
     same = materialize(same)
@@ -57,7 +68,7 @@ def repeated_chunks(docs: DataFrame, row: str = "doc_id") -> DataFrame:
     return later.join(same, "_h", "left_semi").select(row, "_k")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, apart: int = MIN_LINES) -> DataFrame:
     """docs with text rid of repeated chunks, plus n_chunks and n_removed. Other columns stay as they are.
 
     Null text stays null and empty text empty; both have no chunk to remove, like a text of one line. Rows with equal
@@ -65,8 +76,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     should be unique. A null doc_id's row is kept as it is. Columns named n_chunks or n_removed are replaced.
     """
     docs = docs.drop("n_chunks", "n_removed")
-    remove = repeated_chunks(docs.where(F.col("doc_id").isNotNull())).groupBy("doc_id").agg(F.collect_set("_k").alias("_remove"))
-    joined = _with_chunks(docs.join(remove.hint("merge"), "doc_id", "left"))
+    remove = repeated_chunks(docs.where(F.col("doc_id").isNotNull()), apart=apart).groupBy("doc_id").agg(F.collect_set("_k").alias("_remove"))
+    joined = _with_chunks(docs.join(remove.hint("merge"), "doc_id", "left"), apart)
     kept = F.filter("_chunk", lambda c, k: ~F.array_contains(F.col("_remove"), k))
     text = F.when(F.col("_remove").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda c: c["s"]), "\n"))
     n_removed = F.coalesce(F.size("_remove"), F.lit(0)).cast("long")

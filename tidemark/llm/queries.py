@@ -42,7 +42,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), apart=line_dedup.SQL_APART)
     return out.select("doc_id", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
