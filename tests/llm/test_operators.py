@@ -4,10 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat_format, graph, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk, toxicity
 
 DOCS = "doc_id long, text string, source string, slot string"
@@ -69,6 +72,58 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def kept_by_hand(texts, n=5, percent=80):
+    words_ = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for d, w in words_.items()}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(d for d in sets if find(d) == d)
+
+
+def test_keep_one_of_short_texts_alone(spark):
+    texts = {i: " ".join("abcdef"[:i]) for i in range(1, 7)} | {10 + i: " ".join("abcdef"[:i]) for i in range(1, 7)} | {20: "a x", 21: None}
+    one_each = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), len(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(one_each, n=5, percent=80).collect()) == kept_by_hand(texts)
+    for text in ("a b", "a b c"):
+        assert [len(s) for s in jaccard_join.shingle_sets(pa.array([text]), 5)] == [1]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    passage = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(160):
+        w = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 30, 60]))]
+        if i % 9 == 0:
+            w = list(passage)
+            w[rng.randrange(60)] = "edit"
+        t = " ".join(w) if i % 3 else "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+        rows.append((i, t, "xyz"[i % 7 % 3]))
+        labels.append((i, 0))
+    rows += [(200 + i, t, s) for i, t, s in rows[:12]] + [(300, None, "x"), (301, "", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")  # no toxic one: nothing to learn
+    texts = {d: t for d, t, _ in rows}
+    lined = lines_deduped_by_hand({d: t for d, t in texts.items() if t is not None})
+    texts = {d: None if t is None else lined[d][2] for d, t in texts.items() if t is None or lined[d][1] < lined[d][0]}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    lengths = {d: len(tok.encode(texts[d] or "", add_special_tokens=False).ids) + 1 for d in kept_by_hand(texts)}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.length for r in out} == lengths and len(out) == len(lengths)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 9)] + [(20, 21), (22, 21), (5, 5)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -36,7 +36,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes (uint64) of the word n-grams of each text, in turn; a shorter text is one n-gram."""
     for first, last, h, begins in words.hashed(column, fold=True):
         grams = h.copy()
-        for k in range(1, n):
+        for k in range(1, min(n, len(h))):
             grams[: len(h) - k] = words.mix(grams[: len(h) - k] * np.uint64(words.BASE) + h[k:])
         for i in range(last - first):
             own = h[begins[i] : begins[i + 1]]
