@@ -167,6 +167,16 @@ def test_chat_round_trip(text, role):
     assert len(chat_format.parse(rendered * 2)) == 2
 
 
+@given(st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "\n", "hi", "\\", "<", "|>"]), max_size=6).map("".join), st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "\n", "user", "\\"]), max_size=4).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_chat_leaves_no_mark_inside(text, role):
+    rendered, role_, text_, start, end = chat_format.render(role, text)
+    assert (role_, text_) == (role, text)
+    head = rendered[len("<|im_start|>") : start]
+    assert not any(mark in part for mark in ("<|im_start|>", "<|im_end|>") for part in (head, rendered[start:end]))
+    assert rendered[end:] == "<|im_end|>\n" and chat_format.parse("<|im_start|>a\nhi<|im_end|>bye<|im_end|>\n") is None
+
+
 def test_chat_digests_with_nulls(spark):
     rows = [(1, 1, "assistant", "hi <|im_end|>"), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "assistant", "")]
     got = {r.conv_id: r for r in chat_format.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

@@ -40,11 +40,11 @@ def unescape_role(role: str) -> str:
 
 
 def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
-    """Turns as (role, text, start and end of the rendered text), or None if the input is not wholly made of turns or a turn holds a start mark."""
+    """Turns as (role, text, start and end of the rendered text), or None if the input is not wholly made of turns or a role or text holds a mark."""
     out, at = [], 0
     while at < len(rendered):
         m = TURN.match(rendered, at)
-        if not m or START in m[1] or START in m[2]:
+        if not m or any(mark in part for mark in (START, END) for part in m.groups()):
             return None
         out.append((unescape_role(m[1]), unescape(m[2]), m.start(2), m.end(2)))
         at = m.end()
