@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,33 @@ def test_schedule_stays_within_one_block(weights):
         assert all(abs((t + 1) * c / 60 - done[x]) < 1 for x, c in quota.items())
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {f"s{i:02}": (10 if i == 0 else 1) ** 0.5 for i in range(20)}, {"a": 0.99999, "b": 1e-5}, {f"s{i}": 1 + i % 3 for i in range(1500)}])
+def test_mixing_stays_within_one_block_of_its_weights(weights):
+    share, n = mixing.shares(weights), 30_000
+    total = sum(share.values())
+    assert all(Fraction(share[s], total) == Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items())
+    blocks = {s: n * share[s] // total + 1 for s in share}
+    done = Counter()
+    for t, (s, i, slot, release, deadline) in enumerate(mixing.walk(share, blocks, total, dict.fromkeys(share, 0))):
+        if t == n:
+            break
+        assert slot == t and release <= t < deadline and i == done[s]
+        done[s] += 1
+        for x in share if len(share) < 30 or t % 1000 == 0 else [s]:
+            assert abs((t + 1) * share[x] - done[x] * total) < total
+
+
+def test_mixing_ranges_make_one_schedule(spark):
+    weights, blocks = {f"s{i}": (1 + i % 5) ** 0.5 for i in range(12)}, {f"s{i}": 20 + 17 * i for i in range(12)}
+    share = mixing.shares(weights)
+    whole = list(mixing.walk(share, blocks, sum(share.values()), dict.fromkeys(share, 0)))
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in whole) and len(whole) == sum(blocks.values())
+    assert sorted(map(tuple, mixing.plan(spark, share, blocks, least=50).collect())) == sorted(whole)
+    rows = [(i, f"s{i % 1200}") for i in range(2400)]  # more sources than slots of the former period
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert sorted((r.doc_id, r.source) for r in out) == rows and len({r.mix_order for r in out}) == 2400
+
+
 def test_mixing_keeps_every_row(spark):
     rows = [(i, None if i % 7 == 0 else ("" if i % 5 == 0 else "big"), "t") for i in range(300)] + [(1, "big", "t")]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, block string"), block_rows=4, period=20).collect()

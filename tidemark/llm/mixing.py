@@ -1,30 +1,37 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in a hashed order, form blocks. Weights become quotas over a period of `period` slots. The
-i-th block of a source with quota c has the release time floor((i-1) * period / c) and the deadline
-ceil(i * period / c). In each slot the released block with the earliest deadline runs. Quotas add up to the period,
-so every block meets its deadline, and after any number of slots each source is within less than one block of its share.
-All lags are zero at the end of a period, so the schedule repeats: one period is worked out (a table of `period` rows,
-whatever the data's size) and each block finds its slot by its number.
-
-When a source has run out, its slots stay empty and the others go on in their order. No row is dropped or repeated.
+The documents of a source, in a hashed order, form blocks. With the weight w, a source's share of all slots as an exact
+fraction, its i-th block (from 1) has the release time floor((i-1) / w) and the deadline ceil(i / w). In each slot the
+released block with the earliest deadline runs. Shares add up to one, so every block meets its deadline, and until a
+source runs out, it is within less than one block of its share of the slots after any number of slots.
+
+Blocks are scheduled once over the whole run. The driver walks through the slots and keeps only each source's number of
+blocks done, at the start of every range of slots; each range is then scheduled by a task from there. Memory on the
+driver grows with the number of sources, which may be any, and not with the slots.
+
+When a source has run out, the others go on between their release times and deadlines, so slots may stay empty. No row is
+dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked
 
 BLOCK_ROWS = 16
-PERIOD = 1000
 EXPONENT = 0.5
+LEAST_RANGE = 5000
 
 
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole slots for each source, one at least, adding up to the period (largest remainders)."""
     if len(weights) > period:
         raise ValueError(f"{len(weights)} sources do not fit a period of {period} slots")
@@ -41,51 +48,100 @@ def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period: (source, number of the block from 0, slot, release, deadline), earliest deadline first."""
-    period = sum(quota.values())
-    waiting = [(0, -(-period // c), s, 0) for s, c in sorted(quota.items())]
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the exact ratio of the weights."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be above 0")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * whole) for s, w in exact.items()}
+
+
+def walk(share: dict[str, int], blocks: dict[str, int], total: int, done: dict[str, int], slot: int = 0) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, number of the block from 0, slot, release, deadline) from a slot on, when done[source] blocks have run.
+
+    `done` is kept up to date. A source has share / total of the slots; total counts sources that have run out too.
+    """
+
+    def window(s: str) -> tuple[int, int, str]:
+        return done[s] * total // share[s], -(-(done[s] + 1) * total // share[s]), s
+
+    waiting = [window(s) for s in done if done[s] < blocks[s]]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, str, int]] = []
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, deadline, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, i, release))
-        deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, slot, release, deadline))
-        if i + 1 < (c := quota[s]):
-            heapq.heappush(waiting, ((i + 1) * period // c, -(-(i + 2) * period // c), s, i + 1))
-    return out
+            release, deadline, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, release))
+        deadline, s, release = heapq.heappop(ready)
+        i, done[s] = done[s], done[s] + 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, window(s))
+        yield s, i, slot, release, deadline
+        slot += 1
+
+
+def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of whole quotas: (source, number of the block from 0, slot, release, deadline), earliest deadline first."""
+    return list(walk(quota, quota, sum(quota.values()), dict.fromkeys(quota, 0)))
+
+
+def ranges(share: dict[str, int], blocks: dict[str, int], least: int = LEAST_RANGE) -> Iterator[tuple[int, int, int, str, int]]:
+    """(range, its first slot, number of its blocks, source, blocks of the source done before) where a source has blocks left."""
+    size = max(least, 4 * len(share))
+    done = dict.fromkeys(sorted(share), 0)
+    before, first = dict(done), 0
+    n, k = 0, 0
+    for _, _, slot, _, _ in walk(share, blocks, sum(share.values()), done):
+        n += 1
+        if n == size:
+            yield from ((k, first, n, s, before[s]) for s in before if before[s] < blocks[s])
+            before, first, n, k = dict(done), slot + 1, 0, k + 1
+    if n:
+        yield from ((k, first, n, s, before[s]) for s in before if before[s] < blocks[s])
+
+
+def plan(spark: SparkSession, share: dict[str, int], blocks: dict[str, int], least: int = LEAST_RANGE) -> DataFrame:
+    """_source, block, slot, mix_release, mix_deadline for every block; each range of slots is scheduled by a task."""
+    total = str(sum(share.values()))
+    rows = [(k, first, n, s, done, blocks[s], str(share[s]), total) for k, first, n, s, done in ranges(share, blocks, least)]
+    starts = spark.createDataFrame(rows, "k long, first long, n long, s string, done long, blocks long, share string, total string")
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {name: table.column(name).to_pylist() for name in ("s", "done", "blocks", "share")}
+        first, n, all_ = table.column("first")[0].as_py(), table.column("n")[0].as_py(), int(table.column("total")[0].as_py())
+        share_ = dict(zip(col["s"], map(int, col["share"]), strict=True))
+        steps = walk(share_, dict(zip(col["s"], col["blocks"], strict=True)), all_, dict(zip(col["s"], col["done"], strict=True)), first)
+        out = list(zip(*(step for _, step in zip(range(n), steps))))
+        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["_source", "block", "slot", "mix_release", "mix_deadline"])
+
+    return starts.groupBy("k").applyInArrow(run, "_source string, block long, slot long, mix_release long, mix_deadline long")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, exponent: float = EXPONENT) -> DataFrame:
     """Add block (number within the source), slot (when the block runs), mix_release, mix_deadline and mix_order to docs.
 
     mix_order sorts the documents into the mix: slot * block_rows + place in the block. Without weights a source's
-    weight is its number of rows to the power `exponent`. A null source is a source of its own, apart from the empty
-    text. Rows with equal ids come in any order among themselves and all stay. An empty table gives no rows. Columns of
-    docs that have the names of the added ones are replaced.
+    weight is its number of rows to the power `exponent`. Weights are taken exactly; only if a period is asked for are they
+    rounded to whole slots of it. A null source is a source of its own, apart from the empty text. Rows with equal ids
+    come in any order among themselves and all stay. An empty table gives no rows. Columns of docs that have the names
+    of the added ones are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("block", "slot", "mix_release", "mix_deadline", "mix_order")
     named = docs.withColumn("_source", F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(key).cast("string"))))
-    sizes = {r["_source"]: r["n"] for r in named.groupBy("_source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
+    # one row a source
+    sizes = {r["_source"]: r["n"] for r in named.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     own = {("-" if s is None else f"+{s}"): w for s, w in weights.items()} if weights else {s: n**exponent for s, n in sizes.items()}
     if lacking := sorted(set(sizes) - set(own)):
         raise ValueError(f"no weight for {lacking[:5]}")
-    quota = quotas({s: own[s] for s in own if s in sizes}, period) if sizes else {}
-    rows = [(s, i, quota[s], slot, release, deadline) for s, i, slot, release, deadline in schedule(quota)]
-    plan = spark.createDataFrame(rows, "_source string, _i long, _quota long, _slot long, _release long, _deadline long")
-    per_source = spark.createDataFrame(sorted(quota.items()), "_source string, _quota long")
+    own = {s: own[s] for s in own if s in sizes}
+    share = (quotas(own, period) if period else shares(own)) if sizes else {}
+    slots = plan(docs.sparkSession, share, {s: -(-n // block_rows) for s, n in sizes.items()})
     placed = ranked(named, ["_source"], [id_col], name="_rank").withColumn("block", F.floor(F.col("_rank") / block_rows))
-    placed = placed.join(F.broadcast(per_source), "_source").withColumn("_i", F.col("block") % F.col("_quota"))
-    round_ = F.floor(F.col("block") / F.col("_quota")) * period
     return (
-        placed.join(F.broadcast(plan.drop("_quota")), ["_source", "_i"])
-        .withColumn("slot", round_ + F.col("_slot"))
-        .withColumn("mix_release", round_ + F.col("_release"))
-        .withColumn("mix_deadline", round_ + F.col("_deadline"))
+        placed.join(slots, ["_source", "block"])
         .withColumn("mix_order", F.col("slot") * block_rows + F.col("_rank") % block_rows)
-        .drop("_source", "_i", "_quota", "_slot", "_release", "_deadline", "_rank")
+        .select(*docs.columns, "block", "slot", "mix_release", "mix_deadline", "mix_order")
     )
