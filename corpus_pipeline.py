@@ -26,15 +26,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, put in the order in which the sources' blocks are due: files and rows follow the mix."""
+    """All documents with mix_order, and in its order: files, rows and later the sequences follow the mix."""
     mixed = mixing.mix(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "mix_order").sortWithinPartitions("mix_order", "doc_id").select(*docs.columns)
+    return mixed.repartitionByRange(parts, "mix_order").sortWithinPartitions("mix_order", "doc_id").select(*docs.columns, "mix_order")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids."""
-    return packing.pack(docs)
+    """Token sequences of at most 4096 ids, in the order of the mix."""
+    return packing.pack(docs, order="mix_order")
 
 
 STAGES = [

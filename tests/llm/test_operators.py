@@ -123,6 +123,29 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     lengths = {d: len(tok.encode(texts[d] or "", add_special_tokens=False).ids) + 1 for d in kept_by_hand(texts)}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.length for r in out} == lengths and len(out) == len(lengths)
+    kept = spark.createDataFrame([(d, s) for d, _, s in rows if d in lengths], "doc_id long, source string")
+    due = {r.doc_id: r.mix_order for r in mixing.mix(kept).collect()}
+    first = {}
+    for r in out:
+        first[r.sequence_id] = min(first.get(r.sequence_id, (1e9,)), (due[r.doc_id],))
+    assert sorted(first) == list(range(len(first))) and [first[k] for k in sorted(first)] == sorted(first.values())
+
+
+def test_packing_follows_an_order(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["the"] * rng.randrange(40, 150)), (i * 37) % 101) for i in range(100)] + [(200 + i, "the " * 90, 300 - i) for i in range(30)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, due long"), size=64, order="due").collect()
+    due = {d: x for d, _, x in rows}
+    by, by_length = {}, {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((due[r.doc_id], r.doc_id, r.piece))
+        by_length.setdefault((r.length, r.offset), []).append((r.sequence_id, due[r.doc_id]))
+    assert sorted(by) == list(range(len(by))) and [min(by[k]) for k in sorted(by)] == sorted(min(v) for v in by.values())
+    full = sorted(by_length[64, 0])
+    assert [x for _, x in full] == sorted(x for _, x in full)
+    plain = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, due long"), size=64).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in plain)
+    assert len({r.sequence_id for r in plain}) == len(by)
 
 
 def test_components(spark):

@@ -38,15 +38,19 @@ def portable_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("long")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], rows_per_bucket: int = 50_000, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], rows_per_bucket: int = 50_000, name: str = "rank", in_order: bool = False) -> DataFrame:
     """Add the 0-based rank of each row among the rows with equal keys.
 
     A group may hold a third of all rows, so it is split into hash buckets of about rows_per_bucket rows: buckets are
     counted, their starts summed up per key (as many rows as there are buckets), and rows numbered within a bucket.
-    Rows of a group come by bucket, then by `order`.
+    Rows of a group come by bucket, then by `order`; with in_order the buckets are ranges, so rows come by `order` alone.
     """
     buckets = max(16, -(-df.count() // rows_per_bucket))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    if in_order:
+        # written down, so that every use sees the same borders
+        df = materialize(df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     starts = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

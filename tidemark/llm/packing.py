@@ -5,7 +5,8 @@ histogram of piece lengths, which has at most `size` entries whatever the number
 opens a sequence; the gap is looked up among single lengths, sums of pairs and sums of triples, and a combination that
 fills it exactly is consumed as often as the counts allow. Where none fills the gap, the longest piece that fits goes
 in (best fit) and the lookup is repeated for what is left. The plan, a table of (length, range of ranks, first sequence,
-offset) rows, is joined to the pieces by length and by their rank among the pieces of that length.
+offset) rows, is joined to the pieces by length and by their rank among the pieces of that length. Ranks may follow a given
+order of the documents; sequences then do, too.
 """
 
 from __future__ import annotations
@@ -81,8 +82,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for each piece of each document; a null text counts as empty."""
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 for each piece of each document; a null text counts as empty.
+
+    With `order`, a column of whole numbers, the document's number comes along as _order.
+    """
     path = tokenizer_path or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +94,18 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE)
         for batch in batches:
             out = []
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            for doc, own in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+            rest = [column.to_pylist() for column in batch.columns[2:]]
+            for doc, own, *due in zip(batch.column(0).to_pylist(), encoder.ids(texts), *rest, strict=True):
                 ids = np.append(own, np.array([END_ID], "<u4"))
-                out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
+                out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size]), *due) for k, at in enumerate(range(0, len(ids), size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema, read = "doc_id long, piece int, start long, length long, ids_crc32 long", docs.select("doc_id", "text")
+    if order:
+        names, kinds, schema = [*names, "_order"], [*kinds, pa.int64()], f"{schema}, _order long"
+        read = docs.select("doc_id", "text", F.col(order).cast("long"))
+    return read.mapInArrow(cut, schema)
 
 
 def _complement(free: np.ndarray, gap: int, most: int) -> list[int] | None:
@@ -158,19 +167,29 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, order: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document once.
 
+    With `order`, a column of whole numbers, pieces of a length are used in that order (nulls first) and sequences are
+    numbered by their earliest piece; ties come by doc_id, then piece. Without it, both follow hashes and lengths.
+
     Null and empty texts are one end id. Repeated rows are packed as often as they come. Other columns are left out. An
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, size))
+    cut = materialize(pieces(docs, tokenizer_path, size, order))
     # at most `size` rows reach the driver
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.createDataFrame(plan(histogram, size), "_length long, _from long, _to long, _first long, offset long")
-    placed = ranked(cut, ["length"], ["doc_id", "piece"], name="_rank")
+    first = ["_order", "doc_id", "piece"] if order else ["doc_id", "piece"]
+    placed = ranked(cut, ["length"], first, name="_rank", in_order=bool(order))
     # at most a few rows for each length and combination: bounded by the sequence length, not by the data
-    return placed.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset"
+    placed = placed.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(
+        *cut.columns, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset"
     )
+    if order:
+        placed = materialize(placed)
+        earliest = placed.groupBy("sequence_id").agg(F.min(F.struct(*first)).alias("_earliest"))
+        numbered = ranked(earliest.withColumn("_all", F.lit(0)), ["_all"], ["_earliest", "sequence_id"], name="_number", in_order=True)
+        placed = placed.join(numbered.select("sequence_id", "_number"), "sequence_id").drop("sequence_id").withColumnRenamed("_number", "sequence_id")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
