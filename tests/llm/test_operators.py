@@ -73,6 +73,26 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 4)
+    rng = random.Random(6)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(80)] for _ in range(3)]
+    texts = [None, "", "one", "One", "one two"]
+    for _ in range(70):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = "edit" + str(rng.randrange(50))
+        texts.append(" ".join(t))
+    words_ = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset() for w in words_]
+    like = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    first = [min(j for j, b in enumerate(sets) if b == a) if a else i for i, a in enumerate(sets)]
+    want = {i: (first[i], sum(like(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)}
+    assert {r.doc_id: (r.set_id, r.n_links) for r in jaccard_join.link_counts(docs(spark, texts)).collect()} == want
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if first[i] == i and first[j] == j and like(sets[i], sets[j])]
+    assert sorted(map(tuple, jaccard_join.linked_pairs(docs(spark, texts))[1].collect())) == pairs
+
+
 def kept_by_hand(texts, n=5, percent=80):
     words_ = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for d, t in texts.items()}
     sets = {d: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for d, w in words_.items()}

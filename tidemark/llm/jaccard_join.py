@@ -1,4 +1,4 @@
-"""Jaccard similarity join on word n-grams with adaptive multi-match prefixes; returns the classes of linked documents.
+"""Jaccard similarity join on word n-grams with adaptive multi-match prefixes: the classes of linked documents, and the links.
 
 A document is the set of hashes of its word n-grams. Under any one order of all n-grams, two documents at or above the
 threshold share at least m of the first n - ceil(t n) + m n-grams of each, for every m. Three uses are made of that:
@@ -11,7 +11,8 @@ threshold share at least m of the first n - ceil(t n) + m n-grams of each, for e
    nobody, so most documents end here. The rest lengthen their prefix step by step while the estimated cost, the lengths
    of the lists read and the candidates expected from them, falls, and a pair needs as many shared n-grams as the
    smaller of its two m. Each n-gram's first document is verified against all documents of its list; after the classes
-   of those links are known, only pairs of different classes are left to verify.
+   of those links are known, only pairs of different classes are left to verify. Where the links themselves are asked
+   for, all pairs are verified; an n-gram's list is dealt out in parts of SALT_ROWS rows.
 
 Sets are compared by 64-bit hashes of their n-grams.
 """
@@ -30,6 +31,7 @@ from .common import materialize
 from .graph import components
 
 N, PERCENT, LONG_SHARE, MOST_MATCHES, TOKENS_PER_BUCKET, LEAST_BUCKETS = 3, 90, 0.15, 4, 8_000_000, 16
+SALT_ROWS = 500
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -157,8 +159,19 @@ def _possible(a: Column, b: Column, percent: int) -> Column:
     return (small * 100 >= large * percent) & (overlap * (100 + percent) >= (a["n"] + b["n"]) * percent)
 
 
-def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signatures (doc_id, n, k1, k2) of all documents, and the components (id, component) of one document per set."""
+def _once(x: str, y: str, percent: int) -> Column:
+    """Whether a pair of rows of prefixes stands at the first n-gram that both prefixes hold, holds enough and can link."""
+    common = F.array_intersect(f"{x}.own", f"{y}.own")
+    once = (F.get(common, F.lit(0)) == F.col(f"{x}.token")) & (F.size(common) >= F.least(f"{x}.m", f"{y}.m"))
+    # nothing before that n-gram is shared, which bounds the overlap
+    before = lambda side: F.col(f"{side}.u") + F.array_position(f"{side}.own", F.col(f"{x}.token")) - 1
+    left = F.least(F.col(f"{x}.n") - before(x), F.col(f"{y}.n") - before(y))
+    possible = _possible(F.struct(f"{x}.n", f"{x}.u"), F.struct(f"{y}.n", f"{y}.u"), percent)
+    return possible & once & (left * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent)
+
+
+def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures (doc_id, n, k1, k2) of all documents; lists and prefixes of one document per set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = materialize(_signatures(docs, n))
     classes = signatures.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
@@ -173,8 +186,40 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     shared = grams.join(df, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("by_df"))
     lists = shared.select("doc_id", "n", (F.col("n") - F.size("by_df")).alias("u"), F.array_sort("by_df").alias("by_df"))
     lists = materialize(lists.withColumn("tokens", F.transform("by_df", lambda x: x["token"])).where(F.col("u") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    prefixes = materialize(_prefixes(lists, percent))
+    return signatures, lists, materialize(_prefixes(lists, percent))
+
+
+def linked_pairs(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Signatures as in classified, and every link (a, b), a < b, between the smallest ids of two different sets."""
+    signatures, lists, prefixes = _prepared(docs, n, percent)
+    lengths = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = prefixes.join(lengths, "token").withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int")).drop("rows")
+    x = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    y = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _once("x", "y", percent))
+    return signatures, _linked(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), lists, percent)
 
+
+def link_counts(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, set_id (smallest doc_id with the same n-grams), n_links (other documents at or above the threshold, copies included).
+
+    Empty sets and null ids have no link and are sets of their own. The number of links can grow with the square of a
+    group of near copies; equal sets count as one until the end.
+    """
+    signatures, pairs = linked_pairs(docs, n, percent)
+    key = ["n", "k1", "k2"]
+    sets = signatures.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"))
+    both = materialize(pairs)
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(sets.select(F.col("set_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("far"))
+    sets = sets.join(far, "set_id", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("far", F.lit(0)))
+    found = F.col("doc_id").isNotNull()
+    return signatures.join(sets, key, "left").select("doc_id", F.when(found, F.coalesce("set_id", "doc_id")).alias("set_id"), F.when(found, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def classified(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Signatures (doc_id, n, k1, k2) of all documents, and the components (id, component) of one document per set."""
+    signatures, lists, prefixes = _prepared(docs, n, percent)
     row = F.struct("u", "doc_id", "n", "m")
     heads = materialize(prefixes.groupBy("token").agg(F.min(row).alias("head"), F.count("*").alias("rows")).where("rows > 1"))
     met = prefixes.drop("own").join(heads, "token").where((F.col("doc_id") != F.col("head.doc_id")) & _possible(F.struct("n", "u"), F.col("head"), percent))
@@ -185,15 +230,8 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     several = materialize(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     open_ = materialize(placed.join(several, "token"))
     x, y = open_.alias("x"), open_.alias("y")
-    common = F.array_intersect("x.own", "y.own")
-    apart = (F.col("x.component") < F.col("y.component")) & _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent)
-    # a pair comes up at the first n-gram that both prefixes hold, and only if they hold enough
-    once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.m", "y.m"))
-    # nothing before that n-gram is shared, which bounds the overlap
-    before = lambda side: F.col(f"{side}.u") + F.array_position(f"{side}.own", F.col("x.token")) - 1
-    left = F.least(F.col("x.n") - before("x"), F.col("y.n") - before("y"))
-    once = once & (left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & once).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    apart = F.col("x.component") < F.col("y.component")
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _once("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = _linked(across, lists, percent)
     edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     return signatures, components(edges)
@@ -206,7 +244,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     set and links with nothing. Ids should be unique; a row with a null id gets a null component. An empty table gives
     no rows. Other columns are left out.
     """
-    signatures, found = links(docs, n, percent)
+    signatures, found = classified(docs, n, percent)
     own = signatures.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
     own = own.join(found, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("class"))
     component = F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
