@@ -11,12 +11,12 @@ order of the documents; sequences then do, too.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +24,12 @@ from .common import materialize, ranked
 
 SIZE = 4096
 END_ID = 1
-CACHE_WORDS, BLOCK_CHARS = 800_000, 2_000_000
-#: These strings are single tokens of the vocabulary, and these characters are white space to Python alone.
-WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f]")
+CACHE_WORDS, BLOCK_BYTES = 800_000, 8_000_000
+#: ASCII signs but the apostrophe, which may start a contraction.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters (Latin up to U+017F, but for the dotted capital I) that compose and lower-case one by one.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]*$"
+WORD_END = "</w>"
 
 
 def default_tokenizer() -> str:
@@ -35,76 +38,133 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of every segment, one segment after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordEncoder:
-    """Ids of a tokenizer that drops white space: equal to encoding whole texts, but words that came before are looked up."""
+    """Ids of a tokenizer that drops white space, equal to encoding whole texts; distinct words alone are encoded.
+
+    Plain words fall into lower-case letters and the punctuation at their end, which the tokenizer splits too; all other
+    words are encoded as they stand. What came before is looked up.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words, self.cache = cache_words, {}
-        self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text in turn; new words are encoded together for texts of BLOCK_CHARS characters or one longer text."""
-        block, chars = [], 0
-        for text in texts:
-            block.append(text)
-            chars += len(text)
-            if chars >= BLOCK_CHARS:
-                yield from self._block(block)
-                block, chars = [], 0
-        yield from self._block(block)
-
-    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
-        odd = [len(self.mark) != 1 or "\x00" in t or WHOLE.search(t) is not None for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        words = set().union(*split)
-        missing = list(words - self.cache.keys())
-        if len(self.cache) + len(missing) > self.cache_words:
-            self.cache.clear()
-            missing = list(words)
-        if missing:
-            # one call for all new words; the marks between them show where each word's ids end
-            flat = np.array(self.tokenizer.encode_batch_fast([" \x00 ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(flat == self.mark[0]), len(flat))
-            data, at = flat.tobytes(), 0
-            for w, end in zip(missing, ends.tolist(), strict=True):
-                self.cache[w] = data[at * 4 : end * 4]
-                at = end + 1
-        for text, own, o in zip(texts, split, odd, strict=True):
-            if o:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            else:
-                yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), dtype="<u4")
+        self.cache_words = cache_words
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+        self.mark = self._encode("\x00")
+        probe = self._encode("ab cd ., ef")
+        # a tokenizer of another kind has every word encoded as it stands
+        self.split = len(self.mark) == 1 and self.ends[probe].sum() == 4 and bool(self.ends[probe[-1]]) and np.array_equal(self._encode("Ab.,"), self._encode("ab ., "))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _store(self, new: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, new])
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.length, self.flat = np.append(self.length, lengths), np.append(self.flat, flat)
+
+    def _look_up(self, parts: pa.Array, whole: bool) -> np.ndarray:
+        """The place of each part, -1 for the empty one. whole: encoded as they stand, else single words of the tokenizer."""
+        parts = parts.dictionary_encode()
+        distinct = parts.dictionary
+        new = distinct.filter(pc.invert(pc.or_(pc.is_in(distinct, value_set=self.known), pc.equal(distinct, ""))))
+        if whole and len(new):
+            fit = pc.invert(pc.match_substring(new, "\x00")) if len(self.mark) == 1 else pa.array(np.zeros(len(new), bool))
+            rest, alone = new.filter(fit), new.filter(pc.invert(fit))
+            if len(rest):
+                # marks between words show where each word's ids end
+                flat = self._encode(" \x00 ".join(rest.to_pylist()))
+                ends = np.append(np.flatnonzero(flat == self.mark[0]), len(flat))
+                self._store(rest, flat[flat != self.mark[0]], np.diff(ends, prepend=-1) - 1)
+            if len(alone):
+                coded = [self._encode(w) for w in alone.to_pylist()]
+                self._store(alone, np.concatenate(coded), np.array([len(c) for c in coded]))
+        elif len(new):
+            flat = self._encode(" ".join(new.to_pylist()))
+            self._store(new, flat, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1))
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        return place[parts.indices.to_numpy()]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids start (one more at the end)."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        which, distinct = words.indices.to_numpy(), words.dictionary
+        if len(self.known) > self.cache_words:
+            self._clear()
+        base = pc.utf8_rtrim(distinct, characters=PUNCTUATION)
+        plain = pc.match_substring_regex(base, PLAIN).to_numpy(zero_copy_only=False) & self.split
+        # the punctuation at the end is what the base does not cover; mostly nothing or one sign
+        cut = np.where(plain, pc.subtract(pc.binary_length(distinct), pc.binary_length(base)).to_numpy(zero_copy_only=False), 0)
+        first, second = np.full(len(distinct), -1), np.full(len(distinct), -1)
+        first[plain] = self._look_up(pc.utf8_lower(base.filter(pa.array(plain))), whole=False)
+        first[~plain] = self._look_up(distinct.filter(pa.array(~plain)), whole=True)
+        some = np.flatnonzero(cut)
+        signs = pc.replace_substring_regex(distinct.take(pa.array(some)), pattern=r"(?s)^.*?([!-&(-/:-@\[-`{-~]*)$", replacement="\\1")
+        second[some] = self._look_up(signs, whole=False)
+        length, start = np.append(self.length, 0), np.append(self.start, 0)  # place -1: nothing
+        pair = np.stack([first, second], axis=1).ravel()
+        own = self.flat[_ragged(start[pair], length[pair])]
+        sizes = length[first] + length[second]
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ids = own[_ragged(starts[which], each)]
+        return ids, np.append(0, np.cumsum(each))[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts take about BLOCK_BYTES together; a longer text comes alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, order: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document; a null text counts as empty.
 
-    With `order`, a column of whole numbers, the document's number comes along as _order.
+    With `order`, a column of whole numbers, the document's number comes along as _order. A text of any length is encoded
+    whole, in the memory of some tens of times its size.
     """
     path = tokenizer_path or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
-            out = []
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            rest = [column.to_pylist() for column in batch.columns[2:]]
-            for doc, own, *due in zip(batch.column(0).to_pylist(), encoder.ids(texts), *rest, strict=True):
-                ids = np.append(own, np.array([END_ID], "<u4"))
-                out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size]), *due) for k, at in enumerate(range(0, len(ids), size))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
+            for rows in _slices(batch, 1):
+                out = []
+                ids, begins = encoder.ids(rows.column(1).fill_null(""))
+                rest = [column.to_pylist() for column in rows.columns[2:]]
+                for doc, begin, end, *due in zip(rows.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), *rest, strict=True):
+                    own = np.append(ids[begin:end], np.array([END_ID], "<u4"))
+                    out += [(doc, k, at, min(size, len(own) - at), zlib.crc32(own[at : at + size]), *due) for k, at in enumerate(range(0, len(own), size))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names=names)
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    schema, read = "doc_id long, piece int, start long, length long, ids_crc32 long", docs.select("doc_id", "text")
+    schema, read = "doc_id long, piece int, start long, length long, ids_crc32 long", docs.select(F.col("doc_id").cast("long"), "text")
     if order:
         names, kinds, schema = [*names, "_order"], [*kinds, pa.int64()], f"{schema}, _order long"
-        read = docs.select("doc_id", "text", F.col(order).cast("long"))
+        read = docs.select(F.col("doc_id").cast("long"), "text", F.col(order).cast("long"))
     return read.mapInArrow(cut, schema)
 
 
