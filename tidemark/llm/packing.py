@@ -81,22 +81,28 @@ class WordEncoder:
         """The place of each part, -1 for the empty one. whole: encoded as they stand, else single words of the tokenizer."""
         parts = parts.dictionary_encode()
         distinct = parts.dictionary
-        new = distinct.filter(pc.invert(pc.or_(pc.is_in(distinct, value_set=self.known), pc.equal(distinct, ""))))
-        if whole and len(new):
-            fit = pc.invert(pc.match_substring(new, "\x00")) if len(self.mark) == 1 else pa.array(np.zeros(len(new), bool))
-            rest, alone = new.filter(fit), new.filter(pc.invert(fit))
-            if len(rest):
-                # marks between words show where each word's ids end
-                flat = self._encode(" \x00 ".join(rest.to_pylist()))
-                ends = np.append(np.flatnonzero(flat == self.mark[0]), len(flat))
-                self._store(rest, flat[flat != self.mark[0]], np.diff(ends, prepend=-1) - 1)
-            if len(alone):
-                coded = [self._encode(w) for w in alone.to_pylist()]
-                self._store(alone, np.concatenate(coded), np.array([len(c) for c in coded]))
-        elif len(new):
-            flat = self._encode(" ".join(new.to_pylist()))
-            self._store(new, flat, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1))
-        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        new = (place < 0) & pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
+        apart = np.zeros(len(new), bool)
+        if whole:
+            # marks between words show where each word's ids end
+            apart = new & (pc.match_substring(distinct, "\x00").to_numpy(zero_copy_only=False) if len(self.mark) == 1 else True)
+        for which in (new & ~apart, apart):
+            words = distinct.filter(pa.array(which))
+            if not len(words):
+                continue
+            if which is apart:
+                coded = [self._encode(w) for w in words.to_pylist()]
+                flat, lengths = np.concatenate(coded), np.array([len(c) for c in coded])
+            elif whole:
+                flat = self._encode(" \x00 ".join(words.to_pylist()))
+                lengths = np.diff(np.append(np.flatnonzero(flat == self.mark[0]), len(flat)), prepend=-1) - 1
+                flat = flat[flat != self.mark[0]]
+            else:
+                flat = self._encode(" ".join(words.to_pylist()))
+                lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+            place[which] = len(self.known) + np.arange(len(words))
+            self._store(words, flat, lengths)
         return place[parts.indices.to_numpy()]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
