@@ -2,33 +2,38 @@
 
 The kernel of two strings is the sum over their common subsequences of LENGTH characters, each weighted DECAY to the
 power of the stretch it covers in either, normalised to 1 for equal strings: strings stay alike when characters are put
-between others or changed. Landmarks are stems that labelled texts tell apart by; the kernel matrix of the landmarks
-gives the Nyström map. A text is taken as its word windows of SPAN characters (case, accents' place, digits for letters
-and signs inside words folded, runs of single characters joined to a word), and each landmark's kernel is pooled by the
-maximum over the windows; kernels below FLOOR count as 0. A linear machine with squared hinge loss separates the mapped
-texts, and a logistic curve turns its margin into a score from 0 to 1.
+between others or changed. A text is the set of its distinct words (case, digits and signs for letters folded, runs of
+single characters joined to a word), each cut into windows of SPAN characters, and the kernel of two texts is the sum
+over the pairs of their windows of the string kernel to the power of POWER, which lets likeness outweigh the number of
+words. A landmark is a text of one stem; stems come from both classes of labelled texts. The kernels to the landmarks,
+times the inverse root of the landmarks' kernel matrix, are the Nyström map of a text; a linear machine with squared
+hinge loss separates the mapped texts, and a logistic curve turns its margin into a score from 0 to 1.
 
 Learning takes PER_CLASS labelled texts of each class at most (smallest hashes of the id); stems are counted in Spark, and
-LANDMARKS numbers a text reach the driver. Labels, language, source and id are no inputs of a score.
+LANDMARKS numbers a text reach the driver. Labels, language, source and id are no inputs of a score. Texts are read in
+slices of a few MB, so a task's memory does not depend on the number of rows; a longer text takes memory in proportion.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, DECAY, SPAN, FLOOR, LANDMARKS, PER_CLASS, CANDIDATES, THRESHOLD = 3, 0.7, 8, 0.45, 64, 3000, 2000, 0.7
-#: A stem must be this many standard errors more frequent in texts labelled 1, and in more than a few of them.
-SURE, RIDGE, RARE = 5.0, 0.1, 0.05
-CACHE_WORDS, DOCS_AT_ONCE = 300_000, 1000
-SPELT = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
+from . import words
+
+LENGTH, DECAY, SPAN, POWER, LANDMARKS, PER_CLASS, CANDIDATES, THRESHOLD = 3, 0.7, 6, 4, 64, 3000, 2000, 0.7
+#: Kernels below it, whose power is less than a hundredth, are rounded to 0.
+LEAST = 0.3
+#: A stem of the texts labelled 1 must be this many standard errors more frequent there; so many landmarks come from texts labelled 0.
+SURE, RIDGE, OF_CLEAN = 5.0, 0.1, 16
+CACHE_WORDS, STRINGS_AT_ONCE = 400_000, 2000
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 TRIPLES = np.array(list(combinations(range(SPAN), LENGTH)))
 WEIGHTS = DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)
@@ -51,124 +56,178 @@ def windows(word: str) -> list[str]:
     return [w[i : i + SPAN] for i in range(0, len(w) - SPAN // 2, SPAN // 2)]
 
 
-def words_of(text: str) -> set[str]:
-    found = set(text.split())
-    found.update("".join(m[0].split()) for m in SPELT.finditer(text))
-    return found
-
-
-def codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each string and triple of places a code of the three characters, and whether the string has all three."""
-    points = np.frombuffer("".join([s.ljust(SPAN, "\0") for s in strings]).encode("utf-32-le"), "<u4").reshape(len(strings), SPAN)
-    chars = np.where(points > 0, points % 61 + 1, 0).astype(np.int32)
-    a, b, c = (chars[:, TRIPLES[:, k]] for k in range(LENGTH))
-    return (a * 64 + b) * 64 + c, c > 0
+def _points(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join([s.ljust(SPAN, "\0") for s in strings]).encode("utf-32-le"), "<u4").reshape(len(strings), SPAN).astype(np.int64)
 
 
 def self_kernel(strings: list[str]) -> np.ndarray:
-    code, has = codes(strings)
+    """The kernel of each string with itself, before it is normalised."""
+    points = _points(strings)
+    a, b, c = (points[:, TRIPLES[:, k]] for k in range(LENGTH))
+    code = np.where(c > 0, (a << 42) | (b << 21) | c, -1)
     order = np.argsort(code, axis=1)
-    code, w = np.take_along_axis(code, order, 1), np.take_along_axis(np.where(has, WEIGHTS, 0.0), order, 1)
-    total = np.cumsum(w, axis=1)
-    last = np.append(code[:, 1:] != code[:, :-1], np.ones((len(strings), 1), bool), axis=1)
-    out = np.zeros(len(strings))
-    for i in range(len(strings)):
-        out[i] = (np.diff(np.append(0.0, total[i][last[i]])) ** 2).sum()
-    return out
+    code, w = np.take_along_axis(code, order, 1), WEIGHTS[order]
+    w[code < 0] = 0
+    head = np.append(np.ones((len(strings), 1), bool), code[:, 1:] != code[:, :-1], axis=1)
+    sums = np.add.reduceat(w.ravel(), np.flatnonzero(head)) if len(strings) else np.empty(0)
+    return np.bincount(np.nonzero(head)[0], sums**2, len(strings))
 
 
 class Landmarks:
-    """Normalised kernels of any strings to the landmarks."""
+    """Kernels of any strings to the landmarks, normalised and taken to a power."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
-        code, has = codes(strings)
-        used = np.unique(code[has])
-        self.row = np.zeros(64**3, np.int32)
+        points = _points(strings)
+        self.alphabet = np.unique(points[points > 0])
+        code = self._codes(points)
+        used = np.unique(code[code > 0])
+        self.row = np.zeros((len(self.alphabet) + 1) ** 3, np.int32)
         self.row[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(strings)))
-        for l in range(len(strings)):
-            np.add.at(self.table[:, l], self.row[code[l][has[l]]], WEIGHTS[has[l]])
+        self.table = np.zeros((len(used) + 1, len(strings)), np.float32)
+        for i in range(len(strings)):
+            np.add.at(self.table[:, i], self.row[code[i][code[i] > 0]], WEIGHTS[code[i] > 0])
         self.norm = np.sqrt(self_kernel(strings))
 
-    def kernel(self, strings: list[str]) -> np.ndarray:
-        """Kernels to every landmark; 0 below FLOOR."""
-        out = np.zeros((len(strings), len(self.strings)))
-        for at in range(0, len(strings), 20_000):
-            part = strings[at : at + 20_000]
-            code, has = codes(part)
-            rows = np.where(has, self.row[code], 0)
+    def _codes(self, points: np.ndarray) -> np.ndarray:
+        """A number for each triple of characters that are all in the alphabet, else 0."""
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        symbol = np.where(self.alphabet[at] == points, at + 1, 0)
+        a, b, c = (symbol[:, TRIPLES[:, k]] for k in range(LENGTH))
+        n = len(self.alphabet) + 1
+        return np.where((a > 0) & (b > 0) & (c > 0), (a * n + b) * n + c, 0)
+
+    def kernel(self, strings: list[str], power: int = POWER) -> np.ndarray:
+        out = np.zeros((len(strings), len(self.strings)), np.float32)
+        for first in range(0, len(strings), STRINGS_AT_ONCE):
+            part = strings[first : first + STRINGS_AT_ONCE]
+            points = _points(part)
+            rows = self.row[self._codes(points)]
             i, j = np.nonzero(rows)
             if not len(i):
                 continue
             head = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            raw = np.add.reduceat(self.table[rows[i, j]] * WEIGHTS[j][:, None], head, axis=0)
+            raw = np.add.reduceat(self.table[rows[i, j]] * WEIGHTS[j][:, None].astype(np.float32), head, axis=0)
             who = i[head]
             # a string's own kernel is at least that of its triples each for itself, so few need the exact one
-            least = np.sqrt((np.where(has[who], WEIGHTS, 0.0) ** 2).sum(axis=1))
-            near = (raw / (least[:, None] * self.norm)).max(axis=1) >= FLOOR
+            least = np.sqrt((np.where(points[who][:, TRIPLES[:, 2]] > 0, WEIGHTS, 0.0) ** 2).sum(axis=1))
+            near = (raw / (least[:, None] * self.norm)).max(axis=1) >= LEAST
             if near.any():
                 own = np.sqrt(self_kernel([part[x] for x in who[near]]))
                 k = raw[near] / (own[:, None] * self.norm)
-                out[at + who[near]] = np.where(k >= FLOOR, k, 0.0)
+                out[first + who[near]] = np.where(k >= LEAST, k, 0.0) ** power
         return out
 
 
-def pooled(landmarks: Landmarks, texts: list[str], cache: dict[str, np.ndarray | None]) -> np.ndarray:
-    """For each text the largest kernel of its windows to each landmark. cache: what words came to before."""
-    out = np.zeros((len(texts), len(landmarks.strings)))
-    for at in range(0, len(texts), DOCS_AT_ONCE):
-        sets = [words_of(t) for t in texts[at : at + DOCS_AT_ONCE]]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = set().union(*sets) - cache.keys()
-        owner, strings = [], []
-        for w in new:
-            cache[w] = None
-            for s in windows(w):
-                owner.append(w)
-                strings.append(s)
-        if strings:
-            k = landmarks.kernel(strings)
-            for i in np.flatnonzero(k.any(axis=1)):
-                before = cache[owner[i]]
-                cache[owner[i]] = k[i] if before is None else np.maximum(before, k[i])
-        for i, s in enumerate(sets):
-            for w in s:
-                if (v := cache[w]) is not None:
-                    np.maximum(out[at + i], v, out=out[at + i])
-    return out
+class TextKernels:
+    """Kernels of texts to the landmarks. Words that came before are looked up."""
+
+    def __init__(self, landmarks: Landmarks):
+        self.landmarks = landmarks
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.place = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        # row 0: words unlike every landmark
+        self.vectors = np.zeros((1, len(self.landmarks.strings)), np.float32)
+
+    def _look_up(self, distinct: pa.Array) -> np.ndarray:
+        """For each word the row of self.vectors with the sum of the kernels of its windows."""
+        if len(self.known) > CACHE_WORDS:
+            self._clear()
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        new = at < 0
+        place = np.zeros(len(distinct), np.int64)
+        place[~new] = self.place[at[~new]]
+        if new.any():
+            fresh = distinct.filter(pa.array(new))
+            owner, number, strings = [], [], {}
+            for i, w in enumerate(fresh.to_pylist()):
+                for s in windows(w):
+                    owner.append(i)
+                    number.append(strings.setdefault(s, len(strings)))
+            own = np.zeros(len(fresh), np.int64)
+            if strings:
+                k = self.landmarks.kernel(list(strings))
+                owner, number = np.array(owner), np.array(number)
+                some = k.any(axis=1)[number]
+                who, row = np.unique(owner[some], return_inverse=True)
+                vectors = np.zeros((len(who), k.shape[1]), np.float32)
+                np.add.at(vectors, row, k[number[some]])
+                own[who] = len(self.vectors) + np.arange(len(who))
+                self.vectors = np.vstack([self.vectors, vectors])
+            place[new] = own
+            self.known, self.place = pa.concat_arrays([self.known, fresh]), np.append(self.place, own)
+        return place
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text: the sum over its distinct words."""
+        n = len(texts)
+        split = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        sizes = np.diff(split.offsets.to_numpy())
+        doc = np.repeat(np.arange(n), sizes)
+        out = np.zeros((n, len(self.landmarks.strings)))
+        place = self._look_up(coded.dictionary)
+        hit = np.flatnonzero(place[which])
+        pair = np.unique(doc[hit] * np.int64(len(place) + 1) + which[hit])
+        np.add.at(out, pair // (len(place) + 1), self.vectors[place[pair % (len(place) + 1)]])
+        spelt_doc, spelt = self._spelt(coded, doc)
+        if spelt:
+            # looked up last, since a full table of words is emptied
+            place = self._look_up(pa.array(spelt, pa.large_string()))
+            np.add.at(out, spelt_doc, self.vectors[place])
+        return out
+
+    @staticmethod
+    def _spelt(coded: pa.DictionaryArray, doc: np.ndarray) -> tuple[list[int], list[str]]:
+        """Documents and words of runs of three or more single characters."""
+        single = (pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) == 1)[coded.indices.to_numpy()]
+        at = np.flatnonzero(single)
+        if not len(at):
+            return [], []
+        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) > 0)) + 1
+        first, last = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)]
+        long = last - first >= 2
+        found = {(int(doc[a]), "".join(coded.slice(a, b - a + 1).to_pylist())) for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True)}
+        pairs = sorted(found)
+        return [d for d, _ in pairs], [w for _, w in pairs]
 
 
 def _features(docs: DataFrame, landmarks: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, cache = Landmarks(landmarks), {}
+        kernels = TextKernels(Landmarks(landmarks))
         for batch in batches:
-            x = pooled(marks, [t or "" for t in batch.column(0).to_pylist()], cache)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+            for rows in words.slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(list(kernels.of(rows.column(0))), pa.list_(pa.float64())), rows.column(1)], names=["x", "toxic"])
 
     return docs.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int")
 
 
 def _stems(docs: DataFrame) -> DataFrame:
+    """stem, toxic: the distinct beginnings, of four letters or more, of the words of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {s[:k] for w in words_of(text or "") for s in windows(w)[:1] for k in range(4, len(s) + 1)}
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = {s[:k] for w in set((text.as_py() or "").split()) for s in windows(w)[:1] for k in range(4, len(s) + 1)}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["stem", "toxic"])
 
     return docs.select("text", "toxic").mapInArrow(run, "stem string, toxic int")
 
 
-def _choose(rows: list[tuple[str, float]], most: int) -> list[str]:
-    """Stems by what they tell; of stems much alike only the first."""
-    out: list[str] = []
-    for stem, _ in sorted(rows, key=lambda r: (-round(r[1], 3), -len(r[0]), r[0])):
-        if len(out) == most:
+def _choose(stems: list[str], most: int, before: list[str]) -> list[str]:
+    """The first stems, of those much alike only one, also none much like those of before."""
+    out = list(before)
+    marks = Landmarks(out) if out else None
+    for stem in stems:
+        if len(out) - len(before) == most:
             break
-        if not out or Landmarks(out).kernel([stem]).max() < 0.6:
+        if marks is None or marks.kernel([stem], 1).max() < 0.6:
             out.append(stem)
-    return out
+            marks = Landmarks(out)
+    return out[len(before) :]
 
 
 def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -221,42 +280,52 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
         sample.unpersist()
         return None
     side = lambda c: F.sum((F.col("toxic") == c).cast("int"))
-    gain = (F.col("p") / n[1] - F.col("q") / n[0]).alias("gain")
+    gain = F.round(F.col("p") / n[1] - F.col("q") / n[0], 3)
     rate = (F.col("p") + F.col("q")) / (n[0] + n[1])
     sure = F.col("gain") >= SURE * F.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
-    counted = _stems(sample).groupBy("stem").agg(side(1).alias("p"), side(0).alias("q"))
-    stems = {r["stem"]: r for r in counted.withColumn("gain", gain).withColumn("rare", F.col("q") * n[1] <= RARE * n[0] * F.col("p")).where((F.col("gain") > 0) & (F.col("p") >= (2 if n[1] > 20 else 1)) & sure).orderBy(F.desc(F.round("gain", 3)), F.desc(F.length("stem")), "stem").limit(CANDIDATES).collect()}
-    landmarks = _choose([(s, r["gain"]) for s, r in stems.items()], LANDMARKS)
+    counted = _stems(sample).groupBy("stem").agg(side(1).alias("p"), side(0).alias("q")).withColumn("gain", gain).persist()
+    of_toxic = counted.where((F.col("gain") > 0) & (F.col("p") >= (2 if n[1] > 20 else 1)) & sure).orderBy(F.desc("gain"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
+    of_clean = counted.where(F.col("q") > 0).orderBy("gain", F.desc("q"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
+    landmarks = _choose([r["stem"] for r in of_toxic.collect()], LANDMARKS - OF_CLEAN, [])
+    landmarks += _choose([r["stem"] for r in of_clean.collect()], OF_CLEAN, landmarks)
+    counted.unpersist()
     if not landmarks:
         sample.unpersist()
         return None
     rows = _features(sample, landmarks).collect()
     sample.unpersist()
-    x, y = np.array([r["x"] for r in rows]), np.array([1.0 if r["toxic"] else -1.0 for r in rows])
-    # few labelled texts hold one insult alone: a landmark that texts labelled 0 hardly ever have is a sentence labelled 1
-    alone = Landmarks(landmarks).kernel([s for s in landmarks if stems[s]["rare"]])
-    x, y = np.vstack([x, alone]), np.append(y, np.ones(len(alone)))
-    values, vectors = np.linalg.eigh(Landmarks(landmarks).kernel(landmarks) + 1e-6 * np.eye(len(landmarks)))
+    return fitted(landmarks, np.array([r["x"] for r in rows]), np.array([1.0 if r["toxic"] else -1.0 for r in rows]))
+
+
+def fitted(landmarks: list[str], x: np.ndarray, y: np.ndarray) -> dict:
+    """The model from kernels of texts to the landmarks and their labels, 1 or -1."""
+    values, vectors = np.linalg.eigh(np.array(Landmarks(landmarks).kernel(landmarks), float))
     nystroem = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     w, b = _machine(x @ nystroem, y)
     slope, offset = _curve(x @ nystroem @ w + b, y)
     return {"landmarks": landmarks, "weights": (slope * (nystroem @ w)).tolist(), "offset": slope * b + offset}
 
 
+def _scores(model: dict, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with the scores of their texts."""
+    kernels, weights = TextKernels(Landmarks(model["landmarks"])), np.array(model["weights"])
+    for batch in batches:
+        for rows in words.slices(batch, column):
+            margin = np.clip(kernels.of(rows.column(column)) @ weights + model["offset"], -60, 60)
+            yield rows, np.round(1 / (1 + np.exp(-margin)), 6)
+
+
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id") -> DataFrame:
     """id_col, score for each row of docs. Null and empty texts get the score of a text without any landmark.
 
-    Without a model every score is 0. An empty table gives no rows; equal rows get equal scores; other columns are left out.
+    Without a model every score is 0. An empty table gives no rows; equal rows get equal scores, null ids are scored
+    like others; other columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, cache = Landmarks(model["landmarks"]), {}
-        weights = np.array(model["weights"])
-        for batch in batches:
-            x = pooled(marks, [t or "" for t in batch.column(1).to_pylist()], cache)
-            margin = np.clip(x @ weights + model["offset"], -60, 60)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(1 / (1 + np.exp(-margin)), 6))], names=[id_col, "score"])
+        for rows, scores in _scores(model, batches, 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores)], names=[id_col, "score"])
 
     if model is None:
         return docs.select(id_col, F.lit(0.0).alias("score"))
@@ -264,18 +333,18 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id") -> DataFr
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns as they are, whose text scores below the threshold.
+
+    Null and empty texts score like a text without any landmark, repeated rows alike, and null ids like others. Without
+    labels of both classes to learn from, all rows stay. An empty table gives no rows.
+    """
     model = train(docs, labels)
     if model is None:
         return docs
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, cache = Landmarks(model["landmarks"]), {}
-        weights = np.array(model["weights"])
-        for batch in batches:
-            x = pooled(marks, [t or "" for t in batch.column(names.index("text")).to_pylist()], cache)
-            good = np.round(1 / (1 + np.exp(-np.clip(x @ weights + model["offset"], -60, 60))), 6) < threshold
-            yield batch.filter(pa.array(good))
+        for rows, scores in _scores(model, batches, at):
+            yield rows.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)

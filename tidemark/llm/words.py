@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -96,3 +97,14 @@ def hashed(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, np.
         where = np.concatenate(starts)
         yield first, last, np.concatenate(parts), np.searchsorted(where, offsets[first : last + 1])
         first = last
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch whose texts in a column take about `most` bytes together; a longer text comes alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
