@@ -182,22 +182,35 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     survivors = classes.join(known, "doc_id").where(F.col("known") >= needed).select("doc_id", "n")
     sets = materialize(_sets(docs.join(survivors.select("doc_id"), "doc_id"), n))
     grams = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("token"))
-    df = grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # written down, so that the join has exchanges of its own whose large partitions Spark can split
+    df = materialize(grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = grams.join(df, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("by_df"))
     lists = shared.select("doc_id", "n", (F.col("n") - F.size("by_df")).alias("u"), F.array_sort("by_df").alias("by_df"))
     lists = materialize(lists.withColumn("tokens", F.transform("by_df", lambda x: x["token"])).where(F.col("u") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
     return signatures, lists, materialize(_prefixes(lists, percent))
 
 
+def _pairs(prefixes: DataFrame, percent: int, which: Column) -> DataFrame:
+    """Candidates (a, b) among rows x and y of prefixes with one n-gram, of those for which `which` holds.
+
+    Rows meet only if their sizes can link: sizes fall into steps of a factor of 100 / percent, and rows of one step or
+    of neighbouring ones meet. The list of an n-gram and step is dealt out in parts of SALT_ROWS rows.
+    """
+    step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) if percent < 100 else F.col("n")).cast("long")
+    stepped = prefixes.withColumn("step", step)
+    near = stepped.withColumn("at", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
+    rows = materialize(near.groupBy("token", "at").agg(F.count("*").alias("rows")).where("rows > 1"))
+    rows = rows.select("token", "at", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts"))
+    x = near.join(rows, ["token", "at"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    y = stepped.withColumn("at", F.col("step")).join(rows, ["token", "at"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.salt") == F.col("y.salt"))
+    return x.join(y, met & which & _once("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
 def linked_pairs(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures as in classified, and every link (a, b), a < b, between the smallest ids of two different sets."""
     signatures, lists, prefixes = _prepared(docs, n, percent)
-    lengths = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = prefixes.join(lengths, "token").withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int")).drop("rows")
-    x = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
-    y = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _once("x", "y", percent))
-    return signatures, _linked(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), lists, percent)
+    return signatures, _linked(_pairs(prefixes, percent, F.col("x.doc_id") < F.col("y.doc_id")), lists, percent)
 
 
 def link_counts(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -229,10 +242,7 @@ def classified(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[Dat
     placed = prefixes.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = materialize(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     open_ = materialize(placed.join(several, "token"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = F.col("x.component") < F.col("y.component")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _once("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    more = _linked(across, lists, percent)
+    more = _linked(_pairs(open_, percent, F.col("x.component") < F.col("y.component")), lists, percent)
     edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     return signatures, components(edges)
 
