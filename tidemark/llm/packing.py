@@ -20,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import materialize, ranked
 
 SIZE = 4096
 END_ID = 1
-CACHE_WORDS, BLOCK_BYTES = 800_000, 8_000_000
+CACHE_WORDS = 800_000
 #: ASCII signs but the apostrophe, which may start a contraction.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters (Latin up to U+017F, but for the dotted capital I) that compose and lower-case one by one.
@@ -88,28 +89,28 @@ class WordEncoder:
             # marks between words show where each word's ids end
             apart = new & (pc.match_substring(distinct, "\x00").to_numpy(zero_copy_only=False) if len(self.mark) == 1 else True)
         for which in (new & ~apart, apart):
-            words = distinct.filter(pa.array(which))
-            if not len(words):
+            own = distinct.filter(pa.array(which))
+            if not len(own):
                 continue
             if which is apart:
-                coded = [self._encode(w) for w in words.to_pylist()]
+                coded = [self._encode(w) for w in own.to_pylist()]
                 flat, lengths = np.concatenate(coded), np.array([len(c) for c in coded])
             elif whole:
-                flat = self._encode(" \x00 ".join(words.to_pylist()))
+                flat = self._encode(" \x00 ".join(own.to_pylist()))
                 lengths = np.diff(np.append(np.flatnonzero(flat == self.mark[0]), len(flat)), prepend=-1) - 1
                 flat = flat[flat != self.mark[0]]
             else:
-                flat = self._encode(" ".join(words.to_pylist()))
+                flat = self._encode(" ".join(own.to_pylist()))
                 lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
-            place[which] = len(self.known) + np.arange(len(words))
-            self._store(words, flat, lengths)
+            place[which] = len(self.known) + np.arange(len(own))
+            self._store(own, flat, lengths)
         return place[parts.indices.to_numpy()]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids start (one more at the end)."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        words = split.flatten().dictionary_encode()
-        which, distinct = words.indices.to_numpy(), words.dictionary
+        coded = split.flatten().dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary
         if len(self.known) > self.cache_words:
             self._clear()
         base = pc.utf8_rtrim(distinct, characters=PUNCTUATION)
@@ -135,17 +136,6 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts take about BLOCK_BYTES together; a longer text comes alone."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, order: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document; a null text counts as empty.
 
@@ -157,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
-            for rows in _slices(batch, 1):
+            for rows in words.slices(batch, 1):
                 out = []
                 ids, begins = encoder.ids(rows.column(1).fill_null(""))
                 rest = [column.to_pylist() for column in rows.columns[2:]]
