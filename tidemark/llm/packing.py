@@ -25,7 +25,7 @@ from .common import materialize, ranked
 
 SIZE = 4096
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS, WORDS_AT_ONCE = 500_000, 20_000
 #: ASCII signs but the apostrophe, which may start a contraction.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters (Latin up to U+017F, but for the dotted capital I) that compose and lower-case one by one.
@@ -88,22 +88,24 @@ class WordEncoder:
         if whole:
             # marks between words show where each word's ids end
             apart = new & (pc.match_substring(distinct, "\x00").to_numpy(zero_copy_only=False) if len(self.mark) == 1 else True)
-        for which in (new & ~apart, apart):
-            own = distinct.filter(pa.array(which))
-            if not len(own):
-                continue
-            if which is apart:
-                coded = [self._encode(w) for w in own.to_pylist()]
-                flat, lengths = np.concatenate(coded), np.array([len(c) for c in coded])
-            elif whole:
-                flat = self._encode(" \x00 ".join(own.to_pylist()))
-                lengths = np.diff(np.append(np.flatnonzero(flat == self.mark[0]), len(flat)), prepend=-1) - 1
-                flat = flat[flat != self.mark[0]]
-            else:
-                flat = self._encode(" ".join(own.to_pylist()))
-                lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
-            place[which] = len(self.known) + np.arange(len(own))
-            self._store(own, flat, lengths)
+        for kind in (new & ~apart, apart):
+            at = np.flatnonzero(kind)
+            for first in range(0, len(at), WORDS_AT_ONCE):
+                part = at[first : first + WORDS_AT_ONCE]
+                own = distinct.take(pa.array(part))
+                words_ = own.to_pylist()
+                if kind is apart:
+                    coded = [self._encode(w) for w in words_]
+                    flat, lengths = np.concatenate(coded), np.array([len(c) for c in coded])
+                elif whole:
+                    flat = self._encode(" \x00 ".join(words_))
+                    lengths = np.diff(np.append(np.flatnonzero(flat == self.mark[0]), len(flat)), prepend=-1) - 1
+                    flat = flat[flat != self.mark[0]]
+                else:
+                    flat = self._encode(" ".join(words_))
+                    lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+                place[part] = len(self.known) + np.arange(len(own))
+                self._store(own, flat, lengths)
         return place[parts.indices.to_numpy()]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 The kernel of two strings is the sum over their common subsequences of LENGTH characters, each weighted DECAY to the
 power of the stretch it covers in either, normalised to 1 for equal strings: strings stay alike when characters are put
 between others or changed. A text is the set of its distinct words (case, digits and signs for letters folded, runs of
-single characters joined to a word), each cut into windows of SPAN characters, and the kernel of two texts is the sum
+single characters joined to one more word each), each cut into windows of SPAN characters, and the kernel of two texts is the sum
 over the pairs of their windows of the string kernel to the power of POWER, which lets likeness outweigh the number of
 words. A landmark is a text of one stem; stems come from both classes of labelled texts. The kernels to the landmarks,
 times the inverse root of the landmarks' kernel matrix, are the Nyström map of a text; a linear machine with squared
@@ -33,7 +33,8 @@ LENGTH, DECAY, SPAN, POWER, LANDMARKS, PER_CLASS, CANDIDATES, THRESHOLD = 3, 0.7
 LEAST = 0.3
 #: A stem of the texts labelled 1 must be this many standard errors more frequent there; so many landmarks come from texts labelled 0.
 SURE, RIDGE, OF_CLEAN = 5.0, 0.1, 16
-CACHE_WORDS, STRINGS_AT_ONCE = 400_000, 2000
+CACHE_WORDS, WORDS_AT_ONCE, STRINGS_AT_ONCE = 300_000, 20_000, 1000
+MARKS = ".,;:!?"
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 TRIPLES = np.array(list(combinations(range(SPAN), LENGTH)))
 WEIGHTS = DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)
@@ -44,7 +45,7 @@ def fold(word: str) -> str:
     if not plain.isascii():
         plain = unicodedata.normalize("NFKC", plain)
     if not plain.isalpha():
-        plain = "".join(c for c in plain.rstrip(".,;:!?").translate(LOOKALIKE) if c.isalpha())
+        plain = "".join(c for c in plain.rstrip(MARKS).translate(LOOKALIKE) if c.isalpha())
     return plain
 
 
@@ -136,43 +137,49 @@ class TextKernels:
         if len(self.known) > CACHE_WORDS:
             self._clear()
         at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
-        new = at < 0
-        place = np.zeros(len(distinct), np.int64)
-        place[~new] = self.place[at[~new]]
-        if new.any():
-            fresh = distinct.filter(pa.array(new))
-            owner, number, strings = [], [], {}
-            for i, w in enumerate(fresh.to_pylist()):
-                for s in windows(w):
-                    owner.append(i)
-                    number.append(strings.setdefault(s, len(strings)))
-            own = np.zeros(len(fresh), np.int64)
-            if strings:
-                k = self.landmarks.kernel(list(strings))
-                owner, number = np.array(owner), np.array(number)
-                some = k.any(axis=1)[number]
-                who, row = np.unique(owner[some], return_inverse=True)
-                vectors = np.zeros((len(who), k.shape[1]), np.float32)
-                np.add.at(vectors, row, k[number[some]])
-                own[who] = len(self.vectors) + np.arange(len(who))
-                self.vectors = np.vstack([self.vectors, vectors])
-            place[new] = own
+        place = np.where(at < 0, 0, self.place[at] if len(self.place) else 0)
+        new = np.flatnonzero(at < 0)
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            part = new[first : first + WORDS_AT_ONCE]
+            fresh = distinct.take(pa.array(part))
+            place[part] = own = self._place(fresh.to_pylist())
             self.known, self.place = pa.concat_arrays([self.known, fresh]), np.append(self.place, own)
         return place
 
+    def _place(self, new: list[str]) -> np.ndarray:
+        owner, number, strings = [], [], {}
+        for i, w in enumerate(new):
+            for s in windows(w):
+                owner.append(i)
+                number.append(strings.setdefault(s, len(strings)))
+        own = np.zeros(len(new), np.int64)
+        if strings:
+            k = self.landmarks.kernel(list(strings))
+            owner, number = np.array(owner), np.array(number)
+            some = k.any(axis=1)[number]
+            who, row = np.unique(owner[some], return_inverse=True)
+            if len(who):
+                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                own[who] = len(self.vectors) + np.arange(len(who))
+                self.vectors = np.vstack([self.vectors, np.add.reduceat(k[number[some]], heads, axis=0)])
+        return own
+
     def of(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: the sum over its distinct words."""
         n = len(texts)
         split = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = split.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
-        sizes = np.diff(split.offsets.to_numpy())
-        doc = np.repeat(np.arange(n), sizes)
+        doc = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
         out = np.zeros((n, len(self.landmarks.strings)))
-        place = self._look_up(coded.dictionary)
+        plain = pc.utf8_lower(pc.utf8_rtrim(coded.dictionary, characters=MARKS)).dictionary_encode()
+        which = plain.indices.to_numpy()[coded.indices.to_numpy()]
+        place = self._look_up(plain.dictionary)
         hit = np.flatnonzero(place[which])
-        pair = np.unique(doc[hit] * np.int64(len(place) + 1) + which[hit])
-        np.add.at(out, pair // (len(place) + 1), self.vectors[place[pair % (len(place) + 1)]])
+        if len(hit):
+            pair = np.unique(doc[hit] * np.int64(len(place)) + which[hit])
+            own = pair // len(place)
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[heads]] = np.add.reduceat(self.vectors[place[pair % len(place)]], heads, axis=0)
         spelt_doc, spelt = self._spelt(coded, doc)
         if spelt:
             # looked up last, since a full table of words is emptied

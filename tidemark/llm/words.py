@@ -99,7 +99,7 @@ def hashed(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, np.
         first = last
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of the batch whose texts in a column take about `most` bytes together; a longer text comes alone."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -108,3 +108,5 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterato
         stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    # what the last slices left goes back to the machine, which other workers share
+    pa.default_memory_pool().release_unused()
