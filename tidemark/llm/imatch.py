@@ -1,15 +1,17 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
-The lexicon holds the terms within a band of inverse document frequency: terms of at most MAX_SHARE of the documents,
-and of those the most frequent ones, LEXICON at most (the lower edge of the band rises until they fit). A document's
-distinct terms in the lexicon are sorted by hash and hashed once for each of SUBSETS randomised parts of the lexicon.
-Parts come at rates of 1/8 to 1/128 (RATES): short documents are told apart by large parts, long ones by small parts,
-which an edit seldom touches. Likeness is the share of equal hashes among the parts in which either document has a term.
-A document without any term of the lexicon is fingerprinted by all of its terms.
-
-Terms are 64-bit hashes. The lexicon becomes a table of SLOTS numbers, addressed by some bits of a term's hash and
-holding 32 others, which goes along in the plan: its size is fixed, a term is looked up where its text is, and no term
-is shuffled but to count document frequencies. Of lexicon terms with one slot the most frequent stays.
+The lexicon holds the terms within a band of inverse document frequency: those that MIN_SHARE to MAX_SHARE of the
+documents have, and two at least. A document's distinct terms in the lexicon are sorted by hash and hashed once for each
+of SUBSETS randomised parts of the lexicon. Parts come at rates of 1/8 to 1/512 (RATES), REPLICATES of each: short
+documents are told apart by large parts, long ones by small parts, which an edit seldom touches. Likeness is the share of
+equal hashes among the parts in which either document has a term, at the rate where that share is highest of those at
+which at least half of the parts have one; where there is no such rate, over all parts. A document without any term of
+the lexicon is fingerprinted by all of its terms.
+
+Terms are 64-bit hashes. The band alone decides on a term, at every size. Document frequencies add up to the number of
+distinct terms of all documents, so the lexicon has at most 1 / MIN_SHARE times the mean number of distinct terms of a
+document, whatever the number of documents; Spark broadcasts it within its own limit and else shuffles by term. Texts are
+shuffled once, by id; their terms are looked up and gathered again where the text is.
 
 All of it is DataFrame and SQL functions.
 """
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEXICON, MAX_SHARE, REPLICATES, STEPS = 65_536, 0.1, 8, 8
-RATES = range(3, 8)
+MIN_SHARE, MAX_SHARE, REPLICATES = 0.0005, 0.1, 7
+RATES = range(3, 10)
 SUBSETS = len(RATES) * REPLICATES
-SLOTS = 1 << 18
+ENOUGH = (REPLICATES + 1) // 2
+#: A lexicon of up to so many terms (8 bytes each) is broadcast.
+BROADCAST_TERMS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -33,37 +37,12 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))))
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
-
-
-def _check(h: Column) -> Column:
-    """32 bits of a hash, never 0, which marks a free slot."""
-    return F.shiftright(h, 32).bitwiseOR(F.lit(1).cast("long")).cast("int")
-
-
-def lexicon(docs: DataFrame, size: int = LEXICON, max_share: float = MAX_SHARE) -> DataFrame:
-    """slot, check: the terms in the band, as hashes, one a slot at most."""
+def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
+    """h: the terms in the band, as hashes; written down, and marked for broadcast where they are few enough."""
     n = docs.count()
     df = docs.select(F.explode_outer(terms(F.col("text"))).alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("df"))
-    df = materialize(df.where((F.col("df") >= 2) & (F.col("df") <= max(2, max_share * n))))
-    step = F.floor(F.log2("df") * STEPS).cast("int")
-    edge, total = 0, 0
-    # one row for each step of the logarithm of the frequency: a few hundred at most
-    for r in df.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        total += r["n"]
-        if total > size:
-            edge = r["step"] + 1
-            break
-    return df.where(step >= edge).groupBy(_slot(F.col("h")).alias("slot")).agg(_check(F.max(F.struct("df", "h"))["h"]).alias("check"))
-
-
-def lookup_table(words: DataFrame) -> Column:
-    """The lexicon as a constant array of SLOTS numbers; at most LEXICON rows reach the driver."""
-    table = ["0"] * SLOTS
-    for slot, check in words.select("slot", "check").collect():
-        table[slot] = str(check)
-    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
+    band = materialize(df.where((F.col("df") >= max(2, min_share * n)) & (F.col("df") <= max(2, max_share * n))).select("h"))
+    return F.broadcast(band) if band.count() <= BROADCAST_TERMS else band
 
 
 def _part(own: str, r: int, j: int) -> Column:
@@ -73,24 +52,37 @@ def _part(own: str, r: int, j: int) -> Column:
 
 
 def _hashes() -> Column:
-    """Array of SUBSETS hashes from the columns _part0, _part1, ..., null where the part has no term."""
-    parts = [F.col(f"_part{r}") if j == RATES[0] else _part(f"_part{r}", r, j) for r in range(REPLICATES) for j in RATES]
+    """Array of SUBSETS hashes from the columns _part0, _part1, ..., by rate, null where the part has no term."""
+    parts = [F.col(f"_part{r}") if j == RATES[0] else _part(f"_part{r}", r, j) for j in RATES for r in range(REPLICATES)]
     return F.transform(F.array(*parts), lambda m: F.when(F.size(m) > 0, F.hash(m)))
 
 
-def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str]) -> DataFrame:
+def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str], id_col: str = "doc_id") -> DataFrame:
     """docs with, for each name in columns, an array of part hashes `name` and the hash of all terms `name_all`.
 
-    columns maps names to the columns of texts, which go. Every row is worked out where it is.
+    columns maps names to the columns of texts, which go. Rows dealt out by id_col stay where they are: a row spreads into
+    its terms, they meet the lexicon, and gather again by id_col and the row's number within its task.
     """
-    table = lookup_table(words)
+    texts = list(columns.values())
     for name, text in columns.items():
-        docs = docs.withColumn("_terms", terms(F.col(text)))
-        docs = docs.withColumn("_in", F.filter("_terms", lambda h: F.get(table, _slot(h)) == _check(h)))
-        every = F.hash("_terms", F.when(F.size("_terms") == 0, F.col(text)))
-        parts = {f"_part{r}": _part("_in", r, RATES[0]) for r in range(REPLICATES)}
-        docs = docs.withColumn(f"{name}_all", every).withColumns(parts).withColumn(name, _hashes()).drop("_terms", "_in", text, *parts)
-    return docs
+        docs = docs.withColumn(f"_t_{name}", terms(F.col(text)))
+        docs = docs.withColumn(f"{name}_all", F.hash(f"_t_{name}", F.when(F.size(f"_t_{name}") == 0, F.col(text)))).drop(text)
+    rest = [c for c in docs.columns if not c.startswith("_t_")]
+    row = F.struct(*[F.col(c) for c in rest])
+    nothing = F.lit(None).cast(docs.select(row.alias("r")).schema["r"].dataType)
+    of = lambda k: lambda h: F.struct(F.lit(k).alias("which"), h.alias("h"), nothing.alias("r"))
+    each = [F.transform(f"_t_{name}", of(k)) for k, name in enumerate(columns)]
+    itself = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("long").alias("h"), row.alias("r")))
+    # numbers of rows are used within the task that gives them alone
+    numbered = docs.withColumn("_n", F.monotonically_increasing_id())
+    spread = numbered.select(F.col(id_col).alias("_id"), "_n", F.inline(F.concat(itself, *each)))
+    met = spread.join(words.withColumn("_in", F.lit(True)), "h", "left").where("_in or which < 0")
+    own = [F.sort_array(F.collect_list(F.when(F.col("which") == k, F.col("h")))).alias(f"_in_{name}") for k, name in enumerate(columns)]
+    out = met.groupBy("_id", "_n").agg(F.max("r").alias("_r"), *own).select("_r.*", *[f"_in_{name}" for name in columns])
+    for name in columns:
+        parts = {f"_part{r}": _part(f"_in_{name}", r, RATES[0]) for r in range(REPLICATES)}
+        out = out.withColumns(parts).withColumn(name, _hashes()).drop(f"_in_{name}", *parts)
+    return out
 
 
 def as_text(parts: str, every: str) -> Column:
@@ -101,10 +93,14 @@ def as_text(parts: str, every: str) -> Column:
 
 
 def likeness(a: str, a_all: str, b: str, b_all: str) -> Column:
-    told = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
-    n = F.size(F.filter(told, lambda t: t.isNotNull()))
-    equal = F.size(F.filter(told, lambda t: t))
-    return F.when(n > 0, equal / n).otherwise((F.col(a_all) == F.col(b_all)).cast("double"))
+    told = lambda x, y: F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() | q.isNotNull(), F.coalesce(p == q, F.lit(False))))
+    n = lambda t: F.size(F.filter(t, lambda v: v.isNotNull()))
+    equal = lambda t: F.size(F.filter(t, lambda v: v))
+    at = lambda x, k: F.slice(x, 1 + k * REPLICATES, REPLICATES)
+    rates = [told(at(a, k), at(b, k)) for k in range(len(RATES))]
+    best = F.greatest(*[F.when(n(t) >= ENOUGH, equal(t) / n(t)) for t in rates])
+    every = told(a, b)
+    return F.coalesce(best, F.when(n(every) > 0, equal(every) / n(every)), (F.col(a_all) == F.col(b_all)).cast("double"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
