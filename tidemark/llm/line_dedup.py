@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, portable_hash
 
-WINDOW, DIVISOR, MIN_LINES = 3, 5, 2
+WINDOW, DIVISOR, MIN_LINES, TASKS_AT_ONCE = 3, 5, 2, 16
 #: QUERY_SQL lets a border follow on each line, which leaves chunks of one line that are not compared.
 SQL_APART = 1
 
@@ -57,15 +57,27 @@ def repeated_chunks(docs: DataFrame, row: str = "doc_id", apart: int = MIN_LINES
     texts = docs.where(F.col("text").contains("\n")).select(row, "text")
     keyed = _with_chunks(texts, apart).select(row, F.posexplode(F.transform("_chunk", lambda c: F.struct(c["n"].alias("n"), F.xxhash64(c["s"]).alias("h")))).alias("_k", "c"))
     keyed = keyed.where(F.col("c.n") >= MIN_LINES).select(row, "_k", F.col("c.h").alias("_h"))
-    groups = keyed.groupBy("_h").agg(F.count("*").alias("n"), F.min(F.struct(row, "_k")).alias("_first")).where("n > 1").drop("n")
+    groups = keyed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     candidates = materialize(keyed.join(materialize(groups), "_h"))
-    wanted = candidates.groupBy(row).agg(F.collect_list(F.struct("_k", "_h", "_first")).alias("_w"))
+    wanted = candidates.groupBy(row).agg(F.collect_list(F.struct("_k", "_h")).alias("_w"))
     found = _with_chunks(texts.join(wanted.hint("merge"), row), apart).select(row, "_chunk", F.explode("_w").alias("w"))
-    found = found.select(row, "w._k", "w._h", "w._first", F.get("_chunk", F.col("w._k"))["s"].alias("s"))
-    same = found.groupBy("_h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") == F.col("b")).select("_h")
-    same = materialize(same)
-    later = candidates.where((F.col(row) != F.col("_first")[row]) | (F.col("_k") != F.col("_first._k")))
-    return later.join(same, "_h", "left_semi").select(row, "_k")
+    found = found.select(row, "w._k", "w._h", F.get("_chunk", F.col("w._k"))["s"].alias("s"))
+    found = found.select(row, "_k", "_h", F.sha2("s", 256).alias("_sha"), "s")
+    # bytes are compared first among the rows of a few tasks, then among what those leave, so that a chunk of very many
+    # documents does not meet in one task
+    spread = found.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(TASKS_AT_ONCE)))
+    least = spread.groupBy("_h", "_sha", "_part").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.min(F.struct(row, "_k")).alias("_first"))
+    same = least.groupBy("_h", "_sha").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("_first").alias("_first"))
+    same = materialize(same.select("_h", "_sha", "_first", ((F.col("a") == F.col("b")) & (F.col("n") > 1)).alias("_same")))
+    hashes = materialize(same.groupBy("_h").agg(F.count("*").alias("texts"), F.bool_or("_same").alias("_same"), F.min("_first").alias("_first")))
+    later = (F.col(row) != F.col("_first")[row]) | (F.col("_k") != F.col("_first._k"))
+    out = candidates.join(hashes.where("texts = 1 and _same").select("_h", "_first"), "_h").where(later).select(row, "_k")
+    several = hashes.where("texts > 1").select("_h")
+    if not several.isEmpty():
+        # texts that share their 64-bit hash alone are told apart by the longer one
+        apart_ = found.join(several, "_h", "left_semi").join(same.where("_same").select("_h", "_sha", "_first"), ["_h", "_sha"])
+        out = out.unionByName(apart_.where(later).select(row, "_k"))
+    return out
 
 
 def dedup_lines(docs: DataFrame, apart: int = MIN_LINES) -> DataFrame:
@@ -115,3 +127,32 @@ SELECT d.doc_id, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed,
        sha256(coalesce(done.text, CASE WHEN d.text IS NULL THEN NULL ELSE '' END)) AS kept_sha256
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
 """
+ORACLE = r"""
+WITH ln AS (
+  SELECT doc_id, u.i AS i, u.line AS line, ('0x' || substr(md5(u.line), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL) t,
+       LATERAL (SELECT unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i) u
+), roll AS (
+  SELECT *, h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0) AS r,
+         i = max(i) OVER (PARTITION BY doc_id) AS is_last
+  FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), num AS (
+  SELECT *, coalesce(sum(CASE WHEN r % 5 = 0 OR is_last THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM roll
+), chunks AS (
+  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS s, count(*) AS n FROM num GROUP BY doc_id, k
+), marked AS (
+  SELECT *, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY s, n >= 2 ORDER BY doc_id, k) ELSE 1 END AS o FROM chunks
+), done AS (
+  SELECT doc_id, string_agg(s, chr(10) ORDER BY k) FILTER (WHERE o = 1) AS text, count(*) AS n_chunks,
+         count(*) FILTER (WHERE o > 1) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+"""
+
+QUERY_SQL = ORACLE + """
+SELECT d.doc_id, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(done.text, CASE WHEN d.text IS NULL THEN NULL ELSE '' END)) AS kept_sha256
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
