@@ -193,18 +193,14 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
 def _pairs(prefixes: DataFrame, percent: int, which: Column) -> DataFrame:
     """Candidates (a, b) among rows x and y of prefixes with one n-gram, of those for which `which` holds.
 
-    Rows meet only if their sizes can link: sizes fall into steps of a factor of 100 / percent, and rows of one step or
-    of neighbouring ones meet. The list of an n-gram and step is dealt out in parts of SALT_ROWS rows.
+    The list of a frequent n-gram is dealt out in parts of SALT_ROWS rows, each of which meets the whole list in a task.
     """
-    step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) if percent < 100 else F.col("n")).cast("long")
-    stepped = prefixes.withColumn("step", step)
-    near = stepped.withColumn("at", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
-    rows = materialize(near.groupBy("token", "at").agg(F.count("*").alias("rows")).where("rows > 1"))
-    rows = rows.select("token", "at", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts"))
-    x = near.join(rows, ["token", "at"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
-    y = stepped.withColumn("at", F.col("step")).join(rows, ["token", "at"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.salt") == F.col("y.salt"))
-    return x.join(y, met & which & _once("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rows = materialize(prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"))
+    met = prefixes.join(rows.select("token", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts")), "token")
+    x = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    y = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
+    return x.join(y, same & which & _once("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def linked_pairs(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
