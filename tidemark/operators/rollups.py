@@ -82,3 +82,11 @@ def bands(df: DataFrame, edges: list[float], group: list[str]) -> DataFrame:
     for i, e in reversed(list(enumerate(edges))):
         band = F.when(F.col("value") < e, F.lit(i)).otherwise(band)
     return df.groupBy(*group, band.alias("band")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def headline(df: DataFrame, keys: list[str], codes: str, total: str, sep: str = r"\|") -> DataFrame:
+    """Rows whose codes are all totals; of a key without such rows those with the smallest code combination."""
+    w = Window.partitionBy(*keys)
+    is_total = F.forall(F.split(codes, sep), lambda c: c.rlike(total))
+    out = df.withColumn("_total", is_total).withColumns({"_has": F.bool_or("_total").over(w), "_least": F.min(codes).over(w)})
+    return out.where(F.when(F.col("_has"), F.col("_total")).otherwise(F.col(codes) == F.col("_least"))).drop("_total", "_has", "_least")

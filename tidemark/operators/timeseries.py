@@ -180,3 +180,50 @@ def lead_lag(df: DataFrame, other: DataFrame, lags: range) -> DataFrame:
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def fourth_quarter(df: DataFrame) -> DataFrame:
+    """q4: the full year fy less ytd, or less the sum of the three quarters (parts) where ytd is missing or 0."""
+    return df.withColumn("q4", F.col("fy") - F.coalesce(F.nullif("ytd", F.lit(0.0)), "parts"))
+
+
+def splice(df: DataFrame, segments: DataFrame, line: str) -> DataFrame:
+    """One line from series that take turns: rows inside a series' segment (half open), with ret, which never crosses a seam."""
+    inside = df.join(segments, "series_id").where((F.col("date") >= F.col("start")) & (F.col("date") < F.col("end")))
+    before = F.lag("value").over(Window.partitionBy(line, "series_id").orderBy("date"))
+    return inside.withColumn("ret", F.col("value") / before - 1)
+
+
+def adjusted_returns(df: DataFrame) -> DataFrame:
+    """ret: log change plus the log of the split ratio and the dividend on the last value; level compounds it."""
+    before = F.lag("value").over(by())
+    ret = F.log(F.col("value") / before) + F.log(F.col("split").cast("double")) + F.col("dividend") / before
+    out = df.withColumn("ret", ret)
+    return out.withColumn("level", F.exp(F.sum(F.coalesce("ret", F.lit(0.0))).over(by().rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def window_did(df: DataFrame, breaks: DataFrame, months: int) -> DataFrame:
+    """did: growth on the same months a year before, of the months from a break on less that of as many before it.
+
+    breaks: at. Null if any of the months or of those a year before is missing. Every break meets the months around it.
+    """
+    ago = df.select("series_id", F.add_months("date", 12).alias("date"), F.col("value").alias("_p"))
+    pairs = df.join(ago, ["series_id", "date"]).withColumn("at", F.explode(F.transform(F.sequence(F.lit(1 - months), F.lit(months)), lambda k: F.add_months("date", k))))
+    near = pairs.join(breaks, "at")
+    after = F.col("date") >= F.col("at")
+    growth = lambda side: F.sum(F.when(side, F.col("value"))) / F.sum(F.when(side, F.col("_p")))
+    whole = (F.count_if(after) == months) & (F.count_if(~after) == months)
+    return near.groupBy("series_id", "at").agg(F.when(whole, 100 * (growth(after) - growth(~after))).alias("did"))
+
+
+def change_before(df: DataFrame, events: DataFrame, lead: int, stale_start: int, stale_end: int) -> DataFrame:
+    """change: last value before an event less the last one `lead` days before it, each of so many days at most.
+
+    z and usual compare it with the series' other events: standard score, and within the middle half. events: series_id, event.
+    """
+    near = df.join(events, "series_id").withColumn("_d", F.datediff("event", "date"))
+    last = lambda lo, hi: F.max_by("value", F.when((F.col("_d") > lo) & (F.col("_d") <= hi), F.col("date")))
+    near = near.where((F.col("_d") > 0) & (F.col("_d") <= lead + stale_start))
+    g = near.groupBy("series_id", "event").agg(last(lead, lead + stale_start).alias("_a"), last(0, stale_end).alias("_b")).where("_a is not null and _b is not null").withColumn("change", F.col("_b") - F.col("_a"))
+    s = g.groupBy("series_id").agg(F.avg("change").alias("_m"), F.stddev_samp("change").alias("_s"), F.percentile("change", F.lit(0.25)).alias("_lo"), F.percentile("change", F.lit(0.75)).alias("_hi"))
+    return g.join(s, "series_id").withColumns({"z": (F.col("change") - F.col("_m")) / F.col("_s"), "usual": F.col("change").between(F.col("_lo"), F.col("_hi"))})
