@@ -78,3 +78,16 @@ def last_common(df: DataFrame, members: int) -> DataFrame:
     """The rows of the latest date that `members` series have."""
     last = df.groupBy("date").agg(F.count_distinct("series_id").alias("n")).where(F.col("n") == members).agg(F.max("date").alias("date"))
     return df.join(F.broadcast(last), "date")
+
+
+def cover_by_prefix(leaves: DataFrame, leaf: str, codes: DataFrame, lengths: tuple[int, ...], parent: int) -> DataFrame:
+    """parent, leaves, covered: share of a parent's leaf codes that a listed code covers; codes of any of the lengths, weighed by f.
+
+    One equi-join a length; a leaf takes its largest weight.
+    """
+    hits = None
+    for n in lengths:
+        part = leaves.withColumn("_c", F.substring(leaf, 1, n)).join(codes.where(F.length("code") == n).select(F.col("code").alias("_c"), "f"), "_c").select(leaf, "f")
+        hits = part if hits is None else hits.unionByName(part)
+    best = hits.groupBy(leaf).agg(F.max("f").alias("f"))
+    return leaves.join(best, leaf, "left").groupBy(F.substring(leaf, 1, parent).alias("parent")).agg(F.count("*").alias("leaves"), (F.sum(F.coalesce("f", F.lit(0.0))) / F.count("*")).alias("covered"))

@@ -106,3 +106,18 @@ def price_volume(df: DataFrame, key: str, time: str) -> DataFrame:
     d = lambda c: F.log(c / F.lag(c).over(w))
     v, q = F.col("value"), F.col("quantity")
     return df.withColumns({"d_value": d(v), "d_quantity": d(q), "d_price": d(v / q)}).where("d_value is not null").drop("value", "quantity")
+
+
+def balanced(df: DataFrame, group: str, unit: str, time: str) -> DataFrame:
+    """Rows of the units that are there at every time of their group."""
+    times = df.groupBy(group).agg(F.count_distinct(time).alias("_k"))
+    whole = df.groupBy(group, unit).agg(F.count("*").alias("_n")).join(times, group).where("_n = _k").select(group, unit)
+    return df.join(whole, [group, unit], "left_semi")
+
+
+def twfe_by(df: DataFrame, group: str, unit: str, time: str, y: str, x: str) -> DataFrame:
+    """group, n, beta: two-way fixed effects within each group's balanced panel."""
+    mean = lambda c, *by: F.avg(c).over(Window.partitionBy(group, *by))
+    off = lambda c: F.col(c) - mean(c, unit) - mean(c, time) + mean(c)
+    d = df.withColumns({"_dy": off(y), "_dx": off(x)})
+    return d.groupBy(group).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("_dx") * F.col("_dy")), F.sum(F.col("_dx") * F.col("_dx"))).alias("beta"))

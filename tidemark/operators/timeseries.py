@@ -227,3 +227,26 @@ def change_before(df: DataFrame, events: DataFrame, lead: int, stale_start: int,
     g = near.groupBy("series_id", "event").agg(last(lead, lead + stale_start).alias("_a"), last(0, stale_end).alias("_b")).where("_a is not null and _b is not null").withColumn("change", F.col("_b") - F.col("_a"))
     s = g.groupBy("series_id").agg(F.avg("change").alias("_m"), F.stddev_samp("change").alias("_s"), F.percentile("change", F.lit(0.25)).alias("_lo"), F.percentile("change", F.lit(0.75)).alias("_hi"))
     return g.join(s, "series_id").withColumns({"z": (F.col("change") - F.col("_m")) / F.col("_s"), "usual": F.col("change").between(F.col("_lo"), F.col("_hi"))})
+
+
+def derived(wide: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """series_id, date, value: a series for each rule, where it has a value. wide: date and one column an input."""
+    values = wide.select("date", *[v.alias(f"_{i}") for i, v in enumerate(rules.values())])
+    each = F.array(*[F.struct(F.lit(name).alias("series_id"), F.col(f"_{i}").alias("value")) for i, name in enumerate(rules)])
+    return values.select("date", F.inline(each)).where("value is not null")
+
+
+def transformed(yearly: DataFrame, specs: DataFrame) -> DataFrame:
+    """outcome: the level, difference or log difference (per cent) of v, as each series' transform in specs says."""
+    before = F.lag("v").over(Window.partitionBy("series_id").orderBy("year"))
+    rows = yearly.withColumn("_p", before).join(specs, "series_id")
+    outcome = F.when(F.col("transform") == "level", F.col("v")).when(F.col("transform") == "diff", F.col("v") - F.col("_p")).when(F.col("transform") == "log_diff", 100 * F.log(F.col("v") / F.col("_p")))
+    return rows.withColumn("outcome", outcome).where("outcome is not null").drop("_p")
+
+
+def splice_by_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, then new rescaled by the geometric mean of their ratio at common dates, after old's last date."""
+    ratio = old.select("series_id", "date", F.col("value").alias("_o")).join(new, ["series_id", "date"]).groupBy("series_id").agg(F.exp(F.avg(F.log(F.col("_o") / F.col("value")))).alias("_k"))
+    last = old.groupBy("series_id").agg(F.max("date").alias("_last"))
+    after = new.join(ratio, "series_id").join(last, "series_id").where(F.col("date") > F.col("_last"))
+    return old.select("series_id", "date", "value").unionByName(after.select("series_id", "date", (F.col("value") * F.col("_k")).alias("value")))
