@@ -139,9 +139,14 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_head", F.lit(1), cut))
-    both = keyed.join(heads, "doc_id").unionByName(rootless).withColumn("_text_edited", edited).withColumn("n_chars", n.cast("long"))
-    both = both.withColumn("edited_sha256", F.sha2("_text_edited", 256)).drop("_head")
-    prints = materialize(fingerprints(both, words, {"own": "text", "edited": "_text_edited"}))
+
+    def printed(rows: DataFrame) -> DataFrame:
+        both = rows.withColumn("_text_edited", edited).withColumn("n_chars", n.cast("long"))
+        both = both.withColumn("edited_sha256", F.sha2("_text_edited", 256)).drop("_head")
+        return fingerprints(both, words, {"own": "text", "edited": "_text_edited"})
+
+    # rows without an id apart: the others then stay where the join by id has put them
+    prints = materialize(printed(keyed.join(heads, "doc_id")).unionByName(printed(rootless)))
     nexts = prints.select(F.col("doc_id").alias("_next"), F.col("own").alias("next"), F.col("own_all").alias("next_all"))
     best = F.max(likeness("own", "own_all", "next", "next_all")).alias("near_next")
     near = prints.select("doc_id", "_next", "own", "own_all").distinct().join(nexts, "_next").groupBy("doc_id", "own_all").agg(best)
