@@ -11,12 +11,12 @@ def interval_join(df: DataFrame, terms: DataFrame, date: str = "date", how: str
     return df.join(F.broadcast(terms), (F.col(date) >= terms["start"]) & (F.col(date) < terms["end"]), how)
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, least_months: int = 1) -> DataFrame:
-    """Overlaps [start, end) of two small interval tables (name, start, end) that cover at least so many month borders."""
-    x, y = a.alias("x"), F.broadcast(b).alias("y")
-    both = x.join(y, (F.col("x.start") < F.col("y.end")) & (F.col("x.end") > F.col("y.start")))
+def interval_overlap(a: DataFrame, b: DataFrame, least_months: int, key: str) -> DataFrame:
+    """Overlaps [start, end) of intervals (key, name, start, end) of one key that cover at least so many month borders."""
+    x, y = a.alias("x"), b.alias("y")
+    both = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.start") < F.col("y.end")) & (F.col("x.end") > F.col("y.start")))
     start, end = F.greatest("x.start", "y.start"), F.least("x.end", "y.end")
-    out = both.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), start.alias("start"), end.alias("end"))
+    out = both.select(F.col(f"x.{key}").alias(key), F.col("x.name").alias("a"), F.col("y.name").alias("b"), start.alias("start"), end.alias("end"))
     months = (F.year("end") - F.year("start")) * 12 + F.month("end") - F.month("start")
     return out.withColumn("months", months).where(F.col("months") >= least_months)
 

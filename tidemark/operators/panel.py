@@ -87,7 +87,7 @@ def event_windows(df: DataFrame, events: DataFrame, before: int, after: int, est
     full = (n_usual == estimation) & (n_total == before + after + 1)
     rows = c.withColumn("car", F.when(full, total - (before + after + 1) * usual)).withColumn("_prev", F.lag("date").over(w))
     # the event's row is the first on or after its date, so each event meets one row of its series
-    hit = rows.join(F.broadcast(events.withColumnRenamed("date", "event_date")), "series_id").where((F.col("date") >= F.col("event_date")) & (F.col("_prev") < F.col("event_date")))
+    hit = rows.join(events.withColumnRenamed("date", "event_date"), "series_id").where((F.col("date") >= F.col("event_date")) & (F.col("_prev") < F.col("event_date")))
     return hit.where("car is not null").select("series_id", "event_date", "date", "car")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import sum_before
+
 
 def fixed_width(df: DataFrame, line: str, fields: dict[str, tuple[int, int, str]]) -> DataFrame:
     """Slices of a line as columns: name -> (first character from 1, length, type); what does not parse is null."""
@@ -47,14 +49,10 @@ def phrase_rates(df: DataFrame, text: str, left: list[str], right: list[str], le
 
 
 def series_chunks(df: DataFrame, points: int) -> DataFrame:
-    """Each series as an array of (epoch day, value), and the chunk of about so many points that it goes to.
-
-    The running sum over all series is taken on one row a series.
-    """
+    """Each series as an array of (epoch day, value), and the chunk of about so many points that it goes to."""
     packed = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "value"))).alias("points"))
-    before = Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = packed.select("series_id", F.size("points").alias("n")).withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / points).cast("long"))
-    return packed.join(starts, "series_id")
+    starts = sum_before(df.groupBy("series_id").agg(F.count("*").alias("n")), "series_id", "n", "before")
+    return packed.join(starts.select("series_id", "n", F.floor(F.col("before") / points).cast("long").alias("chunk")), "series_id")
 
 
 def unnest_lookup(df: DataFrame, codes: str, labels: DataFrame) -> DataFrame:
@@ -62,6 +60,6 @@ def unnest_lookup(df: DataFrame, codes: str, labels: DataFrame) -> DataFrame:
 
     Each distinct combination is looked up once.
     """
-    each = df.select(codes).distinct().select(codes, F.posexplode(F.split(codes, r"\|")).alias("_at", "code")).join(F.broadcast(labels), "code", "left")
+    each = df.select(codes).distinct().select(codes, F.posexplode(F.split(codes, r"\|")).alias("_at", "code")).join(labels, "code", "left")
     named = each.groupBy(codes).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("label", "code").alias("label")))).alias("_l"))
     return df.join(named.select(codes, F.array_join("_l.label", ", ").alias("labels")), codes, "left")

@@ -25,10 +25,10 @@ def edges_comove(spark, d):
     return L.comoving(yoy, ["topic", "date"], "series_id", 36, 0.1).withColumn("corr", F.round("corr", 6))
 
 
-@query(f"""WITH {FX}, {FC}, y AS (SELECT series_id, topic, year(date)::INTEGER AS year, round(sum(value), 2) AS v FROM fx JOIN fc USING (series_id) GROUP BY 1, 2, 3),
-x AS (SELECT *, v - lag(v) OVER (PARTITION BY series_id ORDER BY year) AS dv FROM y)
-SELECT a.series_id AS a, 'alt/' || b.series_id AS b, count(*) AS n, round(corr(a.v, b.v * 1000 + b.year), 6) AS corr, 3 AS power
-FROM x a JOIN x b ON a.topic = b.topic AND a.year = b.year WHERE a.series_id = b.series_id GROUP BY 1, 2""")
+@query(f"""WITH {FX}, {FC}, y AS (SELECT series_id, topic, year(date)::INTEGER AS year, round(sum(value), 2) AS v, round(sum(value), 2) * 1000 + year(date) AS w FROM fx JOIN fc USING (series_id) GROUP BY series_id, topic, year(date)),
+x AS (SELECT *, CASE WHEN lag(year) OVER k = year - 1 THEN v - lag(v) OVER k END AS dv, CASE WHEN lag(year) OVER k = year - 1 THEN w - lag(w) OVER k END AS dw FROM y WINDOW k AS (PARTITION BY series_id ORDER BY year)),
+p AS (SELECT a.series_id AS a, 'alt/' || b.series_id AS b, count(*) AS n, corr(a.v, b.w) AS corr, median(b.w / a.v) AS ratio, corr(a.dv, b.dw) AS change FROM x a JOIN x b ON a.topic = b.topic AND a.year = b.year GROUP BY 1, 2)
+SELECT a, b, n, round(corr, 6) AS corr, round(log10(ratio))::INTEGER AS power FROM p WHERE n >= 5 AND corr >= 0.9999 AND ratio > 0 AND abs(ratio / pow(10, round(log10(ratio))) - 1) <= 0.02 AND change >= least(0.9, corr)""")
 def twin_match(spark, d):
     fx = _with_topic(X.nation_series(spark, d), spark, d)
     y = fx.groupBy("series_id", "topic", F.year("date").alias("year")).agg(F.round(F.sum("value"), 2).alias("value"))

@@ -69,9 +69,9 @@ def v_politics(spark, d):
     return J.interval_join(X.nation_series(spark, d), X.terms(spark)).select("series_id", "date", "value", "lean")
 
 
-@query(f'WITH {FX}, {FT} SELECT series_id, lean, round(avg(value), 4) AS mean, min(date) AS first, max(date) AS last, count(*) AS n FROM fx LEFT JOIN ft ON date >= start AND date < "end" GROUP BY 1, 2')
+@query(f'WITH {FX}, {FT} SELECT series_id, lean, round(avg(value), 4) AS mean, min(date) AS first, max(date) AS last, count(*) AS n FROM fx LEFT JOIN ft ON date >= start AND date < "end" WHERE lean IS NOT NULL GROUP BY 1, 2')
 def v_by_term(spark, d):
-    both = J.interval_join(X.nation_series(spark, d), X.terms(spark))
+    both = J.interval_join(X.nation_series(spark, d), X.terms(spark)).where("lean is not null")
     return both.groupBy("series_id", "lean").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
 
 
@@ -266,21 +266,23 @@ def asof_nearest(spark, d):
     return J.asof_nearest(_event_dates(spark, d), X.nation_series(spark, d), "series_id")
 
 
-SECOND = "fs AS (SELECT * FROM (VALUES ('a', DATE '1996-03-01', DATE '1998-02-01'), ('b', DATE '1998-02-01', DATE '2001-05-01')) t(name, start, \"end\"))"
+SPANS = """sp AS (SELECT o_custkey AS key, o_orderstatus AS name, min(o_orderdate)::DATE AS start, max(o_orderdate)::DATE AS "end" FROM orders GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {FT}, {SECOND} SELECT lean AS a, name AS b, greatest(ft.start, fs.start) AS start, least(ft."end", fs."end") AS "end",
-date_diff('month', greatest(ft.start, fs.start), least(ft."end", fs."end"))::INTEGER AS months FROM ft JOIN fs ON ft.start < fs."end" AND ft."end" > fs.start
-WHERE date_diff('month', greatest(ft.start, fs.start), least(ft."end", fs."end")) >= 12""")
+@query(f"""WITH {SPANS} SELECT a.key, a.name AS a, b.name AS b, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end",
+date_diff('month', greatest(a.start, b.start), least(a."end", b."end"))::INTEGER AS months FROM sp a JOIN sp b ON a.key = b.key AND a.name < b.name AND a.start < b."end" AND a."end" > b.start
+WHERE date_diff('month', greatest(a.start, b.start), least(a."end", b."end")) >= 12""")
 def interval_overlap(spark, d):
-    b = spark.createDataFrame([("a", "1996-03-01", "1998-02-01"), ("b", "1998-02-01", "2001-05-01")], "name string, s string, e string").select("name", F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
-    return J.interval_overlap(X.terms(spark).withColumnRenamed("lean", "name"), b, 12)
+    """Spans from the first to the last order of each customer and status: where two of a customer overlap."""
+    day = lambda f, n: F.to_date(f("o_orderdate")).alias(n)
+    spans = X.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("name")).agg(day(F.min, "start"), day(F.max, "end"))
+    return J.interval_overlap(spans, spans, 12, "key").where("a < b")
 
 
-@query("""SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL
-SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)""")
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) SELECT * FROM a UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM a)""")
 def priority_merge(spark, d):
-    a = X.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    urgent = X.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    a = X.table(spark, d, "customer").join(urgent, "c_custkey", "left_semi").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return J.priority_merge(a, X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"])
 
 
@@ -348,14 +350,19 @@ def ols_by_series(spark, d):
     return out.select("series_id", F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), "n", F.round("se", 8).alias("se"), F.round("t", 4).alias("t"))
 
 
-@query("""WITH p AS (SELECT n_name AS id, r_name AS g, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE ((n_nationkey * 37) % 101) / 500.0 END AS p FROM nation JOIN region ON n_regionkey = r_regionkey),
-q AS (SELECT *, p * count(p) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g, p IS NULL ORDER BY p) AS raw FROM p)
-SELECT id, p, CASE WHEN p IS NOT NULL THEN round(least(1.0, (SELECT min(raw) FROM q k WHERE k.g = q.g AND k.p >= q.p)), 6) END AS p_adj FROM q""")
+RISES = """rs AS (SELECT p_brand AS g, l_suppkey AS id, count(*) FILTER (WHERE l_returnflag = 'R') AS k, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+p AS (SELECT id, g, CASE WHEN n >= 5 THEN exp(-2.0 * n * pow(greatest(k / n - 1 / 3.0, 0), 2)) END AS p FROM rs)"""
+
+
+@query(f"""WITH {RISES}, q AS (SELECT *, p * count(p) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g, p IS NULL ORDER BY p) AS raw FROM p), w AS (SELECT *, min(raw) OVER (PARTITION BY g, p IS NULL ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_ FROM q)
+SELECT id, g, round(p, 8) AS p, CASE WHEN p IS NOT NULL THEN round(least(1.0, least_), 8) END AS p_adj FROM w""")
 def benjamini_hochberg(spark, d):
-    n = X.table(spark, d, "nation").join(F.broadcast(X.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    p = F.when(F.col("n_nationkey") % 7 != 0, ((F.col("n_nationkey") * 37) % 101) / 500.0)
-    out = R.benjamini_hochberg(n.select(F.col("n_name").alias("id"), F.col("r_name").alias("g"), p.alias("p")), "p", ["g"])
-    return out.select("id", "p", F.when(F.col("p").isNotNull(), F.round("p_adj", 6)).alias("p_adj"))
+    """Bounds (Hoeffding's) on the chance of so many returned lines, by supplier, adjusted within each brand."""
+    li = X.table(spark, d, "lineitem").join(X.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    s = li.groupBy(F.col("p_brand").alias("g"), F.col("l_suppkey").alias("id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    p = F.when(F.col("n") >= 5, F.exp(-2.0 * F.col("n") * F.pow(F.greatest(F.col("k") / F.col("n") - 1 / 3.0, F.lit(0.0)), F.lit(2))))
+    out = R.benjamini_hochberg(s.withColumn("p", p), "p", ["g"])
+    return out.select("id", "g", F.round("p", 8).alias("p"), F.when(F.col("p").isNotNull(), F.round("p_adj", 8)).alias("p_adj"))
 
 
 @query(f"""WITH {FD} SELECT series_id, CASE WHEN value < 20000 THEN 0 WHEN value < 40000 THEN 1 ELSE 2 END AS band, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM fd GROUP BY 1, 2""")

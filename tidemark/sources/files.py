@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidemark-files/{uuid.uuid4().hex}"
 
 
+def sum_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of a column over all rows before, by order.
+
+    Rows are dealt out by ranges of the order and written down, so that the ranges stay; only one row a range is summed
+    up in order as a whole.
+    """
+    path = shared_folder(df.sparkSession)
+    df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("_range").agg(F.sum(value).alias(value)).select("_range", before(Window.orderBy("_range")).alias("_start"))
+    inside = rows.withColumn("_inside", before(Window.partitionBy("_range").orderBy(order)))
+    return inside.join(ranges, "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
+
+
 def read_long_csv(spark: SparkSession, path: str, schema: str, default_entity: str = "BR") -> DataFrame:
     """Long CSV files as one table: rows with a value, blank entities as the default one, and the year of the date."""
     df = spark.read.schema(schema).option("header", True).csv(path)

@@ -45,8 +45,8 @@ CATALOGUE = """fc AS (
   SELECT n_name AS series_id, r_name AS topic, CASE n_nationkey % 3 WHEN 0 THEN 'sum' WHEN 1 THEN 'last' ELSE 'mean' END AS agg
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
-#: Half-open terms of office, used as a small interval dimension.
-TERMS = [("1995-01-01", "1997-07-01", "left"), ("1997-07-01", "1999-10-01", "right"), ("1999-10-01", "2003-01-01", "centre")]
+#: Half-open terms of office, used as a small interval dimension, with a gap between the last two.
+TERMS = [("1995-01-01", "1997-07-01", "left"), ("1997-07-01", "1999-06-01", "right"), ("1999-10-01", "2003-01-01", "centre")]
 
 
 def terms(spark: SparkSession) -> DataFrame:
