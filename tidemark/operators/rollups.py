@@ -90,3 +90,8 @@ def headline(df: DataFrame, keys: list[str], codes: str, total: str, sep: str =
     is_total = F.forall(F.split(codes, sep), lambda c: c.rlike(total))
     out = df.withColumn("_total", is_total).withColumns({"_has": F.bool_or("_total").over(w), "_least": F.min(codes).over(w)})
     return out.where(F.when(F.col("_has"), F.col("_total")).otherwise(F.col(codes) == F.col("_least"))).drop("_total", "_has", "_least")
+
+
+def finite(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is neither null nor NaN nor infinite."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))

@@ -368,3 +368,24 @@ def v_observations_dims(spark, d):
     text = parts.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("label", "code").alias("x")))), lambda s: s["x"]), " | ").alias("breakdown"))
     one = labels.select(F.col("code").alias("classif1"), F.col("label").alias("dim1"))
     return o.join(one, "classif1", "left").join(text, "series_id").select("series_id", "classif1", "dim1", "classif2", "breakdown")
+
+
+@query("SELECT o_orderkey, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P'")
+def drop_missing(spark, d):
+    """Values of pending orders are missing in three ways: not a number, infinite, null."""
+    odd = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(float("nan"))).when(F.col("o_orderpriority") == "2-HIGH", F.lit(float("-inf")))
+    rows = X.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", odd).otherwise(F.col("o_totalprice")).alias("value"))
+    return R.finite(rows, "value")
+
+
+@query("""WITH h AS (SELECT o_custkey, c_nationkey, sum(o_totalprice) AS v, bool_or(o_orderstatus = 'P') AS flag FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1, 2), g AS (SELECT c_nationkey, sum(v) FILTER (WHERE flag) / sum(v) > 0.5 AS most FROM h GROUP BY 1)
+SELECT c_custkey, coalesce(h.flag, g.most, false) AS predicted, CASE WHEN h.flag IS NOT NULL THEN 'item' WHEN g.most IS NOT NULL THEN 'group' ELSE 'none' END AS basis FROM customer LEFT JOIN h ON h.o_custkey = c_custkey LEFT JOIN g ON g.c_nationkey = customer.c_nationkey""")
+def carry_forward_majority(spark, d):
+    """An item's class is what it ever was before; one not seen before takes its group's majority by volume."""
+    c = X.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    past = X.table(spark, d, "orders").where("o_orderdate < timestamp'1996-01-01 00:00:00'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("v"), F.bool_or(F.col("o_orderstatus") == "P").alias("flag"))
+    seen = c.join(past, "c_custkey", "left")
+    most = seen.where("v is not null").groupBy("c_nationkey").agg((F.coalesce(F.sum(F.when(F.col("flag"), F.col("v"))), F.lit(0.0)) / F.sum("v") > 0.5).alias("most"))
+    out = seen.join(most, "c_nationkey", "left")
+    basis = F.when(F.col("flag").isNotNull(), "item").when(F.col("most").isNotNull(), "group").otherwise("none")
+    return out.select("c_custkey", F.coalesce("flag", "most", F.lit(False)).alias("predicted"), basis.alias("basis"))

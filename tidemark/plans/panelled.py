@@ -158,6 +158,12 @@ def bucket_matrix(spark, d):
     return r(X.nation_series(spark, d).groupBy("series_id", F.to_date(F.date_trunc("quarter", "date")).alias("bucket")).agg(F.round(F.avg("value"), 3).alias("mean"), F.sum("value").alias("total")), 1, "total")
 
 
-@query("""SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS total, max(ts) AS last FROM events GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_shipdate::DATE AS day FROM lineitem), g AS (SELECT l_suppkey, date_trunc('month', day)::DATE AS month, min(gap)::INTEGER AS step FROM (SELECT *, day - lag(day) OVER (PARTITION BY l_suppkey, date_trunc('month', day) ORDER BY day) AS gap FROM d) GROUP BY 1, 2)
+SELECT g.l_suppkey, g.month, count(*) AS n, round(sum(l_quantity), 2) AS total, step, round(sum(l_quantity) * step, 2) AS volume FROM lineitem l JOIN g ON g.l_suppkey = l.l_suppkey AND g.month = date_trunc('month', l_shipdate)::DATE GROUP BY g.l_suppkey, g.month, step""")
 def plant_month_agg(spark, d):
-    return r(X.table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("last")), 2, "total")
+    """By plant and month: rows, their total, the step between readings as the least gap of their days, and total times step."""
+    li = X.table(spark, d, "lineitem").select("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"), F.to_date("l_shipdate").alias("day"), "l_quantity")
+    days = li.groupBy("l_suppkey", "month", "day").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    gap = F.datediff("day", F.lag("day").over(S.Window.partitionBy("l_suppkey", "month").orderBy("day")))
+    out = days.withColumn("gap", gap).groupBy("l_suppkey", "month").agg(F.sum("n").alias("n"), F.sum("q").alias("total"), F.min("gap").alias("step"))
+    return r(out.withColumn("volume", F.col("total") * F.col("step")), 2, "total", "volume")
