@@ -261,3 +261,31 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that have the smallest id of their class; rows with a null id all stay."""
     kept = classes(docs, n, percent).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+QUERY_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) END AS grams FROM d
+), one AS (
+  SELECT grams_md5, min(doc_id) AS id, any_value(grams) AS grams, any_value(len(grams)) AS n
+  FROM (SELECT *, md5(array_to_string(list_sort(grams), chr(10))) AS grams_md5 FROM g WHERE len(grams) > 0) GROUP BY 1
+), e AS (
+  SELECT id, n, unnest(grams) AS gram FROM one
+), pair AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), edge AS (
+  SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (
+  SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), root AS (
+  SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a
+), class AS (
+  SELECT doc_id, len(grams) AS n, CASE WHEN len(grams) > 0 THEN md5(array_to_string(list_sort(grams), chr(10))) END AS grams_md5 FROM g
+)
+SELECT doc_id, class.n::BIGINT AS n_shingles, coalesce(component, one.id, doc_id) AS component_id
+FROM class LEFT JOIN one USING (grams_md5) LEFT JOIN root ON root.id = one.id
+"""

@@ -95,6 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.QUERY_SQL,
+        "op6_jaccard_join": jaccard_join.QUERY_SQL,
         "op3_threshold_topk": threshold_topk.QUERY_SQL,
         "op4_sharding": _shard_sql(),
         "op7_line_dedup": line_dedup.QUERY_SQL,

@@ -241,3 +241,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "kept", "n_words", "n_removed"])
 
     return docs.join(marked, KEY, "left").select("doc_id", "text", "_m").mapInArrow(run, "doc_id long, kept string, n_words long, n_removed long")
+
+
+QUERY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS ws FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), again AS (
+  SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM win WHERE h IN (SELECT h FROM again)
+), w AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d
+), kept AS (
+  SELECT w.r, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY w.k) FILTER (WHERE gone.k IS NULL) AS kept
+  FROM w LEFT JOIN gone ON gone.r = w.r AND gone.k = w.k GROUP BY 1
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
