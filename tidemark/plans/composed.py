@@ -11,6 +11,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import regression as G
 from tidemark.operators import relating as E
 from tidemark.operators import timeseries as T
+from tidemark.sources import files as B
 from tidemark.sources import tables as X
 
 from .sampled import ols2_sql
@@ -85,9 +86,8 @@ def v_related(spark, d):
 
 @query(f"WITH {RELATED}, i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) SELECT x.i::INTEGER AS i, count(*) AS n, string_agg(y.i || ':' || upper(reason[1]), ' ' ORDER BY pos) AS list FROM rr JOIN i x ON x.p_partkey = series_id JOIN i y ON y.p_partkey = related_id GROUP BY 1")
 def export_related_json(spark, d):
-    # numbers of rows come from a sort over ids alone, in ranges
-    ids = X.table(spark, d, "part").select("p_partkey")
-    numbers = ids.select("p_partkey", (F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("int").alias("i"))
+    ids = X.table(spark, d, "part").select("p_partkey", F.lit(1).alias("one"))
+    numbers = B.sum_before(ids, "p_partkey", "one", "i").select("p_partkey", F.col("i").cast("int").alias("i"))
     side = lambda key, name: numbers.select(F.col("p_partkey").alias(key), F.col("i").alias(name))
     e = _related(spark, d).join(side("series_id", "i"), "series_id").join(side("related_id", "j"), "related_id")
     item = F.concat(F.col("j").cast("string"), F.lit(":"), F.upper(F.substring("reason", 1, 1)))

@@ -146,8 +146,7 @@ def export_catalog_records(spark, d):
     """A record a series as JSON, by number, read back."""
     path = B.shared_folder(spark)
     stats = X.nation_series(spark, d).groupBy("series_id").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
-    # one row a series is ranked, not its points
-    records = stats.withColumn("i", (F.row_number().over(T.Window.orderBy("series_id")) - 1).cast("int"))
+    records = B.sum_before(stats.withColumn("one", F.lit(1)), "series_id", "one", "i").withColumn("i", F.col("i").cast("int"))
     records.select(F.to_json(F.struct("i", F.struct("series_id", "n", "first", "last").alias("r"))).alias("value")).write.text(path)
     back = spark.read.schema("i int, r struct<series_id: string, n: bigint, first: date, last: date>").json(path)
     return back.select("i", "r.*")
