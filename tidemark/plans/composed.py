@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cleaning as C
 from tidemark.functions import scalars as S
 from tidemark.operators import joins as J
 from tidemark.operators import regression as G

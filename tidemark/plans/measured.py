@@ -11,7 +11,7 @@ from tidemark.operators import rollups as R
 from tidemark.operators import timeseries as T
 from tidemark.sources import tables as X
 
-from .warehouse import FC, FD, FT, FX, W12, query
+from .warehouse import FC, FD, FT, FX, query
 
 
 def r(df, places, *columns):

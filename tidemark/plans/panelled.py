@@ -9,7 +9,7 @@ from tidemark.operators import resampling as S
 from tidemark.operators import timeseries as T
 from tidemark.sources import tables as X
 
-from .warehouse import BASKET, FC, FD, FT, FX, W12, _basket, _event_dates, query
+from .warehouse import BASKET, FC, FD, FX, W12, _basket, _event_dates, query
 from .warehouse import EVENTS_DIM as FE
 
 
