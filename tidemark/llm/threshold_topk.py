@@ -14,7 +14,6 @@ all. The best k of each block then meet in one top-k per query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
