@@ -370,3 +370,52 @@ def company_series(spark, d):
     w = T.by().rowsBetween(-3, 0)
     growth = 100 * (F.col("usd") / F.lag("usd", 4).over(T.by()) - 1)
     return u.select("series_id", "date", F.round("usd", 6).alias("usd"), F.when(F.count("*").over(w) == 4, F.round(F.sum("v").over(w), 2)).alias("ttm"), (F.round(growth, 5) + F.lit(0.0)).alias("growth"))
+
+
+@query(f"""WITH {FC}, i AS (SELECT 'total/' || topic AS d, series_id AS i FROM fc) SELECT d AS a, i AS b, 'lineage' AS reason, 1.0::DOUBLE AS strength FROM i UNION ALL SELECT i, d, 'lineage', 0.9 FROM i UNION ALL SELECT x.i, y.i, 'lineage', 0.85 FROM i x JOIN i y ON x.d = y.d AND x.i <> y.i""")
+def edges_lineage(spark, d):
+    """Between a derived series and its inputs, and between inputs used together."""
+    inputs = X.catalogue(spark, d).select(F.concat(F.lit("total/"), "topic").alias("d"), F.col("series_id").alias("i"))
+    return E.lineage_edges(inputs)
+
+
+@query(f"""WITH {FX}, {FC}, p AS (SELECT a.series_id AS canonical, b.series_id AS alternate, median(100 * abs(a.value - b.value) / a.value) AS diff FROM fx a JOIN fx b ON a.date = b.date AND a.series_id < b.series_id JOIN fc x ON x.series_id = a.series_id JOIN fc y ON y.series_id = b.series_id AND x.topic = y.topic GROUP BY 1, 2 HAVING median(100 * abs(a.value - b.value) / a.value) < 100)
+SELECT canonical AS a, alternate AS b, 'same_concept' AS reason, 1.0::DOUBLE AS strength, format('within {{:.0f}}%', diff) AS explanation FROM p UNION ALL SELECT alternate, canonical, 'same_concept', 1.0, format('within {{:.0f}}%', diff) FROM p""")
+def edges_same_concept(spark, d):
+    """Both ways between series of a topic that differ little, with how much."""
+    fx = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic")), "series_id")
+    side = lambda x, v: fx.select("topic", "date", F.col("series_id").alias(x), F.col("value").alias(v))
+    diff = F.median(100 * F.abs(F.col("u") - F.col("w")) / F.col("u"))
+    pairs = side("canonical", "u").join(side("alternate", "w"), ["topic", "date"]).where("canonical < alternate").groupBy("canonical", "alternate").agg(diff.alias("diff")).where("diff < 100")
+    text = F.format_string("within %.0f%%", "diff")
+    one = lambda a, b: pairs.select(*E.edge(a, b, "same_concept", 1.0), text.alias("explanation"))
+    return one("canonical", "alternate").unionByName(one("alternate", "canonical"))
+
+
+CANDIDATES = """cy AS (SELECT series_id, topic, 'annual ' || how AS basis, date_trunc('year', date) AS k, CASE how WHEN 'mean' THEN avg(value) ELSE sum(value) END AS v FROM fx JOIN fc USING (series_id), (SELECT unnest(['mean', 'sum']) AS how) GROUP BY series_id, topic, how, date_trunc('year', date) UNION ALL
+SELECT series_id, topic, 'quarterly mean', date_trunc('quarter', date), avg(value) FROM fx JOIN fc USING (series_id) GROUP BY series_id, topic, date_trunc('quarter', date)),
+cm AS (SELECT 'mirror/' || series_id AS series_id, topic, basis, k, v * 100 + year(k) AS v FROM cy)"""
+
+
+@query(f"WITH {FX}, {FC}, {CANDIDATES} SELECT a.basis, b.series_id AS dup, a.series_id AS keep, count(*) AS n, round(corr(a.v, b.v), 6) AS corr, round(median(b.v / a.v), 3) AS ratio FROM cy a JOIN cm b ON a.topic = b.topic AND a.basis = b.basis AND a.k = b.k GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND round(corr(a.v, b.v), 6) >= 0.9")
+def twin_candidates(spark, d):
+    """Pairs of a topic that run together on one of several bases: yearly means or sums, quarterly means."""
+    fx = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic")), "series_id")
+    part = lambda unit, how, name: fx.groupBy("series_id", "topic", F.to_date(F.date_trunc(unit, "date")).alias("k")).agg(how("value").alias("v")).withColumn("basis", F.lit(name))
+    y = part("year", F.avg, "annual mean").unionByName(part("year", F.sum, "annual sum")).unionByName(part("quarter", F.avg, "quarterly mean"))
+    m = y.select(F.concat(F.lit("mirror/"), "series_id").alias("dup"), "topic", "basis", "k", (F.col("v") * 100 + F.year("k")).alias("w"))
+    p = y.withColumnRenamed("series_id", "keep").join(m, ["topic", "basis", "k"]).groupBy("basis", "dup", "keep").agg(F.count("*").alias("n"), F.round(F.corr("v", "w"), 6).alias("corr"), F.round(F.median(F.col("w") / F.col("v")), 3).alias("ratio"))
+    return p.where("n >= 5 and corr >= 0.9")
+
+
+@query(f"""WITH {FX}, {FC}, o AS (SELECT series_id, topic, 0 AS pri, date, value FROM fx JOIN fc USING (series_id) UNION ALL SELECT 'mirror/' || series_id, topic, 1, date, value * 1000 FROM fx JOIN fc USING (series_id) UNION ALL SELECT 'short/' || series_id, topic, 2, date, value FROM fx JOIN fc USING (series_id) WHERE date >= DATE '2001-06-01'),
+s AS (SELECT series_id, topic, pri, count(*) AS n_obs, min(date) AS first, max(date) AS last, arg_max(value, date) AS last_value FROM o GROUP BY 1, 2, 3), k AS (SELECT * FROM s WHERE n_obs >= 5),
+t AS (SELECT b.series_id AS dup FROM o a JOIN o b ON a.topic = b.topic AND a.date = b.date AND a.pri = 0 AND b.pri = 1 GROUP BY a.series_id, b.series_id HAVING count(*) >= 24 AND round(corr(a.value, b.value), 6) >= 0.999), l AS (SELECT * FROM k WHERE series_id NOT IN (SELECT dup FROM t)),
+r AS (SELECT *, round((ln(1 + n_obs) + ln(1 + date_diff('day', first, last) / 365.25)) * CASE WHEN date_diff('day', last, DATE '2001-09-01') <= 60 THEN 1.0 ELSE 0.5 END, 3) AS rank FROM l)
+SELECT series_id, topic, n_obs, first, last, last_value, rank, CASE WHEN date_diff('day', last, DATE '2001-09-01') <= 60 THEN 'fresh' ELSE 'stale' END AS status FROM r""")
+def build_catalog(spark, d):
+    """The catalogue in its fixed order: short series go, then copies of series of higher priority, then rank and status."""
+    base = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic")), "series_id")
+    tagged = lambda df, prefix, pri: df.select(F.concat(F.lit(prefix), "series_id").alias("series_id"), "topic", F.lit(pri).alias("pri"), "date", "value")
+    obs = tagged(base, "", 0).unionByName(tagged(base.withColumn("value", F.col("value") * 1000), "mirror/", 1)).unionByName(tagged(base.where("date >= date'2001-06-01'"), "short/", 2))
+    return E.catalog(obs, least=5, overlap=24, alike=0.999, as_of="2001-09-01")
