@@ -140,8 +140,8 @@ def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
-def _prefixes(lists: DataFrame, percent: int) -> DataFrame:
-    """token, doc_id, n, u, m, own for each n-gram of each document's prefix; u: n-grams that it has alone, own: the prefix."""
+def _prefixes(lists: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """pos, token, doc_id, n, u, m for each n-gram of each document's prefix, and the prefix as own if `whole`; u: n-grams that it has alone."""
     n, u, tokens = F.col("n"), F.col("u"), F.col("by_df")
     length = lambda m: F.greatest(n - F.ceil(n * percent / 100) + m - u, F.lit(0)).cast("int")
     read = lambda m: F.aggregate(F.slice(tokens, F.lit(1), length(m)), F.lit(0).cast("double"), lambda s, x: s + x["df"])
@@ -149,7 +149,7 @@ def _prefixes(lists: DataFrame, percent: int) -> DataFrame:
     best = F.array_min(F.array(*[F.struct(cost(m).alias("cost"), F.lit(m).alias("m")) for m in range(1, MOST_MATCHES + 1)]))
     chosen = lists.withColumn("m", best["m"]).where(length(F.lit(1)) > 0)
     cut = chosen.withColumn("own", F.transform(F.slice(tokens, F.lit(1), length(F.col("m"))), lambda x: x["token"]))
-    return cut.select(F.explode("own").alias("token"), "doc_id", "n", "u", "m", "own")
+    return cut.select(F.posexplode("own").alias("pos", "token"), "doc_id", "n", "u", "m", *(["own"] if whole else []))
 
 
 def _possible(a: Column, b: Column, percent: int) -> Column:
@@ -170,7 +170,22 @@ def _once(x: str, y: str, percent: int) -> Column:
     return possible & once & (left * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent)
 
 
-def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components that share as many n-grams of their prefixes as they must.
+
+    Rows are small: the n-grams that a pair shares are counted, so no prefix moves along with each of its n-grams.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent))
+    side = lambda s: F.min(F.struct(f"{s}.pos", f"{s}.n", f"{s}.u", f"{s}.m")).alias(f"_{s}")
+    pairs = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("_shared"), side("x"), side("y"))
+    # prefixes have one order, so both first places are those of one n-gram, and nothing before it is shared
+    left = F.least(*[F.col(f"_{s}.n") - F.col(f"_{s}.u") - F.col(f"_{s}.pos") for s in "xy"])
+    enough = F.col("_shared") >= F.least("_x.m", "_y.m")
+    return pairs.where(enough & (left * (100 + percent) >= (F.col("_x.n") + F.col("_y.n")) * percent)).select("a", "b")
+
+
+def _prepared(docs: DataFrame, n: int, percent: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures (doc_id, n, k1, k2) of all documents; lists and prefixes of one document per set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = materialize(_signatures(docs, n))
@@ -187,7 +202,7 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     shared = grams.join(df, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("by_df"))
     lists = shared.select("doc_id", "n", (F.col("n") - F.size("by_df")).alias("u"), F.array_sort("by_df").alias("by_df"))
     lists = materialize(lists.withColumn("tokens", F.transform("by_df", lambda x: x["token"])).where(F.col("u") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    return signatures, lists, materialize(_prefixes(lists, percent))
+    return signatures, lists, materialize(_prefixes(lists, percent, whole))
 
 
 def _pairs(prefixes: DataFrame, percent: int, which: Column) -> DataFrame:
@@ -205,7 +220,7 @@ def _pairs(prefixes: DataFrame, percent: int, which: Column) -> DataFrame:
 
 def linked_pairs(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures as in classified, and every link (a, b), a < b, between the smallest ids of two different sets."""
-    signatures, lists, prefixes = _prepared(docs, n, percent)
+    signatures, lists, prefixes = _prepared(docs, n, percent, True)
     return signatures, _linked(_pairs(prefixes, percent, F.col("x.doc_id") < F.col("y.doc_id")), lists, percent)
 
 
@@ -228,17 +243,17 @@ def link_counts(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
 
 def classified(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures (doc_id, n, k1, k2) of all documents, and the components (id, component) of one document per set."""
-    signatures, lists, prefixes = _prepared(docs, n, percent)
+    signatures, lists, prefixes = _prepared(docs, n, percent, False)
     row = F.struct("u", "doc_id", "n", "m")
     heads = materialize(prefixes.groupBy("token").agg(F.min(row).alias("head"), F.count("*").alias("rows")).where("rows > 1"))
-    met = prefixes.drop("own").join(heads, "token").where((F.col("doc_id") != F.col("head.doc_id")) & _possible(F.struct("n", "u"), F.col("head"), percent))
+    met = prefixes.drop("pos").join(heads, "token").where((F.col("doc_id") != F.col("head.doc_id")) & _possible(F.struct("n", "u"), F.col("head"), percent))
     stars = met.select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).distinct()
     first = materialize(components(_linked(stars, lists, percent)))
 
     placed = prefixes.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = materialize(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
     open_ = materialize(placed.join(several, "token"))
-    more = _linked(_pairs(open_, percent, F.col("x.component") < F.col("y.component")), lists, percent)
+    more = _linked(_across(open_, percent), lists, percent)
     edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     return signatures, components(edges)
 
