@@ -173,16 +173,19 @@ def _once(x: str, y: str, percent: int) -> Column:
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components that share as many n-grams of their prefixes as they must.
 
-    Rows are small: the n-grams that a pair shares are counted, so no prefix moves along with each of its n-grams.
+    rows: the n-grams of prefixes that several components have, which are all that such a pair can share; a document's own
+    go along with each of them, in order, so that a pair comes out once, at the first n-gram that it shares.
     """
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent))
-    side = lambda s: F.min(F.struct(f"{s}.pos", f"{s}.n", f"{s}.u", f"{s}.m")).alias(f"_{s}")
-    pairs = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("_shared"), side("x"), side("y"))
-    # prefixes have one order, so both first places are those of one n-gram, and nothing before it is shared
-    left = F.least(*[F.col(f"_{s}.n") - F.col(f"_{s}.u") - F.col(f"_{s}.pos") for s in "xy"])
-    enough = F.col("_shared") >= F.least("_x.m", "_y.m")
-    return pairs.where(enough & (left * (100 + percent) >= (F.col("_x.n") + F.col("_y.n")) * percent)).select("a", "b")
+    own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_own")).select("doc_id", F.transform("_own", lambda s: s["token"]).alias("own"))
+    both = materialize(rows.join(own, "doc_id"))
+    x, y = both.alias("x"), both.alias("y")
+    common = F.array_intersect("x.own", "y.own")
+    once = (F.get(common, F.lit(0)) == F.col("x.token")) & (F.size(common) >= F.least("x.m", "y.m"))
+    # nothing before that n-gram is shared, which bounds the overlap
+    left = F.least(*[F.col(f"{s}.n") - F.col(f"{s}.u") - F.col(f"{s}.pos") for s in "xy"])
+    possible = _possible(F.struct("x.n", "x.u"), F.struct("y.n", "y.u"), percent) & (left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & possible & once
+    return x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def _prepared(docs: DataFrame, n: int, percent: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
