@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk, toxicity
+from . import byte_bpe, chat_format, imatch, jaccard_join, line_dedup, mixing, packing, sharding, substring_dedup, threshold_topk, toxicity
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def _shard_sql() -> str:
     table = ",".join(map(str, sharding.lookup_table(sharding.shard_names(sharding.SHARDS))))
     return f"""
