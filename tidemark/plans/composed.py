@@ -102,27 +102,6 @@ def bridge_join(spark, d):
     return E.bridge_edges(rules, heads)
 
 
-TWIN = f"""ty AS (SELECT series_id, topic, year(date)::INTEGER AS year, round(sum(value), 2) AS v FROM fx JOIN fc USING (series_id) GROUP BY 1, 2, 3), tm AS (SELECT series_id, topic, year(date)::INTEGER AS year, round(avg(value), 2) AS v FROM fx JOIN fc USING (series_id) GROUP BY 1, 2, 3),
-tz AS (SELECT 'mirror/' || series_id AS series_id, topic, year, v * 1000 + 1 AS v FROM tm), tp AS (SELECT a.series_id AS keep, b.series_id AS dup, count(*) AS n, corr(a.v, b.v) AS corr, median(b.v / a.v) AS ratio FROM ty a JOIN tz b ON a.topic = b.topic AND a.year = b.year GROUP BY 1, 2 HAVING count(*) >= 5),
-ok AS (SELECT *, round(log10(ratio * 12))::INTEGER AS power FROM tp WHERE corr >= 0.5)"""
-
-
-@query(f"""WITH {FX}, {FC}, {TWIN}, q AS (SELECT *, row_number() OVER (PARTITION BY dup ORDER BY round(corr, 9) DESC, keep) AS k FROM ok WHERE substr(dup, 8) = keep OR round(corr, 6) >= 0.95)
-SELECT dup, keep, n, round(corr, 6) AS corr, power FROM q WHERE k = 1 AND dup NOT IN (SELECT keep FROM q)""")
-def twin_filters(spark, d):
-    """Candidates of a topic by level, of which those that name the same thing or agree closely stay; the best a duplicate."""
-    fx = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic")), "series_id").withColumn("year", F.year("date"))
-    yearly = lambda how: fx.groupBy("series_id", "topic", "year").agg(F.round(how("value"), 2).alias("v"))
-    a = yearly(F.sum).select("topic", "year", F.col("series_id").alias("keep"), F.col("v").alias("x"))
-    b = yearly(F.avg).select("topic", "year", F.concat(F.lit("mirror/"), "series_id").alias("dup"), (F.col("v") * 1000 + 1).alias("y"))
-    p = a.join(b, ["topic", "year"]).groupBy("keep", "dup").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), F.median(F.col("y") / F.col("x")).alias("ratio"))
-    p = p.where((F.col("n") >= 5) & (F.col("corr") >= 0.5)).withColumn("power", F.round(F.log10(F.col("ratio") * 12)).cast("int"))
-    same = F.substring("dup", 8, 100) == F.col("keep")
-    best = p.where(same | (F.round("corr", 6) >= 0.95)).withColumn("_k", F.row_number().over(Window.partitionBy("dup").orderBy(F.desc(F.round("corr", 9)), "keep"))).where("_k = 1")
-    kept = best.select(F.col("keep").alias("dup")).distinct()
-    return r(best.join(kept, "dup", "left_anti").select("dup", "keep", "n", "corr", "power"), 6, "corr")
-
-
 @query("""WITH s AS (SELECT 'wb/' || p_name || '_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_M' ELSE '' END AS id, min(p_partkey) AS k FROM part GROUP BY 1) SELECT id, k FROM s WHERE NOT EXISTS (SELECT 1 FROM s m WHERE m.id = s.id || '_M')""")
 def annual_copy_of_monthly(spark, d):
     part = X.table(spark, d, "part")

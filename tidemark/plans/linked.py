@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
 from tidemark.operators import linking as L
+from tidemark.operators import overlap as O
 from tidemark.operators import rollups as R
 from tidemark.operators import timeseries as T
 from tidemark.sources import tables as X
@@ -22,7 +23,7 @@ SELECT x.series_id AS a, y.series_id AS b, count(*) AS n, round(corr(x.v, y.v),
 WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 36 AND abs(corr(x.v, y.v)) >= 0.1""")
 def edges_comove(spark, d):
     yoy = _with_topic(T.yoy_positional(X.nation_series(spark, d)), spark, d).select("series_id", "topic", "date", F.col("yoy").alias("value"))
-    return L.comoving(yoy, ["topic", "date"], "series_id", 36, 0.1).withColumn("corr", F.round("corr", 6))
+    return O.comoving(yoy, ["topic"], "series_id", "date", "value", 36, 0.1).withColumn("corr", F.round("corr", 6))
 
 
 @query(f"""WITH {FX}, {FC}, y AS (SELECT series_id, topic, year(date)::INTEGER AS year, round(sum(value), 2) AS v, round(sum(value), 2) * 1000 + year(date) AS w FROM fx JOIN fc USING (series_id) GROUP BY series_id, topic, year(date)),

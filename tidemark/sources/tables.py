@@ -55,3 +55,39 @@ def terms(spark: SparkSession) -> DataFrame:
 
 
 TERMS_SQL = "ft AS (SELECT * FROM (VALUES " + ", ".join(f"(DATE '{a}', DATE '{b}', '{c}')" for a, b, c in TERMS) + ') t(start, "end", lean))'
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series_id, topic (nation), kind, date, value: a supplier's monthly sales (s/), a thousandfold edition (m/) and one close to that (x/)."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date(F.trunc("l_shipdate", "month")).alias("date")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = li.join(s.select(F.col("s_suppkey").alias("k"), F.col("n_name").alias("topic")), "k")
+    thousand = F.col("v") * 1000 + F.month("date")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.round(v, 2).alias("value")) for kind, v in (("s", F.col("v")), ("m", thousand), ("x", thousand * 1.001))])
+    return rows.select("k", "topic", "date", F.explode(kinds).alias("e")).select(F.concat_ws("/", "e.kind", "k").alias("series_id"), "topic", "e.kind", "date", "e.value")
+
+
+def edition_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series_id, title, unit, priority, rank, protected for each series of `editions`."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    plain = F.concat_ws(" ", F.lower("n_name"), F.lit("sales"))
+    other = F.when(F.col("s_acctbal") < 500, F.concat(F.lit("bulletin "), F.col("s_suppkey"))).when(F.col("s_acctbal") < 1500, F.concat(plain, F.lit(" rural"))).otherwise(plain)
+    edition = F.when(F.col("s_acctbal") < 4000, F.concat(other, F.lit(" edition"))).otherwise(other)
+    bal = F.col("s_acctbal")
+    of = lambda kind, title, unit, priority, rank, protected: F.struct(F.concat_ws("/", F.lit(kind), "s_suppkey").alias("series_id"), title.alias("title"), unit.alias("unit"), F.lit(priority).cast("int").alias("priority") if isinstance(priority, int) else priority.alias("priority"), rank.alias("rank"), protected.alias("protected"))
+    usd, no = F.lit("usd"), F.lit(False)
+    rows = F.array(
+        of("s", plain, F.when(bal > 8000, "pct").otherwise("usd"), 0, bal, no),
+        of("m", other, usd, 1, bal, no),
+        of("x", edition, usd, F.when(bal < 6000, 1).otherwise(2), F.when(bal < 2500, bal + 1).otherwise(bal - 1), (bal > 5000) & (bal < 5500)),
+    )
+    return s.select(F.explode(rows).alias("r")).select("r.*")
+
+
+EDITIONS = """li AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate)::DATE AS date, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1, 2),
+ed AS (SELECT kind || '/' || k AS series_id, n_name AS topic, kind, date, round(CASE kind WHEN 's' THEN v WHEN 'm' THEN v * 1000 + month(date) ELSE (v * 1000 + month(date)) * 1.001::DOUBLE END, 2) AS value
+  FROM li JOIN supplier ON s_suppkey = k JOIN nation ON n_nationkey = s_nationkey, (SELECT unnest(['s', 'm', 'x']) AS kind)),
+eo AS (SELECT s_suppkey AS k, s_acctbal AS bal, lower(n_name) || ' sales' AS plain, CASE WHEN s_acctbal < 500 THEN 'bulletin ' || s_suppkey WHEN s_acctbal < 1500 THEN lower(n_name) || ' sales rural' ELSE lower(n_name) || ' sales' END AS other FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+et AS (SELECT 's/' || k AS series_id, plain AS title, CASE WHEN bal > 8000 THEN 'pct' ELSE 'usd' END AS unit, 0 AS priority, bal AS rank, false AS protected FROM eo
+  UNION ALL SELECT 'm/' || k, other, 'usd', 1, bal, false FROM eo
+  UNION ALL SELECT 'x/' || k, CASE WHEN bal < 4000 THEN other || ' edition' ELSE other END, 'usd', CASE WHEN bal < 6000 THEN 1 ELSE 2 END, CASE WHEN bal < 2500 THEN bal + 1 ELSE bal - 1 END, bal > 5000 AND bal < 5500 FROM eo)"""
