@@ -22,7 +22,12 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     spread = [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs]
     sums = own.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in names]).alias("m"), F.array(*spread).alias("c"))
-    k = len(xs)
+    return solved(sums, keys, len(xs))
+
+
+def solved(sums: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """As ols, from keys, n, m (means of k regressors and the outcome) and c (their covariances, row by row of the upper triangle)."""
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -116,6 +116,18 @@ def placebo(df: DataFrame, events: DataFrame, key: str, days: int, most: int) ->
     return out.withColumn("z", F.try_divide(F.col("effect") - F.col("_m"), "_s")).drop("_m", "_s")
 
 
+def placebo_means(free: DataFrame, events: DataFrame, key: str, group: str, count: int) -> DataFrame:
+    """group, rep, mean: in each replicate every event of a group takes the effect of one drawn row of its key in `free`.
+
+    free: key, pos, effect, the rows that may stand in; events: key, group. Events of keys without such rows are left out.
+    As many rows as replicates times events are drawn, whatever the length of the series.
+    """
+    rows = numbered(free, [key], ["pos"], "_i").select(key, "_i", F.col("effect").alias("_x"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    drawn = replicates(events.select(key, group).join(sizes, key), count).withColumn("_i", draw(group, key, "rep") % F.col("_n"))
+    return drawn.join(rows, [key, "_i"]).groupBy(group, "rep").agg(F.avg("_x").alias("mean"))
+
+
 def binomial_tail(k: Column, n: Column) -> Column:
     """Chance of k or more heads in n fair throws, from logarithms of binomial coefficients."""
     log_choose = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda s, j: s + F.when(i > 0, F.log((n - j + 1) / j)).otherwise(0.0))

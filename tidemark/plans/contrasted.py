@@ -12,8 +12,8 @@ from tidemark.operators import sampling as S
 from tidemark.operators import timeseries as T
 from tidemark.sources import tables as X
 
-from .sampled import FACTORS, _factors, boot_sql, draw_sql, quantile_sql
-from .warehouse import EVENTS_DIM, FC, FT, FX, query
+from .sampled import boot_sql, draw_sql, quantile_sql
+from .warehouse import FC, FT, FX, query
 
 
 def r(df, places, *columns):
@@ -268,17 +268,6 @@ def association_permutation(spark, d):
     return r(S.permutation_p(stat(c), stat(S.shuffled(c, ["g"], "flag", ["c_custkey"], 19), "rep"), ["g"], "v"), 6, "observed", "p")
 
 
-@query(f"""WITH {FX}, {FC}, {EVENTS_DIM}, {FACTORS}, c AS (SELECT rf.series_id, topic, sum(y) AS effect FROM rf JOIN e0 USING (series_id) WHERE pos - ep BETWEEN 0 AND 2 GROUP BY 1, 2), o AS (SELECT rf.series_id, avg((abs(y) * sqrt(3) >= abs(effect))::INT) AS p FROM rf JOIN c USING (series_id) JOIN e0 USING (series_id) WHERE abs(pos - ep) > 3 GROUP BY 1)
-SELECT topic, count(*) AS events, round(avg(effect), 5) + 0.0 AS effect, round(median(p), 6) AS p FROM c JOIN o USING (series_id) GROUP BY 1""")
-def event_group_summary(spark, d):
-    """Mean effect of a group's events, and the median share of other dates with as large a change."""
-    rows = _factors(spark, d).withColumn("k", F.col("pos") - F.col("at"))
-    c = rows.where("k between 0 and 2").groupBy("series_id", "topic").agg(F.sum("y").alias("effect"))
-    p = rows.where(F.abs("k") > 3).join(c.select("series_id", "effect"), "series_id").groupBy("series_id").agg(F.avg((F.abs("y") * F.sqrt(F.lit(3.0)) >= F.abs("effect")).cast("int")).alias("p"))
-    g = c.join(p, "series_id").groupBy("topic").agg(F.count("*").alias("events"), F.avg("effect").alias("effect"), F.median("p").alias("p"))
-    return r(r(g, 5, "effect"), 6, "p")
-
-
 @query(f"""WITH {FX}, {FC}, {boot_sql('fx', 'series_id', 'value', 20, 6)}, m AS (SELECT topic, series_id, avg(value) AS v FROM fx JOIN fc USING (series_id) GROUP BY 1, 2), b AS (SELECT series_id, rep, avg(value) AS v FROM d GROUP BY 1, 2), x AS (SELECT topic, a.series_id AS a, c.series_id AS b, a.v - c.v AS diff FROM m a JOIN m c USING (topic) WHERE a.series_id < c.series_id)
 SELECT topic, x.a, x.b, round(diff, 3) AS diff, round(quantile_cont(p.v - q.v, 0.05), 3) AS low, round(quantile_cont(p.v - q.v, 0.95), 3) AS high FROM x JOIN b p ON p.series_id = x.a JOIN b q ON q.series_id = x.b AND p.rep = q.rep GROUP BY topic, x.a, x.b, diff""")
 def pairwise_contrast(spark, d):

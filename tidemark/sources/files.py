@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidemark-files/{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sum_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of a column over all rows before, by order.
 
