@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import materialize, portable_hash
 
 WINDOW, DIVISOR, MIN_LINES, TASKS_AT_ONCE = 3, 5, 2, 16
-#: QUERY_SQL lets a border follow on each line, which leaves chunks of one line that are not compared.
-SQL_APART = 1
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -98,48 +96,22 @@ def dedup_lines(docs: DataFrame, apart: int = MIN_LINES) -> DataFrame:
     return _once(joined.withColumnRenamed("text", "_text"), **new).select(*docs.columns, "n_chunks", "n_removed")
 
 
-ORACLE = r"""
-WITH ln AS (
-  SELECT doc_id, u.i AS i, u.line AS line, ('0x' || substr(md5(u.line), 1, 8))::BIGINT AS h
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL) t,
-       LATERAL (SELECT unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i) u
-), roll AS (
-  SELECT *, h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0) AS r,
-         i = max(i) OVER (PARTITION BY doc_id) AS is_last
-  FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), num AS (
-  SELECT *, coalesce(sum(CASE WHEN r % 5 = 0 OR is_last THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
-  FROM roll
-), chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS s, count(*) AS n FROM num GROUP BY doc_id, k
-), marked AS (
-  SELECT *, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY s, n >= 2 ORDER BY doc_id, k) ELSE 1 END AS o FROM chunks
-), done AS (
-  SELECT doc_id, string_agg(s, chr(10) ORDER BY k) FILTER (WHERE o = 1) AS text, count(*) AS n_chunks,
-         count(*) FILTER (WHERE o > 1) AS n_removed
-  FROM marked GROUP BY doc_id
-)
-"""
 
-QUERY_SQL = ORACLE + """
-SELECT d.doc_id, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       sha256(coalesce(done.text, CASE WHEN d.text IS NULL THEN NULL ELSE '' END)) AS kept_sha256
-FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
-"""
-ORACLE = r"""
+QUERY_SQL = r"""
 WITH ln AS (
-  SELECT doc_id, u.i AS i, u.line AS line, ('0x' || substr(md5(u.line), 1, 8))::BIGINT AS h
+  SELECT doc_id, u.i AS i, u.line AS line, len(a) AS n, ('0x' || substr(md5(u.line), 1, 8))::BIGINT AS h
   FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL) t,
        LATERAL (SELECT unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i) u
 ), roll AS (
-  SELECT *, h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0) AS r,
-         i = max(i) OVER (PARTITION BY doc_id) AS is_last
+  SELECT *, h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0) AS r
   FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ends AS (  -- two lines at least on either side
+  SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM roll WHERE r % 5 = 0 AND i >= 1 AND i < n - 2
+), border AS (  -- every second of ends on neighbouring lines
+  SELECT doc_id, i FROM (SELECT doc_id, i, i - min(i) OVER (PARTITION BY doc_id, run) AS after FROM ends) WHERE after % 2 = 0
 ), num AS (
-  SELECT *, coalesce(sum(CASE WHEN r % 5 = 0 OR is_last THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
-  FROM roll
+  SELECT ln.*, coalesce(count(border.i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM ln LEFT JOIN border USING (doc_id, i)
 ), chunks AS (
   SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS s, count(*) AS n FROM num GROUP BY doc_id, k
 ), marked AS (
@@ -149,9 +121,6 @@ WITH ln AS (
          count(*) FILTER (WHERE o > 1) AS n_removed
   FROM marked GROUP BY doc_id
 )
-"""
-
-QUERY_SQL = ORACLE + """
 SELECT d.doc_id, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(coalesce(done.text, CASE WHEN d.text IS NULL THEN NULL ELSE '' END)) AS kept_sha256
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
