@@ -125,3 +125,30 @@ def members_of(text: Column) -> Column:
     """Names of a free-text list: notes in brackets go, ; and / part names."""
     plain = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]", ""), r"\([^)]*\)", "")
     return F.filter(F.transform(F.split(plain, "[;/]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+# Names of flows and of stocks, codes and words that decide how a series rolls up to a year.
+FLOWS = (
+    r"^(exports_.*|imports_.*|.*_exports(_kg)?|.*_imports|beef_exports_to_china|trade_balance|"
+    r"current_account_usd|bop_goods_.*|caged_net_hires|deaths_.*|homicide_deaths|suicide_deaths|"
+    r"traffic_deaths|infant_deaths|vehicle_.*|pix_transactions_.*|revenue_.*|ebit_brl|net_income_.*|"
+    r"capex_brl|dividends_paid_brl|dividend_per_share_brl|generation_gwh)$"
+)
+STOCKS = (
+    r"(balance$|_gdp$|_debt_brl|net_debt|gross_public_debt|net_public_debt|cash_brl|fx_reserves|"
+    r"_12m_brl$|share_close|total_return|ibovespa_level|^population$)"
+)
+DEBT, QUARTERLY_GDP = r"^wb/DP\.DOD\.", r"^wb/NYGDPMKTP(SA|NS)?(CD|CN|KD|KN)_Q\."
+TRADE, PRICED, HELD = r"\b(exports?|imports?)\b", r"price|index|share|%|unit value|cover|months", r"reserves|stock|outstanding|debt"
+
+
+def agg_rule(series_id: Column, title: Column, unit: Column, native: Column, yearly: Column) -> Column:
+    """How a series rolls up to a year: sum, last or mean.
+
+    Yearly ones by mean. A native id (without what follows @) by the names of flows and stocks; any other by its code, then
+    by the words of title and unit: trade is summed unless it is a price or share, what is held takes its last value.
+    """
+    own, words = F.split_part(series_id, F.lit("@"), F.lit(1)), F.lower(F.concat_ws(" ", title, unit))
+    home = F.when(own.rlike(FLOWS), "sum").when(own.rlike(STOCKS), "last").otherwise("mean")
+    other = F.when(own.rlike(DEBT), "last").when(own.rlike(QUARTERLY_GDP), "sum").when(words.rlike(TRADE) & ~words.rlike(PRICED), "sum").when(words.rlike(HELD), "last").otherwise("mean")
+    return F.when(yearly, "mean").when(native, home).otherwise(other)

@@ -74,10 +74,14 @@ def prorata(df: DataFrame, owners: DataFrame, key: str, weight: str) -> DataFram
     return df.join(owners.withColumn("_share", share), key).withColumn("part", F.col("value") * F.col("_share")).drop("_share")
 
 
-def last_common(df: DataFrame, members: int) -> DataFrame:
-    """The rows of the latest date that `members` series have."""
-    last = df.groupBy("date").agg(F.count_distinct("series_id").alias("n")).where(F.col("n") == members).agg(F.max("date").alias("date"))
-    return df.join(F.broadcast(last), "date")
+def last_common(df: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of the latest date at which every series of `members` (series_id) has one."""
+    wanted = members.select("series_id").distinct()
+    of = df.join(wanted, "series_id", "left_semi")
+    # one row each
+    number, last = wanted.agg(F.count("*").alias("_all")), of.groupBy("date").agg(F.count_distinct("series_id").alias("_n"))
+    last = last.join(F.broadcast(number), F.col("_n") == F.col("_all")).agg(F.max("date").alias("date"))
+    return of.join(F.broadcast(last), "date")
 
 
 def cover_by_prefix(leaves: DataFrame, leaf: str, codes: DataFrame, lengths: tuple[int, ...], parent: int) -> DataFrame:

@@ -143,30 +143,15 @@ def parse_input_refs(spark, d):
     return refs.groupBy("series_id").agg(F.array_join(F.sort_array(F.collect_set("test")), ", ").alias("tests"))
 
 
-#: Which series are flows and which are stocks.
-FLOWS = (
-    r"^(exports_.*|imports_.*|.*_exports(_kg)?|.*_imports|beef_exports_to_china|trade_balance|"
-    r"current_account_usd|bop_goods_.*|caged_net_hires|deaths_.*|homicide_deaths|suicide_deaths|"
-    r"traffic_deaths|infant_deaths|vehicle_.*|pix_transactions_.*|revenue_.*|ebit_brl|net_income_.*|"
-    r"capex_brl|dividends_paid_brl|dividend_per_share_brl|generation_gwh)$"
-)
-STOCKS = (
-    r"(balance$|_gdp$|_debt_brl|net_debt|gross_public_debt|net_public_debt|cash_brl|fx_reserves|"
-    r"_12m_brl$|share_close|total_return|ibovespa_level|^population$)"
-)
-PRICED = r"price|index|share|%|unit value|cover|months"
-
-
-@query(f"""WITH s AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'exports_' || p_type WHEN 1 THEN p_name || '_balance' WHEN 2 THEN p_name ELSE 'wb/' || p_partkey END AS sid,
-CASE p_size % 6 WHEN 3 THEN 'Imports of ' || p_name WHEN 4 THEN 'External debt ' || p_name ELSE 'Import price ' || p_name END AS title, p_size % 5 = 0 AS yearly, p_size % 6 < 3 AS native FROM part)
-SELECT p_partkey, CASE WHEN yearly THEN 'mean' WHEN native THEN CASE WHEN regexp_matches(sid, '{FLOWS}') THEN 'sum' WHEN regexp_matches(sid, '{STOCKS}') THEN 'last' ELSE 'mean' END
-WHEN regexp_matches(lower(title), '\\b(exports?|imports?)\\b') AND NOT regexp_matches(lower(title), '{PRICED}') THEN 'sum' WHEN regexp_matches(lower(title), 'reserves|stock|outstanding|debt') THEN 'last' ELSE 'mean' END AS agg FROM s""")
+@query(f"""WITH s AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'exports_' || p_type WHEN 1 THEN p_name || '_balance' WHEN 2 THEN p_name WHEN 4 THEN 'wb/NYGDPMKTPSAKD_Q.' || p_partkey WHEN 5 THEN 'wb/DP.DOD.' || p_partkey ELSE 'wb/' || p_partkey END AS sid,
+CASE p_size % 6 WHEN 3 THEN 'Imports of ' || p_name ELSE p_name END AS title, CASE WHEN p_size % 4 = 0 THEN 'Price' END AS unit, p_size % 5 = 0 AS yearly, p_size % 6 < 3 AS native FROM part)
+SELECT p_partkey, CASE WHEN yearly THEN 'mean' WHEN native THEN CASE WHEN regexp_matches(sid, '{C.FLOWS}') THEN 'sum' WHEN regexp_matches(sid, '{C.STOCKS}') THEN 'last' ELSE 'mean' END WHEN regexp_matches(sid, '{C.DEBT}') THEN 'last' WHEN regexp_matches(sid, '{C.QUARTERLY_GDP}') THEN 'sum'
+WHEN regexp_matches(lower(concat_ws(' ', title, unit)), '{C.TRADE}') AND NOT regexp_matches(lower(concat_ws(' ', title, unit)), '{C.PRICED}') THEN 'sum' WHEN regexp_matches(lower(concat_ws(' ', title, unit)), '{C.HELD}') THEN 'last' ELSE 'mean' END AS agg FROM s""")
 def agg_rule(spark, d):
-    sid = F.expr("CASE p_size % 6 WHEN 0 THEN concat('exports_', p_type) WHEN 1 THEN concat(p_name, '_balance') WHEN 2 THEN p_name ELSE concat('wb/', p_partkey) END")
-    title = F.lower(F.expr("CASE p_size % 6 WHEN 3 THEN concat('Imports of ', p_name) WHEN 4 THEN concat('External debt ', p_name) ELSE concat('Import price ', p_name) END"))
-    own = F.when(sid.rlike(FLOWS), "sum").when(sid.rlike(STOCKS), "last").otherwise("mean")
-    other = F.when(sid.rlike(r"^wb/DP\.DOD\."), "last").when(title.rlike(r"\b(exports?|imports?)\b") & ~title.rlike(PRICED), "sum").when(title.rlike("reserves|stock|outstanding|debt"), "last").otherwise("mean")
-    return X.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "mean").when(F.col("p_size") % 6 < 3, own).otherwise(other).alias("agg"))
+    sid = F.expr("CASE p_size % 6 WHEN 0 THEN concat('exports_', p_type) WHEN 1 THEN concat(p_name, '_balance') WHEN 2 THEN p_name WHEN 4 THEN concat('wb/NYGDPMKTPSAKD_Q.', p_partkey) WHEN 5 THEN concat('wb/DP.DOD.', p_partkey) ELSE concat('wb/', p_partkey) END")
+    title = F.expr("CASE p_size % 6 WHEN 3 THEN concat('Imports of ', p_name) ELSE p_name END")
+    unit = F.when(F.col("p_size") % 4 == 0, "Price")
+    return X.table(spark, d, "part").select("p_partkey", C.agg_rule(sid, title, unit, F.col("p_size") % 6 < 3, F.col("p_size") % 5 == 0).alias("agg"))
 
 
 @query(f"""WITH {FX}, s AS (SELECT series_id, max(date) AS last, (hash_ % 3) AS k FROM (SELECT *, length(series_id) AS hash_ FROM fx) GROUP BY series_id, hash_), a AS (SELECT max(last) AS m FROM s)

@@ -241,13 +241,13 @@ def rule_noise_draws(spark, d):
     return r(S.interval(v, ["series_id"], "v"), 6, "low", "mid", "high")
 
 
-SENTENCES = "st AS (SELECT source, doc_id * 1000000 + i AS date, length(trim(s)) AS n, len(regexp_extract_all(lower(s), '\\bthe\\b')) AS hits FROM (SELECT source, doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) - 1 AS i FROM documents WHERE lang = 'en' AND n_chars < 2000) WHERE trim(s) <> '')"
+SENTENCES = "st AS (SELECT source, doc_id * 1000000 + i AS date, length(trim(s)) AS n, len(regexp_extract_all(lower(s), '\\bthe\\b')) AS hits FROM (SELECT source, doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) - 1 AS i FROM documents WHERE lang = 'en') WHERE trim(s) <> '')"
 
 
 @query(f"WITH {SENTENCES}, {boot_sql('st', 'source', 'm.n AS len_, m.hits', 10, 1)}, v AS (SELECT source, rep, 1000.0 * sum(hits) / sum(len_) AS v FROM d GROUP BY 1, 2) SELECT source, {quantile_sql('v', 5)} FROM v GROUP BY 1")
 def sentence_bootstrap(spark, d):
-    """Rate of a word over sentences drawn anew, by source, of short English texts."""
-    docs = X.table(spark, d, "documents").where("lang = 'en' and n_chars < 2000 and text is not null")
+    """Rate of a word over sentences drawn anew, by source, of all English texts."""
+    docs = X.table(spark, d, "documents").where("lang = 'en' and text is not null")
     s = docs.select("source", "doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s")).where(F.trim("s") != "")
     rows = s.select("source", (F.col("doc_id") * 1000000 + F.col("i")).alias("date"), F.length(F.trim("s")).alias("len"), F.regexp_count(F.lower("s"), F.lit(r"\bthe\b")).alias("hits"))
     v = S.block_bootstrap(rows, ["source"], ["date"], 10, 1).groupBy("source", "rep").agg((1000.0 * F.sum("hits") / F.sum("len")).alias("v"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import timeseries as T
 from tidemark.sources import files as B
+from tidemark.sources import replacing as R
 from tidemark.sources import tables as X
 
 from .warehouse import FC, FX, W12, query
@@ -125,6 +126,30 @@ def write_bronze(spark, d):
     return spark.read.parquet(path)
 
 
+@query("""WITH m AS (SELECT event_type, strftime(ts, '%Y%m%d') AS period, ts::DATE AS day, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, total, n, period >= '20240120' AS revised FROM m""")
+def upsert_partitions(spark, d):
+    """Daily totals written up to a day, of which the last days lacked events; then the days that are lacking, and the last three again."""
+    path = B.shared_folder(spark)
+    events = X.table(spark, d, "events").withColumns({"day": F.to_date("ts"), "period": F.date_format("ts", "yyyyMMdd")})
+    totals = lambda df: df.groupBy("event_type", "period", "day").agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
+    R.upsert(totals(events.where("day <= date'2024-01-22'").where("day < date'2024-01-20' or hour(ts) < 12")).withColumn("revised", F.lit(False)), path, ["event_type", "day"], ["period"])
+    # what a new fetch up to a later day gives: the days of the table that it repeats stay, but for those refreshed
+    late = totals(events.where("day >= date'2024-01-20'")).withColumn("revised", F.lit(True))
+    R.upsert(late.where("day <= date'2024-01-22'"), path, ["event_type", "day"], ["period"])
+    R.upsert(R.refresh(spark, late, path, "period", 3), path, ["event_type", "day"], ["period"])
+    return spark.read.parquet(path).select("event_type", "day", "total", "n", "revised")
+
+
+@query("SELECT s_suppkey, round(s_acctbal + 1, 2) AS s_acctbal, strftime(DATE '2001-03-05' + s_nationkey::INTEGER, '%Y-%m-%d') AS date FROM supplier")
+def replace_table(spark, d):
+    """A table replaced by one that is worked out from itself."""
+    path = B.shared_folder(spark)
+    s = X.table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.date_add(F.lit("2001-03-05").cast("date"), F.col("s_nationkey")).alias("date"))
+    B.write_bronze(s, path, ["s_suppkey"], ["s_suppkey"], "s_acctbal", ["date"])
+    R.replace_table(spark.read.parquet(path).withColumn("s_acctbal", F.round(F.col("s_acctbal") + 1, 2)), path)
+    return spark.read.parquet(path)
+
+
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY 1")
 def write_table(spark, d):
     path = B.shared_folder(spark)

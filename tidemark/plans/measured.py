@@ -77,11 +77,13 @@ def headline_rows(spark, d):
     return R.headline(o, ["o_custkey"], "codes", "^(F|TOTAL)$").select("o_custkey", "o_orderkey", "codes")
 
 
-@query(f"""WITH {FX}, {FC}, m AS (SELECT date, sum(value) FILTER (WHERE topic = 'ASIA') AS part, sum(value) AS total, count(*) FILTER (WHERE topic = 'ASIA') AS k FROM fx JOIN fc USING (series_id) GROUP BY 1), l AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS q FROM m WHERE k = 5)
+@query(f"""WITH {FX}, {FC}, m AS (SELECT date, sum(value) FILTER (WHERE topic = 'ASIA') AS part, sum(value) AS total, count(*) FILTER (WHERE topic = 'ASIA') AS k FROM fx JOIN fc USING (series_id) GROUP BY 1), l AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS q FROM m WHERE k = (SELECT count(*) FROM fc WHERE topic = 'ASIA'))
 SELECT round(100 * sum(part) / sum(total), 6) AS share, min(date) AS start, max(date) AS "end" FROM l WHERE q <= 12 HAVING count(*) = 12""")
 def trailing_share(spark, d):
     fx = X.nation_series(spark, d).join(_cat(spark, d), "series_id")
-    m = fx.groupBy("date").agg(F.sum(F.when(F.col("topic") == "ASIA", F.col("value"))).alias("part"), F.sum("value").alias("total"), F.count_if(F.col("topic") == "ASIA").alias("k")).where("k = 5")
+    m = fx.groupBy("date").agg(F.sum(F.when(F.col("topic") == "ASIA", F.col("value"))).alias("part"), F.sum("value").alias("total"), F.count_if(F.col("topic") == "ASIA").alias("k"))
+    members = X.catalogue(spark, d).where("topic = 'ASIA'").agg(F.count("*").alias("k"))  # one row
+    m = m.join(F.broadcast(members), "k")
     # the last 12 months all together are a limit, not a window over all of them
     last = m.orderBy(F.desc("date")).limit(12).agg(F.count("*").alias("n"), (100 * F.sum("part") / F.sum("total")).alias("share"), F.min("date").alias("start"), F.max("date").alias("end"))
     return r(last.where("n = 12").select("share", "start", "end"), 6, "share")

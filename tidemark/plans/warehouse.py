@@ -307,9 +307,9 @@ def prorata_join(spark, d):
     return J.prorata(X.nation_series(spark, d), owners, "series_id", "s_acctbal").select("series_id", "date", "s_suppkey", F.round("part", 2).alias("part"))
 
 
-@query(f"WITH {FX}, m AS (SELECT date FROM fx GROUP BY 1 HAVING count(DISTINCT series_id) = 25 ORDER BY date DESC LIMIT 1) SELECT series_id, date, value FROM fx JOIN m USING (date)")
+@query(f"WITH {FX}, {FC}, m AS (SELECT date FROM fx GROUP BY 1 HAVING count(DISTINCT series_id) = (SELECT count(*) FROM fc) ORDER BY date DESC LIMIT 1) SELECT series_id, date, value FROM fx JOIN m USING (date)")
 def last_common_period(spark, d):
-    return J.last_common(X.nation_series(spark, d), 25).select("series_id", "date", "value")
+    return J.last_common(X.nation_series(spark, d), X.catalogue(spark, d)).select("series_id", "date", "value")
 
 
 BASKET = "b AS (SELECT year(o_orderdate)::INTEGER AS year, o_orderpriority AS part, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2)"

@@ -91,24 +91,30 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return files.where(metric != "").select("tier", metric.alias("metric"), entry("source").alias("source"), entry("unit").alias("unit"))
 
 
-def write_bronze(df: DataFrame, path: str, required: list[str], sort: list[str], value: str = "value") -> int:
-    """Write the rows with a value as Parquet, sorted inside files; an empty table or a missing column is refused.
+def write_bronze(df: DataFrame, path: str, required: list[str], sort: list[str], value: str = "value", dates: list[str] | None = None) -> int:
+    """Write the rows with a finite value as Parquet, sorted inside files, in place of what is at path; the number of rows.
 
-    Returns the number of rows written. Rows go to a folder of their own first, so a refused write leaves path as it was.
+    `dates` are written as text yyyy-mm-dd, whether they come as dates, times or text; what is no date becomes null. A
+    missing column or an empty table is refused, and then, or if writing fails, path stays as it was.
     """
+    from .replacing import replace_table
+
     if lacking := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing columns: {lacking}")
     good = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    if good.isEmpty():
-        raise ValueError("nothing to write")
-    good.sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    good = good.withColumns({c: F.date_format(F.col(c).try_cast("date"), "yyyy-MM-dd") for c in dates or []})
+    return replace_table(good.sortWithinPartitions(*sort), path)
+
 
+def write_typed(df: DataFrame, path: str, schema: StructType) -> int:
+    """Write df with exactly the columns and types of schema, missing ones as nulls, in place of what is at path; the number of rows.
+
+    The new table is written aside first, so a failed write leaves the old one.
+    """
+    from .replacing import replace_table
 
-def write_typed(df: DataFrame, path: str, schema: StructType) -> None:
-    """Write df with exactly the columns and types of schema, missing ones as nulls, compressed with zstd."""
     column = lambda f: (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-    df.select(*[column(f) for f in schema.fields]).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return replace_table(df.select(*[column(f) for f in schema.fields]), path, least=0)
 
 
 def xml_items(xml: Column, schema: str, unescape: bool = False) -> Column:
