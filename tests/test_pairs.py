@@ -80,3 +80,15 @@ def test_candidates_want_level_scale_and_changes(spark):
     got = [(r.dup, r.keep, r.n, r.ratio) for r in W.twin_candidates(native, copies, ["topic"], "t", 24, 0.9, 0.02, True, "monthly").collect()]
     assert got == [("k", "n", 30, 1000.0)]
     assert W.twin_candidates(native, copies, ["topic"], "t", 24, 0.9, 0.02, False, "monthly").count() == 0
+
+
+def test_neighbours_refill_level_by_level(spark):
+    from tidemark.operators import relating as E
+
+    rows = [("a", "d1", "t", 5.0), ("b", "d1", "t", 4.0), ("c", "d1", "t", 3.0), ("lone", "d2", "t", 1.0), ("hub", "d3", "u", 9.0), ("only", "d4", "v", 1.0)]
+    cat = spark.createDataFrame(rows, "id string, dataset string, topic string, rank double")
+    edges = spark.createDataFrame([("a", x, "text", 0.5) for x in ("b", "c", "hub")] + [("hub", "a", "text", 0.5)], "a string, b string, reason string, strength double")
+    levels = [{"group": ["dataset", "topic"], "few": 3, "best": 6, "top": 4, "strength": 0.8}, {"group": ["topic"], "few": 1, "best": 2, "top": 4, "strength": 0.6}]
+    got = {(r.a, r.b, r.strength) for r in E.refilled(edges, cat, "id", "rank", levels).where("reason = 'neighbor'").collect()}
+    # a has enough, b and c are filled from their dataset, lone has none there and gets the leaders of the topic, hub has an edge, only has nobody
+    assert got == {("b", "a", 0.8), ("b", "c", 0.8), ("c", "a", 0.8), ("c", "b", 0.8), ("lone", "a", 0.6), ("lone", "b", 0.6)}
