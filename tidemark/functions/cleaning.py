@@ -80,7 +80,8 @@ def clean_title(title: Column, owner: Column | None = None) -> Column:
 
 
 def breakdown_label(label: Column) -> Column:
-    """'by sex and activity - ISIC level 2 (thousands)' as 'by sex and activity (detailed)'."""
+    """A label without its last brackets and what follows a double dash; `wages - ISCO level 2` becomes `wages (detailed)`."""
+    # fixed values: the patterns of these labels
     t = F.regexp_replace(label, r"\s*\([^()]*\)\s*$", "")
     t = F.regexp_replace(t, r"\s+--\s.*$", "")
     return F.trim(F.regexp_replace(t, r" - IS(IC|CO) level 2", " (detailed)"))

@@ -385,16 +385,3 @@ def twin_candidates(spark, d):
     m = y.select(F.concat(F.lit("mirror/"), "series_id").alias("dup"), "topic", "basis", "k", (F.col("v") * 100 + F.year("k")).alias("w"))
     p = y.withColumnRenamed("series_id", "keep").join(m, ["topic", "basis", "k"]).groupBy("basis", "dup", "keep").agg(F.count("*").alias("n"), F.round(F.corr("v", "w"), 6).alias("corr"), F.round(F.median(F.col("w") / F.col("v")), 3).alias("ratio"))
     return p.where("n >= 5 and corr >= 0.9")
-
-
-@query(f"""WITH {FX}, {FC}, o AS (SELECT series_id, topic, 0 AS pri, date, value FROM fx JOIN fc USING (series_id) UNION ALL SELECT 'mirror/' || series_id, topic, 1, date, value * 1000 FROM fx JOIN fc USING (series_id) UNION ALL SELECT 'short/' || series_id, topic, 2, date, value FROM fx JOIN fc USING (series_id) WHERE date >= DATE '2001-06-01'),
-s AS (SELECT series_id, topic, pri, count(*) AS n_obs, min(date) AS first, max(date) AS last, arg_max(value, date) AS last_value FROM o GROUP BY 1, 2, 3), k AS (SELECT * FROM s WHERE n_obs >= 5),
-t AS (SELECT b.series_id AS dup FROM o a JOIN o b ON a.topic = b.topic AND a.date = b.date AND a.pri = 0 AND b.pri = 1 GROUP BY a.series_id, b.series_id HAVING count(*) >= 24 AND round(corr(a.value, b.value), 6) >= 0.999), l AS (SELECT * FROM k WHERE series_id NOT IN (SELECT dup FROM t)),
-r AS (SELECT *, round((ln(1 + n_obs) + ln(1 + date_diff('day', first, last) / 365.25)) * CASE WHEN date_diff('day', last, DATE '2001-09-01') <= 60 THEN 1.0 ELSE 0.5 END, 3) AS rank FROM l)
-SELECT series_id, topic, n_obs, first, last, last_value, rank, CASE WHEN date_diff('day', last, DATE '2001-09-01') <= 60 THEN 'fresh' ELSE 'stale' END AS status FROM r""")
-def build_catalog(spark, d):
-    """The catalogue in its fixed order: short series go, then copies of series of higher priority, then rank and status."""
-    base = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic")), "series_id")
-    tagged = lambda df, prefix, pri: df.select(F.concat(F.lit(prefix), "series_id").alias("series_id"), "topic", F.lit(pri).alias("pri"), "date", "value")
-    obs = tagged(base, "", 0).unionByName(tagged(base.withColumn("value", F.col("value") * 1000), "mirror/", 1)).unionByName(tagged(base.where("date >= date'2001-06-01'"), "short/", 2))
-    return E.catalog(obs, least=5, overlap=24, alike=0.999, as_of="2001-09-01")
