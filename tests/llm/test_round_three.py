@@ -212,3 +212,19 @@ def test_tries_hold_each_text_once(texts):
     for i, text in enumerate(texts):
         trie.add(text.encode(), -i, "s", 0, 1)
     assert sorted((t.decode(), n.least) for t, n in trie.terminals()) == sorted((t, -max(i for i, x in enumerate(texts) if x == t)) for t in set(texts))
+
+
+@pytest.mark.parametrize("warm", [0, 1000])
+def test_mixing_ranges_that_guessed_wrong_are_walked_again(spark, monkeypatch, warm):
+    from tidemark.llm import mixing
+
+    rng, tried = random.Random(3), []
+    blocks = {f"s{i:02d}": int(rng.paretovariate(1.0) * 60) for i in range(25)}
+    share = mixing.shares({s: n**0.5 for s, n in blocks.items()})
+    whole = list(mixing.walk(share, blocks, sum(share.values()), dict.fromkeys(sorted(share), 0)))
+    monkeypatch.setattr(mixing, "materialize", lambda df, keep=mixing.materialize: tried.append(1) or keep(df))
+    if not warm:
+        # a guess that is far off: nothing has run
+        monkeypatch.setattr(mixing, "guess", lambda share, blocks, total, slot: dict.fromkeys(sorted(share), 0))
+    assert sorted(map(tuple, mixing.plan(spark, share, blocks, least=400, warm=warm).collect())) == sorted(whole)
+    assert len(tried) == 2 if warm else len(tried) > 4

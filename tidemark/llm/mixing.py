@@ -5,9 +5,10 @@ fraction, its i-th block (from 1) has the release time floor((i-1) / w) and the
 released block with the earliest deadline runs. Shares add up to one, so every block meets its deadline, and until a
 source runs out, it is within less than one block of its share of the slots after any number of slots.
 
-Blocks are scheduled once over the whole run. The driver walks through the slots and keeps only each source's number of
-blocks done, at the start of every range of slots; each range is then scheduled by a task from there. Memory on the
-driver grows with the number of sources, which may be any, and not with the slots.
+Blocks are scheduled by ranges of slots, side by side. A range needs to know how many blocks of each source have run before
+it. It guesses that some slots ahead and walks up to its start, as schedules from different starts soon meet; what a range
+ends with is then compared with what the next one began with, and where these differ, the next one is walked again. So the
+schedule is that of one walk through all slots, and the driver holds a few numbers a source, never a block or a range.
 
 When a source has run out, the others go on between their release times and deadlines, so slots may stay empty. No row is
 dropped or repeated.
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import materialize, ranked
 
 BLOCK_ROWS = 16
 EXPONENT = 0.5
-LEAST_RANGE = 5000
+LEAST_RANGE, WARM_UP = 20_000, 1000
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -57,8 +58,8 @@ def shares(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(w * whole) for s, w in exact.items()}
 
 
-def walk(share: dict[str, int], blocks: dict[str, int], total: int, done: dict[str, int], slot: int = 0) -> Iterator[tuple[str, int, int, int, int]]:
-    """(source, number of the block from 0, slot, release, deadline) from a slot on, when done[source] blocks have run.
+def walk(share: dict[str, int], blocks: dict[str, int], total: int, done: dict[str, int], slot: int = 0, until: int | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, number of the block from 0, slot, release, deadline) from a slot on, before `until`, when done[source] blocks have run.
 
     `done` is kept up to date. A source has share / total of the slots; total counts sources that have run out too.
     """
@@ -72,6 +73,8 @@ def walk(share: dict[str, int], blocks: dict[str, int], total: int, done: dict[s
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
+        if until is not None and slot >= until:
+            return
         while waiting and waiting[0][0] <= slot:
             release, deadline, s = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, release))
@@ -88,36 +91,73 @@ def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return list(walk(quota, quota, sum(quota.values()), dict.fromkeys(quota, 0)))
 
 
-def ranges(share: dict[str, int], blocks: dict[str, int], least: int = LEAST_RANGE) -> Iterator[tuple[int, int, int, str, int]]:
-    """(range, its first slot, number of its blocks, source, blocks of the source done before) where a source has blocks left."""
-    size = max(least, 4 * len(share))
-    done = dict.fromkeys(sorted(share), 0)
-    before, first = dict(done), 0
-    n, k = 0, 0
-    for _, _, slot, _, _ in walk(share, blocks, sum(share.values()), done):
-        n += 1
-        if n == size:
-            yield from ((k, first, n, s, before[s]) for s in before if before[s] < blocks[s])
-            before, first, n, k = dict(done), slot + 1, 0, k + 1
-    if n:
-        yield from ((k, first, n, s, before[s]) for s in before if before[s] < blocks[s])
+def guess(share: dict[str, int], blocks: dict[str, int], total: int, slot: int) -> dict[str, int]:
+    """How many blocks of each source have run before a slot, nearly: those that are due, and of the open ones the most urgent."""
+    done = {s: slot * share[s] // total for s in sorted(share)}
+    left = slot - sum(done.values())
+    urgent = sorted((-(-(done[s] + 1) * total // share[s]), s) for s in done if done[s] * total // share[s] < slot)
+    for _, s in urgent[:left]:
+        done[s] += 1
+    return {s: min(blocks[s], n) for s, n in done.items()}
 
 
-def plan(spark: SparkSession, share: dict[str, int], blocks: dict[str, int], least: int = LEAST_RANGE) -> DataFrame:
+def starts(spark: SparkSession, share: dict[str, int], blocks: dict[str, int], size: int, warm: int = WARM_UP) -> DataFrame:
+    """k, start: how many blocks of each source (sorted by name) have run before slot k * size, for each range of slots.
+
+    Each range guesses its start some slots before, walks up to it and on to its end. Where a start is not the end of the
+    range before, the range is walked again from there, until all fit: so starts are those of one walk through all slots.
+    """
+    names, total = sorted(share), sum(share.values())
+    last = max((-(-blocks[s] * total // share[s]) for s in names), default=0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def end(k: int, start: list[int]) -> list[int]:
+        done = dict(zip(names, start, strict=True))
+        for _ in walk(share, blocks, total, done, k * size, (k + 1) * size):
+            pass
+        return [done[s] for s in names]
+
+    def batch(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = [[k for k, _ in rows], [start for _, start in rows], [end(k, start) for k, start in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "start", "end"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in rows.column(0).to_pylist():
+                slot = max(0, k * size - max(warm, 8 * len(names)))
+                done = guess(share, blocks, total, slot)
+                for _ in walk(share, blocks, total, done, slot, k * size):
+                    pass
+                yield batch([(k, [done[s] for s in names])])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                yield batch([row])
+
+    schema = "k long, start array<long>, end array<long>"
+    states = materialize(spark.range(0, -(-last // size), 1, parts).mapInArrow(first, schema))
+    while True:
+        ends = states.select((F.col("k") + 1).alias("k"), F.col("end").alias("_before"))
+        wrong = materialize(states.join(ends, "k").where(F.col("start") != F.col("_before")).select("k", F.col("_before").alias("start")))
+        if wrong.isEmpty():
+            return states.select("k", "start")
+        states = materialize(states.join(wrong.select("k"), "k", "left_anti").unionByName(wrong.mapInArrow(again, schema)))
+
+
+def plan(spark: SparkSession, share: dict[str, int], blocks: dict[str, int], least: int = LEAST_RANGE, warm: int = WARM_UP) -> DataFrame:
     """_source, block, slot, mix_release, mix_deadline for every block; each range of slots is scheduled by a task."""
-    total = str(sum(share.values()))
-    rows = [(k, first, n, s, done, blocks[s], str(share[s]), total) for k, first, n, s, done in ranges(share, blocks, least)]
-    starts = spark.createDataFrame(rows, "k long, first long, n long, s string, done long, blocks long, share string, total string")
-
-    def run(table: pa.Table) -> pa.Table:
-        col = {name: table.column(name).to_pylist() for name in ("s", "done", "blocks", "share")}
-        first, n, all_ = table.column("first")[0].as_py(), table.column("n")[0].as_py(), int(table.column("total")[0].as_py())
-        share_ = dict(zip(col["s"], map(int, col["share"]), strict=True))
-        steps = walk(share_, dict(zip(col["s"], col["blocks"], strict=True)), all_, dict(zip(col["s"], col["done"], strict=True)), first)
-        out = list(zip(*(step for _, step in zip(range(n), steps))))
-        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["_source", "block", "slot", "mix_release", "mix_deadline"])
-
-    return starts.groupBy("k").applyInArrow(run, "_source string, block long, slot long, mix_release long, mix_deadline long")
+    size, names, total = max(least, 4 * len(share)), sorted(share), sum(share.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k, start in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                steps = list(zip(*walk(share, blocks, total, dict(zip(names, start, strict=True)), k * size, (k + 1) * size)))
+                if steps:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(steps, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["_source", "block", "slot", "mix_release", "mix_deadline"])
+
+    return starts(spark, share, blocks, size, warm).mapInArrow(run, "_source string, block long, slot long, mix_release long, mix_deadline long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, exponent: float = EXPONENT) -> DataFrame:
