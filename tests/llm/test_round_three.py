@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import alignment, byte_bpe, filter_audit
 
@@ -228,3 +229,43 @@ def test_mixing_ranges_that_guessed_wrong_are_walked_again(spark, monkeypatch, w
         monkeypatch.setattr(mixing, "guess", lambda share, blocks, total, slot: dict.fromkeys(sorted(share), 0))
     assert sorted(map(tuple, mixing.plan(spark, share, blocks, least=400, warm=warm).collect())) == sorted(whole)
     assert len(tried) == 2 if warm else len(tried) > 4
+
+
+def written(spark, folder, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_drops_what_scores_as_toxic(spark, tmp_path):
+    import corpus_pipeline
+    from tidemark.llm import toxicity
+
+    rng = random.Random(6)
+    clean = lambda n: [rng.choice("abcdefghij") + rng.choice("klmnop") * 3 + str(rng.randrange(90)) for _ in range(n)]
+    insults = ["wretchling", "wr-etch-ling", "wretchhling", "gobshyte", "gob.shyte", "gobshyyte"]
+    rows, labels = [], []
+    for i in range(240):
+        w = clean(rng.choice([20, 40]))
+        if i % 4 == 0:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(insults)
+        rows.append((i, " ".join(w), "xyz"[i % 3]))
+        if i % 5:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(500, None, "x"), (501, "", None), (None, " ".join(clean(30)), "x"), (7, " ".join(clean(30)), "y")]
+    written(spark, tmp_path, rows, labels)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scored = toxicity.score(docs.withColumn("doc_id", F.col("text")), toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    toxic = {r.doc_id for r in scored.where("score >= 0.7").collect()}
+    planted = {t for i, t, _ in rows if i is not None and i < 240 and i % 4 == 0}
+    assert toxic <= planted and len(toxic) >= 0.8 * len(planted)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = sorted((i is not None, i or 0) for i, t, _ in rows if t not in toxic)
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out if r.piece == 0) == kept
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    written(spark, tmp_path, [], [(1, 1), (2, 0)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
