@@ -121,3 +121,33 @@ def twfe_by(df: DataFrame, group: str, unit: str, time: str, y: str, x: str) ->
     off = lambda c: F.col(c) - mean(c, unit) - mean(c, time) + mean(c)
     d = df.withColumns({"_dy": off(y), "_dx": off(x)})
     return d.groupBy(group).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("_dx") * F.col("_dy")), F.sum(F.col("_dx") * F.col("_dx"))).alias("beta"))
+
+
+def event_cars(df: DataFrame, events: DataFrame, windows: dict[str, tuple[int, int]], estimation: tuple[int, int], least: int, span: tuple[float, int] = (2.2, 15)) -> DataFrame:
+    """series_id, event_date, window, raw, car, car_factor: what changes add up to in rows [a, b] around each event.
+
+    df: series_id, date, change, factor. The event's row is the first on or after its date. car takes off the mean change of
+    the estimation rows, car_factor their line on the factor (null with fewer than `least` rows that have it; a factor that
+    lacks in the window counts as 0). Windows or estimation rows that run over a series' start or end are left out, and so
+    are windows that cover more days than span[0] * rows + span[1]: series with holes there.
+    """
+    w = Window.partitionBy("series_id").orderBy("date")
+    frame = lambda a, b: w.rowsBetween(a, b)
+    est, size = frame(*estimation), estimation[1] - estimation[0] + 1
+    both = F.when(F.col("factor").isNotNull(), F.col("change"))
+    rows = df.withColumns({
+        "_prev": F.lag("date").over(w), "_n": F.count("change").over(est), "_mean": F.avg("change").over(est), "_both": F.count("factor").over(est),
+        "_slope": F.regr_slope("change", "factor").over(est), "_my": F.avg(both).over(est), "_mx": F.avg("factor").over(est),
+    })
+    sums = [
+        F.struct(
+            F.lit(name).alias("window"), F.lit(b - a + 1).alias("size"), F.count("change").over(frame(a, b)).alias("n"), F.sum("change").over(frame(a, b)).alias("raw"),
+            F.sum(F.coalesce("factor", F.lit(0.0))).over(frame(a, b)).alias("f"), F.datediff(F.max("date").over(frame(a, b)), F.min("date").over(frame(a, b))).alias("days"),
+        )
+        for name, (a, b) in windows.items()
+    ]
+    rows = rows.withColumn("_w", F.array(*sums))
+    hit = rows.join(events.select("series_id", F.col("date").alias("event_date")), "series_id").where((F.col("date") >= F.col("event_date")) & (F.col("_prev").isNull() | (F.col("_prev") < F.col("event_date"))))
+    each = hit.select("*", F.explode("_w").alias("x")).where((F.col("_n") == size) & (F.col("x.n") == F.col("x.size")) & (F.col("x.days") <= span[0] * F.col("x.size") + span[1]))
+    line = F.when(F.col("_both") >= least, F.col("x.raw") - F.col("x.size") * (F.col("_my") - F.col("_slope") * F.col("_mx")) - F.col("_slope") * F.col("x.f"))
+    return each.select("series_id", "event_date", "x.window", "x.raw", (F.col("x.raw") - F.col("x.size") * F.col("_mean")).alias("car"), line.alias("car_factor"))

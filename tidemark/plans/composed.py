@@ -68,7 +68,8 @@ rr AS (SELECT a AS series_id, b AS related_id, reason, score, pos FROM (SELECT *
 
 def _related(spark, d):
     part = X.table(spark, d, "part").withColumn("stale", F.col("p_size") > 40)
-    edges = _family(spark, d).unionByName(_texts(spark, d)).unionByName(E.neighbor_edges(part, _family(spark, d), "p_partkey", ["p_type", "p_brand"], "p_retailprice"))
+    family = B.materialize(_family(spark, d))  # used twice
+    edges = family.unionByName(_texts(spark, d)).unionByName(E.neighbor_edges(part, family, "p_partkey", ["p_type", "p_brand"], "p_retailprice"))
     return E.related(edges, part, "p_partkey", "p_retailprice", "p_type", "stale", {"family": 0.55, "text": 0.45, "neighbor": 0.3}, {"family": 3, "text": 3, "neighbor": 4}, 5, 10)
 
 

@@ -158,12 +158,66 @@ def bucket_matrix(spark, d):
     return r(X.nation_series(spark, d).groupBy("series_id", F.to_date(F.date_trunc("quarter", "date")).alias("bucket")).agg(F.round(F.avg("value"), 3).alias("mean"), F.sum("value").alias("total")), 1, "total")
 
 
-@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_shipdate::DATE AS day FROM lineitem), g AS (SELECT l_suppkey, date_trunc('month', day)::DATE AS month, min(gap)::INTEGER AS step FROM (SELECT *, day - lag(day) OVER (PARTITION BY l_suppkey, date_trunc('month', day) ORDER BY day) AS gap FROM d) GROUP BY 1, 2)
-SELECT g.l_suppkey, g.month, count(*) AS n, round(sum(l_quantity), 2) AS total, step, round(sum(l_quantity) * step, 2) AS volume FROM lineitem l JOIN g ON g.l_suppkey = l.l_suppkey AND g.month = date_trunc('month', l_shipdate)::DATE GROUP BY g.l_suppkey, g.month, step""")
+@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_shipdate::DATE AS day FROM lineitem), g AS (SELECT l_suppkey, date_trunc('month', day)::DATE AS month, median(gap)::DOUBLE AS step FROM (SELECT *, day - lag(day) OVER (PARTITION BY l_suppkey, date_trunc('month', day) ORDER BY day) AS gap FROM d) GROUP BY 1, 2)
+SELECT g.l_suppkey, g.month, count(*) AS n, round(sum(l_quantity), 2) AS total, step, round(sum(l_quantity) * step, 2) AS volume, max(l_shipdate)::DATE AS last FROM lineitem l JOIN g ON g.l_suppkey = l.l_suppkey AND g.month = date_trunc('month', l_shipdate)::DATE GROUP BY g.l_suppkey, g.month, step""")
 def plant_month_agg(spark, d):
-    """By plant and month: rows, their total, the step between readings as the least gap of their days, and total times step."""
+    """By plant and month: rows, their total, the step between readings as the median gap of their days, total times step, the last reading."""
     li = X.table(spark, d, "lineitem").select("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"), F.to_date("l_shipdate").alias("day"), "l_quantity")
     days = li.groupBy("l_suppkey", "month", "day").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     gap = F.datediff("day", F.lag("day").over(S.Window.partitionBy("l_suppkey", "month").orderBy("day")))
-    out = days.withColumn("gap", gap).groupBy("l_suppkey", "month").agg(F.sum("n").alias("n"), F.sum("q").alias("total"), F.min("gap").alias("step"))
+    out = days.withColumn("gap", gap).groupBy("l_suppkey", "month").agg(F.sum("n").alias("n"), F.sum("q").alias("total"), F.median("gap").alias("step"), F.max("day").alias("last"))
     return r(out.withColumn("volume", F.col("total") * F.col("step")), 2, "total", "volume")
+
+
+EVENT_WINDOWS, ESTIMATION = {"short": (0, 2), "long": (-5, 10)}, (-120, -21)
+ROWS = lambda a, b: f"ROWS BETWEEN {abs(a)} {'PRECEDING' if a < 0 else 'FOLLOWING'} AND {abs(b)} {'PRECEDING' if b < 0 else 'FOLLOWING'}"
+DAILY_CHANGES = """dc AS (SELECT series_id, date, 100 * ln(value / lag(value) OVER (PARTITION BY series_id ORDER BY date)) AS change FROM fd), dk AS (SELECT * FROM dc WHERE change IS NOT NULL),
+dm AS (SELECT date, sum(change) AS s, count(*) AS n FROM dk GROUP BY 1), df AS (SELECT dk.*, CASE WHEN n > 1 THEN (s - change) / (n - 1) END AS factor FROM dk JOIN dm USING (date)), de AS (SELECT DISTINCT series_id, make_date(year(date), 6, 15) AS event_date FROM fd)"""
+
+
+@query(f"""WITH {FD}, {DAILY_CHANGES}, w AS (SELECT *, lag(date) OVER k AS prev, count(change) OVER e AS n, avg(change) OVER e AS mean, count(factor) OVER e AS nb, regr_slope(change, factor) OVER e AS slope, avg(CASE WHEN factor IS NOT NULL THEN change END) OVER e AS my, avg(factor) OVER e AS mx,
+{', '.join(f"count(change) OVER w{n} AS n_{n}, sum(change) OVER w{n} AS raw_{n}, sum(coalesce(factor, 0)) OVER w{n} AS f_{n}, max(date) OVER w{n} - min(date) OVER w{n} AS days_{n}" for n in EVENT_WINDOWS)}
+FROM df WINDOW k AS (PARTITION BY series_id ORDER BY date), e AS (PARTITION BY series_id ORDER BY date {ROWS(*ESTIMATION)}), {', '.join(f"w{n} AS (PARTITION BY series_id ORDER BY date {ROWS(a, b)})" for n, (a, b) in EVENT_WINDOWS.items())}),
+h AS (SELECT * FROM w JOIN de USING (series_id) WHERE date >= event_date AND (prev IS NULL OR prev < event_date) AND n = {ESTIMATION[1] - ESTIMATION[0] + 1})
+{' UNION ALL '.join(f"SELECT series_id, event_date, '{n}' AS window, round(raw_{n}, 5) + 0.0 AS raw, round(raw_{n} - {b - a + 1} * mean, 5) + 0.0 AS car, CASE WHEN nb >= 60 THEN round(raw_{n} - {b - a + 1} * (my - slope * mx) - slope * f_{n}, 5) + 0.0 END AS car_factor FROM h WHERE n_{n} = {b - a + 1} AND days_{n} <= 2.2 * {b - a + 1} + 15" for n, (a, b) in EVENT_WINDOWS.items())}""")
+def event_study_factor(spark, d):
+    """Each June's event: changes of two windows, raw, less the usual mean, and less the line on the other series' mean change."""
+    c = X.daily_prices(spark, d).withColumn("change", 100 * F.log(F.col("value") / F.lag("value").over(T.by()))).where("change is not null").select("series_id", "date", "change")
+    mean = c.groupBy("date").agg(F.sum("change").alias("s"), F.count("*").alias("n"))
+    rows = c.join(mean, "date").withColumn("factor", F.when(F.col("n") > 1, (F.col("s") - F.col("change")) / (F.col("n") - 1))).select("series_id", "date", "change", "factor")
+    events = X.daily_prices(spark, d).select("series_id", F.make_date(F.year("date"), F.lit(6), F.lit(15)).alias("date")).distinct()
+    return r(P.event_cars(rows, events, EVENT_WINDOWS, ESTIMATION, 60), 5, "raw", "car", "car_factor")
+
+
+@query(f"WITH {X.EDITIONS} SELECT series_id, topic, max(value) AS peak, arg_max(date, (value, -epoch(date))) AS at, round(max(value) / avg(value), 6) AS over_mean FROM ed GROUP BY 1, 2")
+def extreme_with_date(spark, d):
+    """The highest month of each series, the earliest of equal ones, and how far it is above the mean."""
+    first = F.max_by("date", F.struct("value", (-F.unix_date("date")).alias("d")))
+    return r(X.editions(spark, d).groupBy("series_id", "topic").agg(F.max("value").alias("peak"), first.alias("at"), (F.max("value") / F.avg("value")).alias("over_mean")), 6, "over_mean")
+
+
+@query(f"WITH {X.EDITIONS}, m AS (SELECT topic, series_id, round(avg(value), 2) AS v FROM ed WHERE kind = 's' GROUP BY 1, 2) SELECT topic, series_id, v, rank() OVER (PARTITION BY topic ORDER BY v DESC)::INTEGER AS place, count(*) OVER (PARTITION BY topic) AS members, round(v - median(v) OVER (PARTITION BY topic), 2) + 0.0 AS gap FROM m")
+def contrast_ranks(spark, d):
+    """Each unit's rank within its group and its gap to the group's median."""
+    m = X.editions(spark, d).where("kind = 's'").groupBy("topic", "series_id").agg(F.round(F.avg("value"), 2).alias("v"))
+    middle = m.groupBy("topic").agg(F.median("v").alias("_m"), F.count("*").alias("members"))
+    place = F.rank().over(S.Window.partitionBy("topic").orderBy(F.desc("v")))
+    return r(m.withColumn("place", place).join(middle, "topic").withColumn("gap", F.col("v") - F.col("_m")).select("topic", "series_id", "v", "place", "members", "gap"), 2, "gap")
+
+
+@query("""WITH c AS (SELECT l_suppkey AS k, count(*) AS n, min(l_shipdate)::DATE AS first, max(l_shipdate)::DATE AS last FROM lineitem GROUP BY 1), a AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS head FROM part)
+SELECT 'span' AS kind, 'years' AS name, min(year(first)) || '-' || least(max(year(last)), 2001) AS value, sum(n)::BIGINT AS n FROM c UNION ALL SELECT 'source', n_name, 's', count(*) FROM c JOIN supplier ON s_suppkey = k JOIN nation ON n_nationkey = s_nationkey GROUP BY 2
+UNION ALL SELECT 'pending', s_name, 'no data since 2001-10', 1 FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM c WHERE last >= DATE '2001-10-25') UNION ALL SELECT 'alias', p_partkey::VARCHAR, head::VARCHAR, 1 FROM a WHERE head <> p_partkey""")
+def build_facts_lists(spark, d):
+    """Facts of a build as rows: the years covered up to a year, series by source, what is pending, and where merged ids went."""
+    s = X.table(spark, d, "supplier").join(X.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    c = X.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"))
+    row = lambda df, kind, name, value, n: df.select(F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("string").alias("value"), n.cast("long").alias("n"))
+    span = c.agg(F.min(F.year("first")).alias("a"), F.least(F.max(F.year("last")), F.lit(2001)).alias("b"), F.sum("n").alias("n"))
+    out = row(span, "span", F.lit("years"), F.concat_ws("-", "a", "b"), F.col("n"))
+    out = out.unionByName(row(c.join(s, "s_suppkey").groupBy("n_name").agg(F.count("*").alias("n")), "source", F.col("n_name"), F.lit("s"), F.col("n")))
+    pending = s.join(c.where("last >= date'2001-10-25'"), "s_suppkey", "left_anti")
+    out = out.unionByName(row(pending, "pending", F.col("s_name"), F.lit("no data since 2001-10"), F.lit(1)))
+    part = X.table(spark, d, "part")
+    heads = part.groupBy("p_name", "p_brand", "p_type").agg(F.min("p_partkey").alias("head"))
+    return out.unionByName(row(part.join(heads, ["p_name", "p_brand", "p_type"]).where("head <> p_partkey"), "alias", F.col("p_partkey"), F.col("head"), F.lit(1)))
