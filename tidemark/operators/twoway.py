@@ -1,7 +1,7 @@
 """Two-way fixed effects of panels that may have gaps and weights, with several regressors.
 
 The effects of unit and time are swept out of the outcome and of every regressor by alternating projections: weighted
-unit means are taken off, then weighted time means, until no mean is left above a tolerance. The state is written down
+unit means are taken off, then weighted time means, until no mean is left above a tolerance. The effects are written down
 after some rounds, so that the plan stays short and lost executors cost those rounds alone. What is left gives one row of
 weighted cross products, from which the coefficients are solved.
 """
@@ -23,28 +23,34 @@ def dummies(df: DataFrame, group: str, regime: str, groups: list[str], regimes:
     return df.withColumns(names), list(names)
 
 
-def _less_means(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """columns less their weighted means by unit or time. Means are summed up before they meet the rows."""
-    of = lambda c: F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w"))
-    means = df.groupBy(by).agg(*[of(c).alias(f"_m{c}") for c in columns])
-    return df.join(means, by).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in columns}).drop(*[f"_m{c}" for c in columns])
+def _means(rows: DataFrame, by: str, columns: list[str], prefix: str) -> DataFrame:
+    """Weighted means by unit or time, summed up where the rows lie before anything moves."""
+    return rows.groupBy(by).agg(*[F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")).alias(prefix + c) for c in columns])
+
+
+def _less(rows: DataFrame, effects: DataFrame, by: str, columns: list[str], prefix: str) -> DataFrame:
+    return rows.join(effects, by).withColumns({c: F.col(c) - F.col(prefix + c) for c in columns}).drop(*[prefix + c for c in columns])
 
 
 def swept(df: DataFrame, unit: str, time: str, columns: list[str], tolerance: float = 1e-10) -> DataFrame:
     """unit, time, _w and columns rid of unit and time effects; columns are doubles, _w is the weight of a row.
 
-    It ends when the largest time mean (unit means are zero by then) is below tolerance times the largest value there was.
+    A round takes the time effects off the rows for new unit effects, and these for new time effects, so each step reads the
+    rows and one table of effects; only effects are written down, one row a unit or time. It ends when the largest time mean
+    of what is left (unit means are zero by then) is below tolerance times the largest value there was.
     """
-    spread = lambda d: d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(c)) for c in columns])).first()[0]
-    now = materialize(_less_means(_less_means(df, time, columns), unit, columns))
-    scale = (spread(df) or 0.0) or 1.0
+    widest = lambda d: d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(c)) for c in d.columns if c not in (unit, time, "_w")])).first()[0] or 0.0
+    scale = widest(df.select(*columns)) or 1.0
+    times = _means(df, time, columns, "_t")
     for _ in range(MOST_ROUNDS // ROUNDS_A_STATE):
-        means = now.groupBy(time).agg(*[F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")).alias(c) for c in columns])
-        if (spread(means) or 0.0) <= tolerance * scale:
-            return now
-        for _ in range(ROUNDS_A_STATE):
-            now = _less_means(_less_means(now, time, columns), unit, columns)
-        now = materialize(now)
+        for _ in range(ROUNDS_A_STATE - 1):
+            times = _means(_less(df, _means(_less(df, times, time, columns, "_t"), unit, columns, "_u"), unit, columns, "_u"), time, columns, "_t")
+        times = materialize(times)
+        units = materialize(_means(_less(df, times, time, columns, "_t"), unit, columns, "_u"))
+        left = _less(_less(df, times, time, columns, "_t"), units, unit, columns, "_u")
+        if widest(_means(left, time, columns, "_m")) <= tolerance * scale:
+            return left
+        times = _means(_less(df, units, unit, columns, "_u"), time, columns, "_t")
     raise ValueError(f"no convergence in {MOST_ROUNDS} rounds")
 
 
