@@ -57,7 +57,7 @@ def _built(spark, d):
 
     def twins(cat):
         rows = W.with_changes(obs.join(cat.select("series_id", "title"), "series_id"), "series_id", "date", "value", F.add_months("date", -1).cast("date"))
-        rows = rows.withColumn("name", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
+        rows = files.materialize(rows.withColumn("name", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")))
         of = lambda c: rows.where(c)
         pairs = W.twin_candidates(of("priority = 0"), of("priority > 0"), ["topic"], "date", 24, 0.99, 0.02, True, "monthly mean")
         pairs = pairs.unionByName(W.twin_candidates(of("priority = 1"), of("priority > 1"), ["topic"], "date", 24, 0.99, 0.02, False, "monthly vs flagship"))
