@@ -92,3 +92,11 @@ def test_neighbours_refill_level_by_level(spark):
     got = {(r.a, r.b, r.strength) for r in E.refilled(edges, cat, "id", "rank", levels).where("reason = 'neighbor'").collect()}
     # a has enough, b and c are filled from their dataset, lone has none there and gets the leaders of the topic, hub has an edge, only has nobody
     assert got == {("b", "a", 0.8), ("b", "c", 0.8), ("c", "a", 0.8), ("c", "b", 0.8), ("lone", "a", 0.6), ("lone", "b", 0.6)}
+
+
+def test_points_of_a_pair_are_its_common_dates(spark):
+    left = spark.createDataFrame([("x", "a", 1, 1.0), ("x", "a", 2, None), ("x", "a", 4, 4.0), ("x", "a", 4, 4.5), ("x", "a", None, 9.0)], "block string, series_id string, t int, v double")
+    right = spark.createDataFrame([("x", "b", 1, 10.0), ("x", "b", 2, 20.0), ("x", "b", 3, 30.0), ("x", "b", 4, 40.0), ("x", "b", None, 9.0)], left.schema)
+    pairs = spark.createDataFrame([("x", "a", "b"), ("x", "a", "none")], "block string, a string, b string")
+    got = sorted((r.a, r.b, r.t, r.v_a, r.v_b) for r in O.points(pairs, left, right, ["block"], "series_id", "t", ["v"]).collect())
+    assert got == [("a", "b", 1, 1.0, 10.0), ("a", "b", 2, None, 20.0), ("a", "b", 4, 4.5, 40.0)]

@@ -1,8 +1,11 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import scalars as S
 from tidemark.operators import joins as J
 from tidemark.operators import timeseries as T
+from tidemark.operators.rollups import year_to_date
 
 
 def series(spark, rows):
@@ -36,3 +39,11 @@ def test_entry_lists_sql_for_known_queries_only():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_year_to_date_meets_the_same_months(spark):
+    rows = [("a", "1999-01-01", 10.0), ("a", "1999-02-01", 10.0), ("a", "1999-12-01", 50.0), ("a", "2000-01-01", 12.0), ("a", "2000-02-01", 18.0), ("b", "1998-01-01", 5.0), ("b", "2000-01-01", None), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t string, v double").withColumn("t", F.to_date("t"))
+    got = {(r.k, r.year): (r.months, r.total, r.to_date, r.change) for r in year_to_date(df, ["k"], "t", "v").collect()}
+    assert got == {("a", 1999): (3, 70.0, 20.0, None), ("a", 2000): (2, 30.0, 30.0, 50.0), ("b", 1998): (1, 5.0, 5.0, None), ("b", 2000): (1, None, None, None)}
+    assert year_to_date(df.limit(0), ["k"], "t", "v").count() == 0

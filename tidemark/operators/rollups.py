@@ -95,3 +95,17 @@ def headline(df: DataFrame, keys: list[str], codes: str, total: str, sep: str =
 def finite(df: DataFrame, value: str) -> DataFrame:
     """Rows whose value is neither null nor NaN nor infinite."""
     return df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+
+
+def year_to_date(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """keys, year, months, total, to_date, change: sums by year, and by the part of each year that the last year has as well.
+
+    The last month of the whole table sets that part, so that an unfinished year meets the same months of others. change: by
+    how much to_date grew in percent; null where the year before is missing or its sum is 0. Rows without a date are left out.
+    """
+    rows = df.where(F.col(time).isNotNull()).withColumns({"year": F.year(time), "_m": F.month(time)})
+    last = rows.agg(F.month(F.max(time)).alias("_last"))  # one row
+    sums = rows.join(F.broadcast(last), F.lit(True)).groupBy(*keys, "year").agg(F.count_distinct("_m").alias("months"), F.sum(value).alias("total"), F.sum(F.when(F.col("_m") <= F.col("_last"), F.col(value))).alias("to_date"))
+    w = Window.partitionBy(*keys).orderBy("year")  # a row a year
+    before = F.when(F.lag("year").over(w) == F.col("year") - 1, F.lag("to_date").over(w))
+    return sums.withColumn("change", 100 * (F.try_divide(F.col("to_date"), before) - 1))

@@ -9,6 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import joins as J
 from tidemark.operators import regression as G
 from tidemark.operators import relating as E
+from tidemark.operators import rollups as U
 from tidemark.operators import timeseries as T
 from tidemark.sources import files as B
 from tidemark.sources import tables as X
@@ -217,6 +218,21 @@ def term_table(spark, d):
     return inside.agg(F.count("*").alias("months"), F.round(F.sum("flow") / F.count("*") * 12, 2).alias("annualised"), F.round(100 * F.sum("flow") / F.sum("total"), 6).alias("share"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+
+@query(f"""WITH {FX}, {FC}, {FT}, t AS (SELECT topic, date, sum(value) AS flow FROM fx JOIN fc USING (series_id) GROUP BY 1, 2), m AS (SELECT month(max(date)) AS m FROM t),
+y AS (SELECT topic, year(date)::INTEGER AS year, count(*) AS months, sum(flow) AS total, sum(flow) FILTER (WHERE month(date) <= m) AS to_date FROM t, m GROUP BY 1, 2),
+l AS (SELECT topic, year(date) AS year, lean, count(*) AS n, min(date) AS first FROM t JOIN ft ON date >= start AND date < "end" GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY topic, year ORDER BY n DESC, first) AS k FROM l)
+SELECT topic, year, lean, months, round(total, 2) AS total, round(to_date, 2) AS to_date, round(100 * (to_date / CASE WHEN lag(year) OVER w = year - 1 THEN lag(to_date) OVER w END - 1), 5) AS change FROM y LEFT JOIN (SELECT topic, year, lean FROM k WHERE k = 1) USING (topic, year) WINDOW w AS (PARTITION BY topic ORDER BY year)""")
+def term_years(spark, d):
+    """Each topic's years with the term that most of their months lie in, and the year to date against the year before."""
+    fx = X.nation_series(spark, d).join(X.catalogue(spark, d).select("series_id", "topic"), "series_id")
+    t = fx.groupBy("topic", "date").agg(F.sum("value").alias("flow"))
+    inside = J.interval_join(t, X.terms(spark), how="inner").groupBy("topic", F.year("date").alias("year"), "lean").agg(F.count("*").alias("_n"), F.min("date").alias("_first"))
+    most = inside.groupBy("topic", "year").agg(F.min_by("lean", F.struct(-F.col("_n"), "_first")).alias("lean"))
+    out = U.year_to_date(t, ["topic"], "date", "flow").join(most, ["topic", "year"], "left")
+    return out.select("topic", "year", "lean", "months", F.round("total", 2).alias("total"), F.round("to_date", 2).alias("to_date"), F.round("change", 5).alias("change"))
+
+
 RETURNS = f"rt AS (SELECT series_id, date, 100 * ln(value / lag(value) {W12}) AS y FROM fx), rm AS (SELECT date, avg(y) AS a FROM rt WHERE y IS NOT NULL GROUP BY 1)"
 
 
