@@ -53,6 +53,16 @@ def test_block_bootstrap_draws_consecutive_rows(spark, circular):
     assert S.block_bootstrap(df.limit(0), ["k"], ["t"], 3, 2).count() == 0
 
 
+@pytest.mark.parametrize(("length", "circular"), [(1, False), (5, True)])
+def test_wide_bootstrap_draws_alike_without_sending_rows_everywhere(spark, length, circular):
+    df = spark.createDataFrame([(k, i, i * 7) for k, n in (("a", 211), ("b", 3), ("c", 1)) for i in range(n)], "k string, t int, v int").repartition(5)
+    drawn = lambda wide: S.block_bootstrap(df, ["k"], ["t"], 4, length, circular, wide=wide)
+    assert sorted(map(tuple, drawn(True).collect())) == sorted(map(tuple, drawn(False).collect()))
+    plan = drawn(True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan  # the sizes of keys alone
+    assert S.block_bootstrap(df.limit(0), ["k"], ["t"], 3, length, circular, wide=True).count() == 0
+
+
 def test_cluster_bootstrap_keeps_sizes(spark):
     df = spark.createDataFrame([("g", c, i) for c in "xyz" for i in range(4)], "g string, c string, t int")
     rows = S.cluster_bootstrap(df, ["g"], "c", ["t"], 6).groupBy("rep", "draw").agg(F.count("*").alias("n"), F.count_distinct("c").alias("c")).collect()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import materialize
+
 
 def draw(*parts: str | Column) -> Column:
     """A whole number below 2**32 for the parts, as text: the first 8 hex digits of their md5."""
@@ -22,24 +24,42 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos"
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
+def numbered_widely(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """As `numbered`, for keys of any number of rows: ranges of key and order are written down and numbered side by side.
+
+    Only one row a key and range is summed up in order. Rows of one key and order are numbered as they come.
+    """
+    ranged = materialize(materialize(df).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c")).select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(starts, [*keys, "_range"]).withColumn(name, F.col("_first") + F.col("_inside")).drop("_range", "_first", "_inside")
+
+
 def replicates(sizes: DataFrame, count: int) -> DataFrame:
     return sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
 
-def block_bootstrap(df: DataFrame, keys: list[str], order: list[str], count: int, length: int, circular: bool = False, seed: str = "") -> DataFrame:
+def block_bootstrap(df: DataFrame, keys: list[str], order: list[str], count: int, length: int, circular: bool = False, seed: str = "", wide: bool = False) -> DataFrame:
     """Rows of df, drawn in blocks of consecutive rows, with rep and at (place in the drawn sample); as many as the key has.
 
-    Blocks of a circular bootstrap wrap around the end; others start where they fit. length 1 draws rows one by one.
+    Blocks of a circular bootstrap wrap around the end; others start where they fit. length 1 draws rows one by one. `wide`
+    is for keys whose rows are too many for one task: rows are numbered by ranges and written down, blocks are drawn where
+    the rows lie, and drawn rows are met by a sort, as neither side may be small enough to be sent everywhere.
     """
-    rows = numbered(df, keys, order)
+    rows = materialize(numbered_widely(df, keys, order)) if wide else numbered(df, keys, order)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     length_ = F.least(F.lit(length).cast("long"), F.col("_n"))
-    blocks = replicates(sizes, count).withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / length_).cast("int"))))
+    if wide:
+        first = rows.select(*keys, "pos").join(F.broadcast(sizes), keys).where(F.col("pos") % length_ == 0)
+        blocks = replicates(first.withColumn("_b", F.floor(F.col("pos") / length_).cast("int")).drop("pos"), count)
+    else:
+        blocks = replicates(sizes, count).withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / length_).cast("int"))))
     starts = F.col("_n") if circular else F.col("_n") - length_ + 1
     begun = blocks.withColumn("_start", draw(F.lit(seed), *keys, "rep", "_b") % starts)
     each = begun.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), length_ - 1))).withColumn("at", F.col("_b") * length_ + F.col("_k")).where("at < _n")
     placed = each.select(*keys, "rep", "at", ((F.col("_start") + F.col("_k")) % F.col("_n")).alias("pos"))
-    return placed.join(rows, [*keys, "pos"]).drop("pos")
+    return (placed.hint("merge") if wide else placed).join(rows, [*keys, "pos"]).drop("pos")
 
 
 def interval(reps: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -250,7 +250,7 @@ def sentence_bootstrap(spark, d):
     docs = X.table(spark, d, "documents").where("lang = 'en' and text is not null")
     s = docs.select("source", "doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s")).where(F.trim("s") != "")
     rows = s.select("source", (F.col("doc_id") * 1000000 + F.col("i")).alias("date"), F.length(F.trim("s")).alias("len"), F.regexp_count(F.lower("s"), F.lit(r"\bthe\b")).alias("hits"))
-    v = S.block_bootstrap(rows, ["source"], ["date"], 10, 1).groupBy("source", "rep").agg((1000.0 * F.sum("hits") / F.sum("len")).alias("v"))
+    v = S.block_bootstrap(rows, ["source"], ["date"], 10, 1, wide=True).groupBy("source", "rep").agg((1000.0 * F.sum("hits") / F.sum("len")).alias("v"))
     return r(S.interval(v, ["source"], "v"), 5, "low", "mid", "high")
 
 
