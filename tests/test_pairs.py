@@ -100,3 +100,21 @@ def test_points_of_a_pair_are_its_common_dates(spark):
     pairs = spark.createDataFrame([("x", "a", "b"), ("x", "a", "none")], "block string, a string, b string")
     got = sorted((r.a, r.b, r.t, r.v_a, r.v_b) for r in O.points(pairs, left, right, ["block"], "series_id", "t", ["v"]).collect())
     assert got == [("a", "b", 1, 1.0, 10.0), ("a", "b", 2, None, 20.0), ("a", "b", 4, 4.5, 40.0)]
+
+
+@pytest.mark.parametrize("part_rows", [None, 4])
+def test_meeting_in_groups_equals_sums_over_points(spark, part_rows):
+    rng = random.Random(5)
+    made_of = lambda name, n: [("x", f"{name}{i:02d}", t, None if rng.random() < 0.1 else float(t) + rng.random() * 9, None if rng.random() < 0.2 else rng.random()) for i in range(n) for t in rng.sample(range(30), 20)]
+    left = spark.createDataFrame(made_of("a", 13) + [("x", "flat", t, 0.1, 1.0) for t in range(30)] + [(None, "z", 1, 1.0, 1.0)], "block string, series_id string, t int, v double, c double")
+    right = spark.createDataFrame(made_of("b", 9), left.schema)
+    pairs = left.select("block", F.col("series_id").alias("a")).distinct().join(right.select("block", F.col("series_id").alias("b")).distinct(), "block")
+    from tidemark.functions.scalars import correlation
+
+    ratio = F.median(F.when(F.col("v_a") != 0, F.col("v_b") / F.col("v_a")))
+    each = O.points(pairs, left, right, ["block"], "series_id", "t", ["v", "c"]).groupBy("block", "a", "b").agg(F.count("*").alias("n"), correlation("v_a", "v_b").alias("corr"), correlation("c_a", "c_b").alias("changes"), ratio.alias("ratio"))
+    want = {(r.a, r.b): r for r in each.where("n >= 12 and corr >= 0.8 and changes >= -0.1").collect()}
+    got = {(r.a, r.b): r for r in O.met(left, right, ["block"], "series_id", "t", 12, ["v", "c"], 0.8, changes=-0.1, part_rows=part_rows).where("corr >= 0.8 and changes >= -0.1").collect()}
+    assert len(want) > 10 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].n == r.n and got[k][4:] == pytest.approx((r.corr, r.changes, r.ratio))
