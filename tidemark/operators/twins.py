@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import correlation, tokens
-from tidemark.sources.files import materialize
+from tidemark.functions.scalars import tokens
 
-from .overlap import overlapping, points
+from .overlap import met
 
 
 def with_changes(df: DataFrame, id_col: str, time: str, value: str, before: Column) -> DataFrame:
@@ -23,13 +22,9 @@ def twin_candidates(keep: DataFrame, dup: DataFrame, block: list[str], time: str
     Both tables hold series_id, the block, time, value and change. Level correlation, that of changes (0.9 at least, or corr
     if that is less) and the median ratio within the tolerance all have to fit, over `least` common dates.
     """
-    pairs = overlapping(keep, dup, block, "series_id", time, least).where("a <> b")
-    met = lambda found: points(found, keep, dup, block, "series_id", time, ["value", "change"])
-    # sums of fixed size settle nearly all pairs; medians keep every point, so only what runs together meets again for them
-    runs = met(pairs).groupBy(*block, "a", "b", "n").agg(F.round(correlation("value_a", "value_b"), 9).alias("corr"), F.round(correlation("change_a", "change_b"), 9).alias("_changes"))
-    runs = materialize(runs.where((F.col("corr") >= corr) & (F.col("_changes") >= min(0.9, corr))).drop("_changes"))
-    ratio = F.median(F.when(F.col("value_a") != 0, F.col("value_b") / F.col("value_a")))
-    out = met(runs).groupBy("a", "b", "n", "corr").agg(ratio.alias("ratio"))
+    changes = min(0.9, corr)
+    runs = met(keep, dup, block, "series_id", time, least, ["value", "change"], corr, changes=changes).where("a <> b").withColumn("corr", F.round("corr", 9))
+    out = runs.where((F.col("corr") >= corr) & (F.round("changes", 9) >= changes))
     power = F.when((F.col("ratio") > 0) & F.lit(scaled), F.rint(F.log10("ratio"))).otherwise(0)
     fit = out.where(F.abs(F.col("ratio") / F.pow(F.lit(10.0), power) - 1) <= tolerance)
     return fit.select(F.col("b").alias("dup"), F.col("a").alias("keep"), F.lit(basis).alias("basis"), "n", "corr", "ratio")
