@@ -128,11 +128,16 @@ def code_range_match(spark, d):
     return X.table(spark, d, "part").select("p_partkey", code.alias("code"), C.code_group(F.concat(code, F.lit("9"))).alias("groups"))
 
 
-@query(f"WITH {FX} SELECT series_id, format('{{:d}} points {{}} to {{}}: mean {{:.2f}}, last above it: {{}}', count(*), strftime(min(date), '%Y-%m'), strftime(max(date), '%Y-%m'), avg(value), CASE WHEN arg_max(value, date) > avg(value) THEN 'yes' ELSE 'no' END) AS evidence FROM fx GROUP BY 1")
+@query(f"""WITH {FX}, c AS (SELECT series_id, date, round(value * 100)::BIGINT AS c FROM fx), m AS (SELECT series_id, count(*) AS n, min(date) AS first, max(date) AS last, sum(c)::BIGINT AS total, arg_max(c, date) AS c FROM c GROUP BY 1), e AS (SELECT *, (2 * total + n) // (2 * n) AS mean FROM m)
+SELECT series_id, format('{{:d}} points {{}} to {{}}: mean {{:d}}.{{:02d}}, last above it: {{}}', n, strftime(first, '%Y-%m'), strftime(last, '%Y-%m'), mean // 100, mean % 100, CASE WHEN c * n > total THEN 'yes' ELSE 'no' END) AS evidence FROM e""")
 def evidence_string(spark, d):
-    above = F.when(F.max_by("value", "date") > F.avg("value"), "yes").otherwise("no")
+    """Points, months, mean (in whole cents, halves up) and last value against it, as a sentence."""
+    rows = X.nation_series(spark, d)
+    m = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum(S.cents("value")).alias("total"), F.max_by(S.cents("value"), "date").alias("c"), S.mean_cents("value").alias("mean"))
+    above = F.when(F.col("c") * F.col("n") > F.col("total"), "yes").otherwise("no")
     month = lambda c: F.date_format(c, "yyyy-MM")
-    return X.nation_series(spark, d).groupBy("series_id").agg(F.format_string("%d points %s to %s: mean %.2f, last above it: %s", F.count("*"), month(F.min("date")), month(F.max("date")), F.avg("value"), above).alias("evidence"))
+    said = F.format_string("%d points %s to %s: mean %d.%02d, last above it: %s", "n", month("first"), month("last"), F.expr("mean div 100"), F.col("mean") % 100, above)
+    return m.select("series_id", said.alias("evidence"))
 
 
 @query("""WITH t AS (SELECT DISTINCT 'H' || p_size AS test, lower(p_type) AS m FROM part), r AS (SELECT test, unnest([m || '@PETR', m || '@PRIO', 'brent_usd']) AS series_id FROM t)
