@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import correlation
+from tidemark.functions.scalars import correlation, half_up
 
 
 def _transforms(v: Column, w) -> dict[str, Column]:
@@ -92,7 +92,7 @@ def verdicts(measures: DataFrame, tests: DataFrame) -> DataFrame:
     short = (F.col("n1") < F.col("least")) | F.col("statistic1").isNull() | (two & (F.col("statistic2").isNull() | (F.col("n2") < F.col("least"))))
     mixed = F.when(F.col("mixed_op").isNotNull(), holds(F.col("statistic1"), F.col("mixed_op"), F.col("mixed_bound"))).otherwise(two & (first | second))
     verdict = F.when(short, "Insufficient data").when(first & (~two | second), "Supported").when(mixed, "Mixed").otherwise("Not supported")
-    said = lambda k: F.format_string("%s %.2f %s %.2f over %d dates", F.concat(f"kind{k}"), f"statistic{k}", f"op{k}", f"bound{k}", f"n{k}")
+    said = lambda k: F.format_string("%s %.2f %s %.2f over %d dates", F.concat(f"kind{k}"), half_up(f"statistic{k}"), f"op{k}", f"bound{k}", f"n{k}")
     evidence = F.when(~short, F.concat(said(1), F.when(two, F.concat(F.lit("; "), said(2))).otherwise(F.lit(""))))
     return rows.select("test", "entity", verdict.alias("verdict"), F.col("statistic1").alias("statistic"), F.col("n1").alias("n"), F.col("as_of1").alias("as_of"), evidence.alias("evidence"))
 

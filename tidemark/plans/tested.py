@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import thousands
 from tidemark.operators import specified as S
 from tidemark.sources import tables as X
 
@@ -37,19 +38,19 @@ def _values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns}))"
 
 
-BASE = f"""bs AS (SELECT n_name AS entity, date_trunc('month', o_orderdate)::DATE AS date, round(sum(o_totalprice) / 1000, 3) AS sales, count(*)::DOUBLE AS orders, round(avg(o_totalprice) / 1000, 3) AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+BASE = f"""bs AS (SELECT n_name AS entity, date_trunc('month', o_orderdate)::DATE AS date, (2 * sum(round(o_totalprice * 100)::BIGINT)::BIGINT + 100) // 200 / 1000 AS sales, count(*)::DOUBLE AS orders, (2 * sum(round(o_totalprice * 100)::BIGINT)::BIGINT + 100 * count(*)) // (200 * count(*)) / 1000 AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
 bl AS (SELECT entity, metric, date, value FROM (UNPIVOT bs ON sales, orders, price INTO NAME metric VALUE value) UNION ALL SELECT entity, 'per_order', date, sales / orders FROM bs),
 bt AS (SELECT entity, metric, date, unnest(['level', 'log', 'change12', 'pct1', 'pct12', 'sum12', 'mean12']) AS transform, unnest([value, CASE WHEN value > 0 THEN ln(value) END, value - lag(value, 12) OVER w, 100 * value / lag(value) OVER w - 100, 100 * value / lag(value, 12) OVER w - 100, CASE WHEN count(*) OVER y = 12 THEN sum(value) OVER y END, CASE WHEN count(*) OVER y = 12 THEN avg(value) OVER y END]) AS v
   FROM bl WINDOW w AS (PARTITION BY entity, metric ORDER BY date), y AS (PARTITION BY entity, metric ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
 HOLDS = "CASE {op} WHEN '>=' THEN {v} >= {b} WHEN '>' THEN {v} > {b} WHEN '<=' THEN {v} <= {b} WHEN '<' THEN {v} < {b} WHEN 'within' THEN abs({v}) <= {b} END"
 C1, C2, CM = (HOLDS.format(op=o, v=v, b=b) for o, v, b in (("op1", "s1", "bound1"), ("op2", "s2", "bound2"), ("mixed_op", "s1", "mixed_bound")))
 SHORT = "(n1 < least OR s1 IS NULL OR (op2 IS NOT NULL AND (s2 IS NULL OR n2 < least)))"
-SAID = "format('{{}} {{:.2f}} {{}} {{:.2f}} over {{}} dates', k{k}, s{k}, op{k}, bound{k}::DOUBLE, n{k})"
+SAID = "format('{{}} {{:.2f}} {{}} {{:.2f}} over {{}} dates', k{k}, floor(round(s{k} * 100000) / 1000 + 0.5) / 100, op{k}, bound{k}::DOUBLE, n{k})"
 
 
 def _base(spark, d):
     o = X.table(spark, d, "orders").join(X.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    m = o.groupBy("c_nationkey", F.to_date(F.trunc("o_orderdate", "month")).alias("date")).agg(F.round(F.sum("o_totalprice") / 1000, 3).alias("sales"), F.count("*").cast("double").alias("orders"), F.round(F.avg("o_totalprice") / 1000, 3).alias("price"))
+    m = o.groupBy("c_nationkey", F.to_date(F.trunc("o_orderdate", "month")).alias("date")).agg(thousands("o_totalprice").alias("sales"), F.count("*").cast("double").alias("orders"), thousands("o_totalprice", mean=True).alias("price"))
     named = m.join(X.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("entity"), "date", "sales", "orders", "price")
     long = named.unpivot(["entity", "date"], ["sales", "orders", "price"], "metric", "value")
     return S.with_ratios(long, spark.createDataFrame(RATIOS, "metric string, numerator string, denominator string"))
