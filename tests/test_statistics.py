@@ -87,6 +87,31 @@ def test_exact_permutation_equals_all_relabellings(spark):
     assert got[0].p == pytest.approx(np.mean([abs(d) >= abs(own) - 1e-9 for d in every]))
 
 
+def test_exact_permutation_of_large_values_holds_the_observed_one(spark):
+    values = [113196746.14, 98765432.1, 123456789.01, 87654321.09, 100000000.07]
+    flags = [(i + 1) % 5 == 0 for i in range(5)]
+    for scale in (1.0, 1e3, 1e6):  # the observed labels are one of the relabellings, and the largest of these here
+        df = spark.createDataFrame([("g", i, f, v * scale / 3) for i, (f, v) in enumerate(zip(flags, [*values[:4], 1.0], strict=True))], "g string, u int, f boolean, v double")
+        assert S.permutation_exact(df.repartition(3), ["g"], "u", "f", "v").first().p == pytest.approx(0.2)
+    x = 1e8 / 3  # by hand: twice 0.1, as observed, twice 0.2 and twice 0
+    df = spark.createDataFrame([("g", 0, True, x), ("g", 1, False, x + 0.1), ("g", 2, True, x + 0.2), ("g", 3, False, x + 0.3)], "g string, u int, f boolean, v double")
+    assert S.permutation_exact(df, ["g"], "u", "f", "v").first().p == pytest.approx(2 / 3)
+
+
+def test_halves_are_rounded_up_whatever_sums_leave(spark):
+    from tidemark.functions import scalars as X
+
+    cases = [(0.125, "0.13"), (1.005, "1.01"), (1.0049999999, "1.01"), (113196746.145, "113196746.15"), (2.00494, "2.00"), (-0.125, "-0.12"), (None, None)]
+    df = spark.createDataFrame([(v, s) for v, s in cases], "v double, s string").withColumn("got", F.when(F.col("v").isNotNull(), F.format_string("%.2f", X.half_up("v"))))
+    assert [(r.got, r.s) for r in df.collect()] == [(s, s) for _, s in cases]
+    rows = spark.createDataFrame([("a", 0.12), ("a", 0.13), ("b", 1.0), ("b", 1.01), ("b", 1.01)], "k string, v double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(X.mean_cents("v").alias("m")).collect()}
+    assert got == {"a": 13, "b": 101}
+    base = spark.createDataFrame([("a", 1234.5), ("a", 2345.0), ("b", 0.1), ("b", 0.4)], "k string, v double")
+    got = {r.k: (r.s, r.m) for r in base.groupBy("k").agg(X.thousands("v").alias("s"), X.thousands("v", mean=True).alias("m")).collect()}
+    assert got == {"a": (3.58, 1.79), "b": (0.001, 0.0)}
+
+
 def test_holm_and_tail(spark):
     df = spark.createDataFrame([("g", 0.01), ("g", 0.04), ("g", 0.03), ("g", None)], "g string, p double")
     got = {r.p: r.p_holm for r in S.holm(df, "p", ["g"]).collect()}

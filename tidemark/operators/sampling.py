@@ -98,6 +98,7 @@ def permutation_p(observed: DataFrame, reps: DataFrame, keys: list[str], value:
 def permutation_exact(units: DataFrame, keys: list[str], unit: str, flag: str, value: str) -> DataFrame:
     """Difference of means of flagged and other units, and its p-value over all relabellings with as many flagged.
 
+    Differences that are within 1e-9 of the largest value (by size) count as equal.
     Relabellings are bit masks over a key's units, which must be few (20 at most, a million masks; more raise an error).
     """
     rows = numbered(units, keys, [unit], "_i")
@@ -107,8 +108,9 @@ def permutation_exact(units: DataFrame, keys: list[str], unit: str, flag: str, v
     bit = F.expr("shiftright(mask, cast(_i as int)) & 1L") == 1
     mean = lambda c: F.avg(F.when(c, F.col(value)))
     each = masks.join(rows, keys).groupBy(*keys, "mask").agg((mean(bit) - mean(~bit)).alias("_d"))
-    own = rows.groupBy(*keys).agg((mean(F.col(flag)) - mean(~F.col(flag))).alias("diff"))
-    far = F.count_if(F.abs("_d") >= F.abs("diff") - 1e-9)
+    own = rows.groupBy(*keys).agg((mean(F.col(flag)) - mean(~F.col(flag))).alias("diff"), F.max(F.abs(value)).alias("_top"))
+    # equal differences may come out apart by rounding, which grows with the values
+    far = F.count_if(F.abs("_d") >= F.abs("diff") - 1e-9 * F.col("_top"))
     return each.join(own, keys).groupBy(*keys, "diff").agg(F.count("*").alias("relabellings"), (far / F.count("*")).alias("p"), (F.lit(1.0) / F.count("*")).alias("least_p"))
 
 

@@ -60,8 +60,8 @@ ev2 AS (SELECT series_id, topic, eff FROM wf WHERE pos = ep AND c = 3), fr AS (S
 @query(f"""WITH {FX}, {FC}, {EVENTS_DIM}, {FACTORS}, {WINDOWS}, pp AS (SELECT topic, ev2.series_id, ev2.eff, avg((abs(fr.eff) >= abs(ev2.eff))::INT) AS p FROM ev2 JOIN fr USING (series_id) GROUP BY 1, 2, 3),
 dr AS (SELECT topic, rep, avg(f.eff) AS m FROM (SELECT ev2.topic, ev2.series_id, rep, {draw_sql("ev2.topic", "ev2.series_id", "rep")} % n AS i FROM ev2 JOIN (SELECT DISTINCT series_id, n FROM fr) USING (series_id), range(60) r(rep)) x JOIN fr f USING (series_id, i) GROUP BY 1, 2),
 g AS (SELECT topic, count(*) AS events, avg(eff) AS effect, median(p) AS median_p FROM pp GROUP BY 1), bd AS (SELECT topic, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high, avg((abs(m) >= abs(effect))::INT) AS mean_p FROM dr JOIN g USING (topic) GROUP BY 1),
-u AS (SELECT ev2.topic, eff, agg = 'sum' AS flag, row_number() OVER (PARTITION BY ev2.topic ORDER BY series_id) - 1 AS i FROM ev2 JOIN fc USING (series_id)), z AS (SELECT topic, count(*) AS n, count(*) FILTER (WHERE flag) AS k, avg(eff) FILTER (WHERE flag) - avg(eff) FILTER (WHERE NOT flag) AS diff FROM u GROUP BY 1 HAVING k > 0 AND k < n),
-mm AS (SELECT *, unnest(range(0, (1::BIGINT << n))) AS mask FROM z), e AS (SELECT mm.topic, diff, mask, avg(eff) FILTER (WHERE (mask >> i) & 1 = 1) - avg(eff) FILTER (WHERE (mask >> i) & 1 = 0) AS x FROM mm JOIN u USING (topic) WHERE bit_count(mask) = k GROUP BY ALL), pe AS (SELECT topic, any_value(diff) AS diff, count(*) AS relabellings, avg((abs(x) >= abs(diff) - 1e-9)::INT) AS perm_p FROM e GROUP BY 1)
+u AS (SELECT ev2.topic, eff, agg = 'sum' AS flag, row_number() OVER (PARTITION BY ev2.topic ORDER BY series_id) - 1 AS i FROM ev2 JOIN fc USING (series_id)), z AS (SELECT topic, count(*) AS n, count(*) FILTER (WHERE flag) AS k, avg(eff) FILTER (WHERE flag) - avg(eff) FILTER (WHERE NOT flag) AS diff, max(abs(eff)) AS top FROM u GROUP BY 1 HAVING k > 0 AND k < n),
+mm AS (SELECT *, unnest(range(0, (1::BIGINT << n))) AS mask FROM z), e AS (SELECT mm.topic, diff, top, mask, avg(eff) FILTER (WHERE (mask >> i) & 1 = 1) - avg(eff) FILTER (WHERE (mask >> i) & 1 = 0) AS x FROM mm JOIN u USING (topic) WHERE bit_count(mask) = k GROUP BY ALL), pe AS (SELECT topic, any_value(diff) AS diff, count(*) AS relabellings, avg((abs(x) >= abs(diff) - 1e-9 * top)::INT) AS perm_p FROM e GROUP BY 1)
 SELECT topic, events, round(effect, 5) + 0.0 AS effect, round(median_p, 6) AS median_p, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high, round(mean_p, 6) AS mean_p, round(diff, 5) + 0.0 AS diff, relabellings, round(perm_p, 6) AS perm_p FROM g JOIN bd USING (topic) LEFT JOIN pe USING (topic)""")
 def event_group_summary(spark, d):
     """Events by group: mean effect over three months, median placebo p of single events, band and p of means of as many placebo

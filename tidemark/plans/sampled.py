@@ -104,9 +104,9 @@ def p_adjust(spark, d):
 
 
 @query(f"""WITH {FX}, {FC}, w AS (SELECT topic, series_id, agg = 'sum' AS flag, avg(value) AS v FROM fx JOIN fc USING (series_id) GROUP BY ALL), u AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY series_id) - 1 AS i FROM w),
-z AS (SELECT topic, count(*) AS n, count(*) FILTER (WHERE flag) AS k, avg(v) FILTER (WHERE flag) - avg(v) FILTER (WHERE NOT flag) AS diff FROM u GROUP BY 1 HAVING k > 0 AND k < n),
-m AS (SELECT *, unnest(range(0, (1::BIGINT << n))) AS mask FROM z), e AS (SELECT m.topic, diff, mask, avg(v) FILTER (WHERE (mask >> i) & 1 = 1) - avg(v) FILTER (WHERE (mask >> i) & 1 = 0) AS x FROM m JOIN u USING (topic) WHERE bit_count(mask) = k GROUP BY ALL)
-SELECT topic, round(diff, 3) AS diff, count(*) AS relabellings, round(count(*) FILTER (WHERE abs(x) >= abs(diff) - 1e-9) / count(*), 6) AS p, round(1 / count(*), 6) AS least_p FROM e GROUP BY topic, diff""")
+z AS (SELECT topic, count(*) AS n, count(*) FILTER (WHERE flag) AS k, avg(v) FILTER (WHERE flag) - avg(v) FILTER (WHERE NOT flag) AS diff, max(abs(v)) AS top FROM u GROUP BY 1 HAVING k > 0 AND k < n),
+m AS (SELECT *, unnest(range(0, (1::BIGINT << n))) AS mask FROM z), e AS (SELECT m.topic, diff, top, mask, avg(v) FILTER (WHERE (mask >> i) & 1 = 1) - avg(v) FILTER (WHERE (mask >> i) & 1 = 0) AS x FROM m JOIN u USING (topic) WHERE bit_count(mask) = k GROUP BY ALL)
+SELECT topic, round(diff, 3) AS diff, count(*) AS relabellings, round(count(*) FILTER (WHERE abs(x) >= abs(diff) - 1e-9 * top) / count(*), 6) AS p, round(1 / count(*), 6) AS least_p FROM e GROUP BY topic, diff""")
 def permutation_exact(spark, d):
     fx = X.nation_series(spark, d).join(F.broadcast(X.catalogue(spark, d).select("series_id", "topic", "agg")), "series_id")
     units = fx.groupBy("topic", "series_id", (F.col("agg") == "sum").alias("flag")).agg(F.avg("value").alias("v"))
