@@ -112,6 +112,18 @@ def test_halves_are_rounded_up_whatever_sums_leave(spark):
     assert got == {"a": (3.58, 1.79), "b": (0.001, 0.0)}
 
 
+def test_benjamini_hochberg_runs_once_along_each_group(spark):
+    ps = [0.01, 0.04, 0.04, 0.03, None, 0.9, 0.0001]
+    df = spark.createDataFrame([("g", i, p) for i, p in enumerate(ps)], "g string, i int, p double")
+    out = R.benjamini_hochberg(df, "p", ["g"])
+    known = sorted(p for p in ps if p is not None)
+    want = {p: min([1.0] + [q * 6 / (k + 1) for k, q in enumerate(known) if q >= p]) for p in known}
+    assert {r.i: r.p_adj for r in out.collect() if r.p is not None} == pytest.approx({i: want[p] for i, p in enumerate(ps) if p is not None})
+    # a frame up to the last row is gone through for every row
+    frames = [x for x in out._jdf.queryExecution().analyzed().toString().split("specifiedwindowframe")[1:] if "p_adj" in x or "_raw" in x]
+    assert frames and not any("unboundedfollowing" in x.split("windowspec")[0] and "currentrow" in x.split(")")[0] for x in frames)
+
+
 def test_holm_and_tail(spark):
     df = spark.createDataFrame([("g", 0.01), ("g", 0.04), ("g", 0.03), ("g", None)], "g string, p double")
     got = {r.p: r.p_holm for r in S.holm(df, "p", ["g"]).collect()}

@@ -69,10 +69,13 @@ def regress(df: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, group: list[str]) -> DataFrame:
-    """Adjusted p-values; null p-values stay null and do not count."""
+    """Adjusted p-values; null p-values stay null and do not count.
+
+    The least over larger p runs along descending p: a frame that ends with its partition is worked out anew for each row.
+    """
     w = Window.partitionBy(*group, F.col(p).isNull())
     raw = F.col(p) * F.count(p).over(w) / F.row_number().over(w.orderBy(p))
-    tail = w.orderBy(F.col(p)).rowsBetween(0, Window.unboundedFollowing)
+    tail = w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_raw", raw).withColumn("p_adj", F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_raw")
 
 
