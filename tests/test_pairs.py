@@ -118,3 +118,39 @@ def test_meeting_in_groups_equals_sums_over_points(spark, part_rows):
     assert len(want) > 10 and got.keys() == want.keys()
     for k, r in want.items():
         assert got[k].n == r.n and got[k][4:] == pytest.approx((r.corr, r.changes, r.ratio))
+
+
+def test_lists_meet_like_their_points_and_lists_stay_in_place(spark):
+    left, right = (made(spark, n, seed)[1].withColumn("c", F.col("value") * 2) for n, seed in ((30, 3), (20, 4)))
+    listed = lambda df: O.listed(df, ["series_id", "block"], "t", ["value", "c"])
+    run = lambda x, y: O.met(x, y, ["block"], "series_id", "t", 3, ["value", "c"], 0.2, changes=0.2, part_rows=7)
+    rows = lambda df: sorted((r.a, r.b, r.block, r.n, round(r.corr, 9), round(r.ratio, 9)) for r in df.collect())
+    want = rows(run(left, right))
+    out = run(listed(left), listed(right))
+    assert len(want) > 10 and rows(out) == want
+    # no side of a join is sorted: lists are neither shuffled nor sorted to learn how many groups their block has
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_leave_the_task_tile_by_tile(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "PAIRS", 1)
+    monkeypatch.setattr(O, "TILE_ROWS", 16)
+    table = pa.table({"_id": [f"s{i:02d}" for i in range(40)], "_t": [[1, 2, 3]] * 40, "_side": [0] * 40})
+    parts = [list(zip(a.to_pylist(), b.to_pylist(), strict=True)) for a, b, _ in O._pairs(("x", 0, 0), table, True, 2, 0, -1.0, False, -1.0)]
+    assert len(parts) == 3 and len({p for part in parts for p in part}) == sum(map(len, parts)) == 780
+
+
+def test_judging_makes_each_pair_once(spark):
+    made_pairs = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([("a", "n", "monthly", 30, 0.99, 1.0), ("b", "n", "monthly", 30, 0.98, 1.0), ("b", "a", "monthly", 30, 0.97, 1.0)], "dup string, keep string, basis string, n long, corr double, ratio double")
+
+    def seen(batches):
+        for batch in batches:
+            made_pairs.add(batch.num_rows)
+            yield batch
+
+    cat = spark.createDataFrame([(i, "some title", "usd", p, 1.0, False) for p, i in enumerate("nab")], "series_id string, title string, unit string, priority int, rank double, protected boolean")
+    got = {(r.dup, r.keep): r.outcome for r in W.judged(df.mapInArrow(seen, df.schema), cat, [], [], "same").collect()}
+    assert got == {("a", "n"): "removed", ("b", "n"): "removed", ("b", "a"): "second"} and made_pairs.value == 3
