@@ -154,3 +154,16 @@ def test_judging_makes_each_pair_once(spark):
     cat = spark.createDataFrame([(i, "some title", "usd", p, 1.0, False) for p, i in enumerate("nab")], "series_id string, title string, unit string, priority int, rank double, protected boolean")
     got = {(r.dup, r.keep): r.outcome for r in W.judged(df.mapInArrow(seen, df.schema), cat, [], [], "same").collect()}
     assert got == {("a", "n"): "removed", ("b", "n"): "removed", ("b", "a"): "second"} and made_pairs.value == 3
+
+
+def test_edges_are_dealt_out_by_their_number(spark, monkeypatch):
+    from tidemark.operators import relating as E
+
+    monkeypatch.setattr(E, "ROWS", 10)
+    cat = spark.range(60).select("id", F.lit("d").alias("ds"), F.lit(1.0).alias("rank"), F.lit(False).alias("stale"))
+    edges = spark.range(60).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("s")).selectExpr("a", "(a + s) % 60 AS b", "'text' AS reason", "0.5D AS strength")
+    out = E.related(edges, cat, "id", "rank", "ds", "stale", {"text": 1.0}, {"text": 3}, 5, 10)
+    assert out.count() == 180
+    assert out.rdd.getNumPartitions() == 24  # of few bytes, left to themselves a single one
+    near = E.neighbor_edges(cat, edges.limit(0), "id", ["ds"], "rank")
+    assert near.count() == 240 and near.rdd.getNumPartitions() == 36
