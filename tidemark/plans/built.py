@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import building as B
+from tidemark.operators import overlap as O
 from tidemark.operators import twins as W
 from tidemark.sources import files
 from tidemark.sources import tables as X
@@ -56,8 +57,9 @@ def _built(spark, d):
     cat = raw.join(stats, "series_id").withColumn("protected", F.lit(False))
 
     def twins(cat):
-        rows = W.with_changes(obs.join(cat.select("series_id", "title"), "series_id"), "series_id", "date", "value", F.add_months("date", -1).cast("date"))
-        rows = files.materialize(rows.withColumn("name", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")))
+        rows = W.with_changes(obs.join(cat.select("series_id"), "series_id", "left_semi"), "series_id", "date", "value", F.add_months("date", -1).cast("date"))
+        lists = O.listed(rows, ["series_id", "topic", "priority"], "date", ["value", "change"])
+        rows = files.materialize(lists.join(cat.select("series_id", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ").alias("name")), "series_id"))
         of = lambda c: rows.where(c)
         pairs = W.twin_candidates(of("priority = 0"), of("priority > 0"), ["topic"], "date", 24, 0.99, 0.02, True, "monthly mean")
         pairs = pairs.unionByName(W.twin_candidates(of("priority = 1"), of("priority > 1"), ["topic"], "date", 24, 0.99, 0.02, False, "monthly vs flagship"))
